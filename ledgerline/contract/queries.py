@@ -180,7 +180,7 @@ ORACLES["dup_stats"] = _with_groups(
 
 @query(
     """
-    SELECT path, hash, count(*) OVER (PARTITION BY hash) - 1 AS partners,
+    SELECT path, size, strftime(modified, '%Y-%m-%d %H:%M:%S') AS modified, hash, count(*) OVER (PARTITION BY hash) - 1 AS partners,
            CASE WHEN count(*) OVER (PARTITION BY hash) > 1
                 THEN first_value(path) OVER (PARTITION BY hash ORDER BY modified, path) END AS oldest_path
     FROM v_files
@@ -188,7 +188,7 @@ ORACLES["dup_stats"] = _with_groups(
     "v_files",
 )
 def dup_partners(spark: SparkSession, sf: str) -> DataFrame:
-    return duplicates.partner_counts(_hashed(spark, sf))
+    return duplicates.partner_counts(_hashed(spark, sf)).withColumn("modified", _time("modified"))
 
 
 @query()
@@ -307,21 +307,21 @@ def similar_objects(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""
-    SELECT r.key, r.size, r.etag,
-           CASE WHEN lower(r.name) = 'doc_24.csv' THEN 'same_name' ELSE 'same_size' END AS similarity
-    FROM v_remote r, v_files f
-    WHERE f.path = '{ROOT}/mba/' || (SELECT source FROM documents WHERE doc_id = 24) || '/doc_24.csv'
-      AND (lower(r.name) = 'doc_24.csv' OR r.size = f.size)
+    """
+    , c AS (SELECT size FROM v_remote GROUP BY size ORDER BY count(*) DESC, size LIMIT 1),
+    o AS (SELECT f.size, f.name FROM v_files f JOIN c USING (size) ORDER BY path LIMIT 1)
+    SELECT r.key, r.size, r.etag, CASE WHEN lower(r.name) = lower(o.name) THEN 'same_name' ELSE 'same_size' END AS similarity
+    FROM v_remote r, o WHERE lower(r.name) = lower(o.name) OR r.size = o.size
     """,
     "v_files",
     "v_remote",
 )
 def similar_to_file(spark: SparkSession, sf: str) -> DataFrame:
-    """Objects like one file, named by its path below any source."""
-    files = derived.files(spark, sf)
-    one = files.where("doc_id = 24").withColumn("path", F.lit("doc_24.csv"))
-    found = remote.similar_to(one, "doc_24.csv", derived.remote(spark, sf))
+    """Objects like one file: the first by path with the commonest object size."""
+    files, listing = derived.files(spark, sf), derived.remote(spark, sf)
+    common = listing.groupBy("size").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").limit(1)
+    one = files.join(common.select("size"), "size").orderBy("path").limit(1)
+    found = remote.similar_to(one, listing)
     return found.select("key", "size", names.clean_etag("etag").alias("etag"), "similarity")
 
 

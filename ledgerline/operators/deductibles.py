@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions import names
@@ -207,18 +207,18 @@ def balances_of(deductibles: DataFrame, member_id: str, plan_year: int) -> DataF
     return deductibles.where((F.col("member_id") == member_id.strip()) & (F.col("plan_year") == plan_year))
 
 
-def routine_rows(spark: SparkSession) -> DataFrame:
-    """The eight rows of the built-in routine, with their member."""
-    kinds = ["deductible_type", "coverage_level", "network_type"]
-    amounts = ["limit_amount", "used_amount", "remaining_amount"]
-    rows = spark.createDataFrame(ROUTINE_ROWS, kinds + amounts)
-    return rows.select(
-        F.lit(ROUTINE_MEMBER).alias("member_id"), *kinds, *[F.col(a).cast(MONEY).alias(a) for a in amounts]
-    )
-
-
 def routine_balances(callers: DataFrame) -> DataFrame:
     """Routine rows for each caller (member_id): eight for the routine's own
     member, none for any other. The year plays no part."""
-    known = routine_rows(callers.sparkSession)
-    return callers.where(F.col("member_id") == ROUTINE_MEMBER).join(F.broadcast(known), "member_id")
+    kinds = ("deductible_type", "coverage_level", "network_type")
+    amounts = ("limit_amount", "used_amount", "remaining_amount")
+    rows = F.array(
+        *[
+            F.struct(
+                *[F.lit(v).alias(k) for k, v in zip(kinds, row)],
+                *[F.lit(v).cast(MONEY).alias(a) for a, v in zip(amounts, row[len(kinds) :])],
+            )
+            for row in ROUTINE_ROWS
+        ]
+    )
+    return callers.where(F.col("member_id") == ROUTINE_MEMBER).select("member_id", F.inline(rows))

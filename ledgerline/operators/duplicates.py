@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import names
-from ledgerline.operators.spread import PREFIX, lookup_join, number_hashes, slice_of
+from ledgerline.operators.spread import hash_bucket, lookup_join, number_hashes, slice_of
 
 RULE = "=" * 50
 
@@ -52,18 +52,16 @@ def _slices(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The files cut into slices of their group, and one row per slice with
     the whole group's ``copies`` and ``first`` (earliest, then by path).
 
-    Both read one shuffle of the files, so contents are hashed once. A group
-    gives at most as many slice rows as there are slices, however many copies
-    it has; only those are gathered per group.
+    Both read one shuffle of the files, so contents are hashed once: callers
+    keep every column of the files, as a narrower read would be a second
+    shuffle. A group gives at most as many slice rows as there are slices,
+    however many copies it has; only those are gathered per group.
     """
-    sliced = (
-        _hashed(files)
-        .withColumn("_slice", slice_of("path"))
-        .withColumn("_bucket", F.left("hash", F.lit(PREFIX)))
-        .repartition("hash", "_slice")
-    )
-    parts = sliced.groupBy("_bucket", "hash", "_slice").agg(
-        F.count("*").alias("n"), F.min(F.struct("modified", "path", "size")).alias("first")
+    sliced = _hashed(files).withColumn("_slice", slice_of("path")).repartition("hash", "_slice")
+    parts = (
+        sliced.groupBy("hash", "_slice")
+        .agg(F.count("*").alias("n"), F.min(F.struct("modified", "path", "size")).alias("first"))
+        .withColumn("_bucket", hash_bucket("hash"))
     )
     group = Window.partitionBy("_bucket", "hash")
     totals = parts.repartition("_bucket").select(
@@ -72,7 +70,7 @@ def _slices(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.sum("n").over(group).alias("copies"),
         F.min("first").over(group).alias("first"),
     )
-    return sliced.drop("_bucket"), totals.where("copies > 1")
+    return sliced, totals.where("copies > 1")
 
 
 def duplicate_groups(files: DataFrame) -> DataFrame:
@@ -81,7 +79,10 @@ def duplicate_groups(files: DataFrame) -> DataFrame:
     Groups are numbered in hash order. The earliest file of a group (ties by
     path) is ``oldest``, the others ``duplicate``.
     """
-    sliced, totals = _slices(files)
+    return _numbered(*_slices(files))
+
+
+def _numbered(sliced: DataFrame, totals: DataFrame) -> DataFrame:
     numbered = number_hashes(totals, "hash", "group_no")
     is_first = F.col("path") == F.col("first.path")
     return sliced.join(numbered, ["hash", "_slice"]).select(
@@ -103,6 +104,8 @@ def partner_counts(files: DataFrame) -> DataFrame:
     found = totals.select("hash", "_slice", "copies", F.col("first.path").alias("oldest_path"))
     return sliced.join(found, ["hash", "_slice"], "left").select(
         "path",
+        "size",
+        "modified",
         "hash",
         F.coalesce(F.col("copies") - 1, F.lit(0)).alias("partners"),
         "oldest_path",
@@ -135,7 +138,8 @@ def reuse_hashes(files: DataFrame, state: DataFrame) -> DataFrame:
 
 def duplicate_report(files: DataFrame, base_dir: str | None = None) -> DataFrame:
     """The report as lines of text, in the order of `REPORT_ORDER`."""
-    groups = duplicate_groups(files)
+    sliced, totals = _slices(files)
+    groups = _numbered(sliced, totals)
     lead = f"{base_dir.rstrip('/')}/" if base_dir else None
     path = F.col("path")
     shown = names.base_name(path)
@@ -168,7 +172,11 @@ def duplicate_report(files: DataFrame, base_dir: str | None = None) -> DataFrame
     some = F.array(line(0, 3, found), line(0, 4, F.lit("")))
     none = F.array(line(0, 3, F.lit("No duplicates found")))
     title = F.array(*[line(0, i, F.lit(t)) for i, t in enumerate((RULE, "Duplicate Detection Report", RULE))])
-    ends = duplicate_stats(files).select(F.explode(F.array(F.lit(0), F.lit(2))).alias("section"), "*")
+    # Of the slice rows of a group, the one with its earliest file stands for it.
+    stats = totals.where(F.col("_slice") == slice_of("first.path")).agg(
+        F.count("*").alias("groups"), F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("total_duplicates")
+    )
+    ends = stats.select(F.explode(F.array(F.lit(0), F.lit(2))).alias("section"), "*")
     top = F.concat(title, F.when(F.col("groups") > 0, some).otherwise(none))
     frame = ends.select(
         "section",

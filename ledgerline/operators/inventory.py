@@ -37,7 +37,7 @@ def in_scope(files: DataFrame, root: str, scope: str | None) -> DataFrame:
     if not scope:
         return files
     subtree = files.where(F.col("path").startswith(f"{root.rstrip('/')}/{scope}/"))
-    return subtree if subtree.limit(1).count() else files
+    return files if subtree.isEmpty() else subtree
 
 
 def classify(files: DataFrame, root: str) -> DataFrame:

@@ -33,42 +33,60 @@ def _folded(c: Column, any_case: bool) -> Column:
     return F.collate(c, "UNICODE_CI_AI") if any_case else c
 
 
-def verify_members(requests: DataFrame, members: DataFrame, any_case: bool = False) -> DataFrame:
-    """Verify requests (request_id, member_id, dob) on the identifiers they
-    have: both must agree when both are given. Of several members the one with
-    the smallest id (then birth date, then name) answers.
+def members_by_key(members: DataFrame, any_case: bool = False) -> DataFrame:
+    """Members under every key that can find them: (k_id, k_dob) with both
+    values, the id alone, or the date alone, "" for the value not used.
 
-    Each member is listed under three keys: id and date, id alone, date alone.
-    A request has exactly one key, so the match is one equi-join.
+    One row per key: of several members the one with the smallest id (then
+    birth date, then name).
     """
-    person = member_rows(members).withColumn("found", F.lit(True))
+    person = member_rows(members)
     member_id, dob = _text("member_id"), _text("dob")
     key = lambda i, d: F.struct(i.alias("k_id"), d.alias("k_dob"))
-    keys = F.array(key(member_id, dob), key(member_id, F.lit("")), key(F.lit(""), dob))
-    # A member without an id or a date is not listed under it.
-    named = F.when(member_id == "", F.array(keys[2])).when(dob == "", F.array(keys[1])).otherwise(keys)
-    listed = person.select(F.explode(named).alias("k"), F.struct("member_id", "dob", "name", "found").alias("m"))
-    first = (
-        listed.select(
-            _folded(F.col("k.k_id"), any_case).alias("k_id"), F.col("k.k_dob").alias("k_dob"), "m"
-        )
+    both, id_only, date_only = key(member_id, dob), key(member_id, F.lit("")), key(F.lit(""), dob)
+    keys = (
+        F.when(member_id == "", F.array(date_only)).when(dob == "", F.array(id_only)).otherwise(F.array(both, id_only, date_only))
+    )
+    listed = person.select(F.explode(keys).alias("k"), F.struct("member_id", "dob", "name").alias("m"))
+    return (
+        listed.select(_folded(F.col("k.k_id"), any_case).alias("k_id"), F.col("k.k_dob").alias("k_dob"), "m")
         .where("k_id <> '' OR k_dob <> ''")
         .groupBy("k_id", "k_dob")
         .agg(F.min("m").alias("m"))
         .select("k_id", "k_dob", "m.*")
     )
+
+
+def match_members(
+    requests: DataFrame, keyed: DataFrame, keep: tuple[str, ...] = (), any_case: bool = False
+) -> DataFrame:
+    """Requests (request_id, member_id, dob and the columns to ``keep``) with
+    the member `members_by_key` lists under the identifiers they have. Each
+    request has one key, so the match is one equi-join."""
     asked = requests.select(
-        "request_id", _folded(member_id, any_case).alias("k_id"), _text("dob").alias("k_dob")
+        "request_id",
+        *keep,
+        _folded(_text("member_id"), any_case).alias("k_id"),
+        _text("dob").alias("k_dob"),
     )
     none_given = (F.col("k_id") == "") & (F.col("k_dob") == "")
     valid = F.coalesce("found", F.lit(False))
-    return lookup_join(asked, first, ["k_id", "k_dob"], ["request_id"]).select(
+    matched = lookup_join(asked, keyed.withColumn("found", F.lit(True)), ["k_id", "k_dob"], ["request_id"])
+    message = F.when(none_given, F.lit(NO_IDENTIFIER)).when(~valid, F.lit(NO_MATCH))
+    return matched.select(
         "request_id",
+        *keep,
         valid.alias("valid"),
-        "member_id",
-        "name",
-        "dob",
-        F.when(none_given, F.lit(NO_IDENTIFIER)).when(~valid, F.lit(NO_MATCH)).alias("message"),
+        *[c for c in keyed.columns if c not in ("k_id", "k_dob")],
+        message.alias("message"),
+    )
+
+
+def verify_members(requests: DataFrame, members: DataFrame, any_case: bool = False) -> DataFrame:
+    """Verify requests (request_id, member_id, dob) on the identifiers they
+    have; both must agree when both are given."""
+    return match_members(requests, members_by_key(members, any_case), any_case=any_case).select(
+        "request_id", "valid", "member_id", "name", "dob", "message"
     )
 
 
@@ -142,9 +160,8 @@ def verify_in_two_stages(requests: DataFrame, members: DataFrame, show_name_only
     asked = requests.select("request_id", "member_id", "dob", "member_name")
     first = lookup_join(asked, exact, ["member_id", "dob"], ["request_id"])
     hit = F.coalesce("exact", F.lit(False))
-    rest = asked.join(first.where(hit).select("request_id"), "request_id", "left_anti")
-    by_name = name_matches(rest, members).withColumn("by_name", F.lit(True))
-    both = lookup_join(first, by_name, ["dob", "member_name"], ["request_id"])
+    by_name = name_matches(first.where(~hit), members).withColumn("by_name", F.lit(True))
+    both = lookup_join(first, by_name, ["dob", "member_name"], ["request_id"], keys=asked)
     name_hit = ~hit & F.coalesce("by_name", F.lit(False))
     status = F.when(hit, F.lit("verified")).when(name_hit, F.lit("verified_by_name")).otherwise(F.lit("invalid"))
     shown = both.select(

@@ -85,8 +85,8 @@ def similar_counts(files: DataFrame, remote: DataFrame) -> DataFrame:
     by_size = by_both.groupBy("size").agg(F.sum("n_both").alias("n_size"))
     local = files.select("path", "size", F.lower(names.base_name("path")).alias("name"))
     matched = lookup_join(local, by_name, ["name"], ["path"])
-    matched = lookup_join(matched, by_size, ["size"], ["path"])
-    matched = lookup_join(matched, by_both.drop("first_both"), ["size", "name"], ["path"])
+    matched = lookup_join(matched, by_size, ["size"], ["path"], keys=local)
+    matched = lookup_join(matched, by_both.drop("first_both"), ["size", "name"], ["path"], keys=local)
     n_both, n_size = F.coalesce("n_both", F.lit(0)), F.coalesce("n_size", F.lit(0))
     return matched.select(
         "path",
@@ -96,12 +96,11 @@ def similar_counts(files: DataFrame, remote: DataFrame) -> DataFrame:
     )
 
 
-def similar_to(files: DataFrame, path: str, remote: DataFrame) -> DataFrame:
-    """Objects like one local file: equal name (any case) is ``same_name``,
-    else equal size is ``same_size``. Two equi-joins, never an OR."""
-    one = files.where(F.col("path") == path).select(
-        F.col("size").alias("local_size"), F.lower(names.base_name("path")).alias("name")
-    )
+def similar_to(file: DataFrame, remote: DataFrame) -> DataFrame:
+    """Objects like one local file (one row: path, size): equal name (any
+    case) is ``same_name``, else equal size is ``same_size``. Two equi-joins,
+    never an OR."""
+    one = file.select(F.col("size").alias("local_size"), F.lower(names.base_name("path")).alias("name"))
     objects = remote.withColumn("name", F.lower(names.base_name("key")))
     named = objects.join(one.select("name"), "name", "left_semi").withColumn("similarity", F.lit("same_name"))
     sized = (

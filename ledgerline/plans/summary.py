@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ledgerline.functions import names, question_text
 from ledgerline.operators import benefits, deductibles, members as member_ops
 from ledgerline.operators.questions import EMPTY_QUESTION, question_intents
-from ledgerline.operators.spread import lookup_join
 
 # The texts of an answer and the year of its balances.
 BALANCE_YEAR = 2025
@@ -50,22 +49,19 @@ def answer_questions(
     """The answer to each question (question_id, question): ``status``,
     ``summary`` or ``error``, and the ``reply`` shown to the caller.
 
-    The member's benefits and balances become one text row per member first,
-    so questions meet them in a single join.
+    Every member key carries the member's benefits and balances as text, so
+    questions meet all of it in a single join.
     """
-    asked = question_intents(questions).withColumn("request_id", F.col("question_id"))
-    verified = member_ops.verify_members(asked.select("request_id", "member_id", "dob"), members).withColumnRenamed(
-        "request_id", "question_id"
-    )
-    identifiers = asked.select(
-        "question_id",
+    asked = question_intents(questions).select(
+        F.col("question_id").alias("request_id"),
         "question",
+        "member_id",
+        "dob",
         F.coalesce("member_id", "dob", "plan_name", "group_number").isNotNull().alias("has_identifier"),
     )
-    # One row per question on both sides, so this join cannot have a hot key.
-    checked = identifiers.join(verified, "question_id")
-    profiles = benefits.benefit_lines(accumulator).join(balance_lines(deductible_rows), "member_id", "full_outer")
-    known = lookup_join(checked, profiles, ["member_id"], ["question_id"])
+    texts = benefits.benefit_lines(accumulator).join(balance_lines(deductible_rows), "member_id", "full_outer")
+    keyed = member_ops.members_by_key(members).join(texts, "member_id", "left")
+    known = member_ops.match_members(asked, keyed, keep=("question", "has_identifier"))
 
     def shown(c: str) -> Column:
         return F.coalesce(F.col(c), F.lit("None"))
@@ -95,7 +91,7 @@ def answer_questions(
         known.withColumn("error", error)
         .withColumn("summary", F.when(F.col("error").isNull(), summary))
         .select(
-            "question_id",
+            F.col("request_id").alias("question_id"),
             F.when(F.col("error").isNull(), F.lit("success")).otherwise(F.lit("error")).alias("status"),
             "summary",
             "error",
