@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions import names, value_types
@@ -42,11 +42,13 @@ def with_types(profile: DataFrame) -> DataFrame:
     return profile.withColumn("column_type", value_types.column_type())
 
 
-def table_definitions(profile: DataFrame, dialect: str = "mysql") -> DataFrame:
-    """One ``CREATE TABLE IF NOT EXISTS`` text per table of a profile.
+def table_definitions(
+    profile: DataFrame, dialect: str = "mysql", by: str = "table_name", name: Column | None = None
+) -> DataFrame:
+    """One ``CREATE TABLE IF NOT EXISTS`` text per value of ``by``, which is
+    the table's name unless ``name`` derives another from it.
 
-    Expects a ``table_name`` column. Lines are gathered per table, as many as
-    the table has columns.
+    Lines are gathered per table, as many as the table has columns.
     """
     typed = with_types(profile)
     nullable = F.col("nullable")
@@ -60,14 +62,14 @@ def table_definitions(profile: DataFrame, dialect: str = "mysql") -> DataFrame:
     else:
         raise ValueError(f"unknown dialect: {dialect}")
     line = F.rtrim(F.concat(F.lit("  `"), "snake", F.lit("` "), kind, F.lit(" "), null_text))
-    body = typed.groupBy("table_name").agg(
+    body = typed.groupBy(by).agg(
         F.array_sort(F.collect_list(F.struct("ordinal", line.alias("text")))).alias("lines")
     )
     return body.select(
-        "table_name",
+        by,
         F.concat(
             F.lit("CREATE TABLE IF NOT EXISTS `"),
-            "table_name",
+            F.col(by) if name is None else name,
             F.lit("` (\n"),
             F.array_join(F.transform("lines", lambda x: x["text"]), ",\n"),
             F.lit("\n" + tail),

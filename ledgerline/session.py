@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Run-time SQL settings; all of them can be changed on a live session.
 SQL_SETTINGS = {
@@ -41,3 +41,12 @@ def checkpoint_root(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="ledgerline-checkpoint-")
     spark.conf.set("spark.checkpoint.dir", local)
     return local
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder: later reads do not run
+    its plan again and survive lost executors."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(checkpoint_root(df.sparkSession))
+    return df.checkpoint()

@@ -76,13 +76,19 @@ def catalog_counts(spark: SparkSession, tables: Iterable[str]) -> DataFrame:
     return table_counts({t: spark.table(t) if spark.catalog.tableExists(t) else None for t in tables})
 
 
-def column_list(spark: SparkSession, table: str) -> list[tuple[str, str]]:
-    """Name and type of each column of a catalog table."""
-    return [(c.name, c.dataType) for c in spark.catalog.listColumns(table)]
+def describe(spark: SparkSession, table: str) -> list[tuple[str, str, str | None]]:
+    """Name, declared type and comment of each column of a catalog table."""
+    listed = []
+    for row in spark.sql(f"DESCRIBE TABLE {table}").collect():
+        # What follows repeats the partition columns.
+        if not row.col_name or row.col_name.startswith("#"):
+            break
+        listed.append((row.col_name, row.data_type, row.comment))
+    return listed
 
 
 def has_columns(spark: SparkSession, table: str, wanted: Iterable[str]) -> dict[str, bool]:
-    present = {name for name, _ in column_list(spark, table)}
+    present = {name for name, _, _ in describe(spark, table)}
     return {w: w in present for w in wanted}
 
 
