@@ -169,9 +169,9 @@ def accumulator(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def balance_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as balance entries: one row each, in order ``seq``."""
+    """Line items as balance entries, one row each, amounts in whole cents."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
-    price, discount = F.col("l_extendedprice").cast("decimal(18,2)"), F.col("l_discount").cast("decimal(18,2)")
+    price, percent = (F.round(F.col(c) * 100).cast("long") for c in ("l_extendedprice", "l_discount"))
     status = F.col("o_orderstatus")
     return (
         table(spark, sf_dir, "lineitem")
@@ -188,9 +188,8 @@ def balance_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(status == "O", F.lit("Out_Of_Network"))
             .otherwise(F.lit("unknown"))
             .alias("network_type"),
-            price.alias("limit_amount"),
-            (price * discount).cast("decimal(18,2)").alias("used_amount"),
-            F.lit(0).cast("decimal(18,2)").alias("remaining_amount"),
+            price.alias("limit_cents"),
+            F.floor((price * percent + 50) / 100).alias("used_cents"),
             "l_orderkey",
             "l_linenumber",
             "l_partkey",
@@ -199,19 +198,29 @@ def balance_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _money(cents: Column) -> Column:
+    return (cents.cast("decimal(18,0)") * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(18,2)")
+
+
+def balance_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`balance_lines` as rows of the balance table."""
+    return with_amounts(balance_lines(spark, sf_dir))
+
+
+def with_amounts(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        *[c for c in rows.columns if not c.endswith("_cents")],
+        _money(F.col("limit_cents")).alias("limit_amount"),
+        _money(F.col("used_cents")).alias("used_amount"),
+        _money(F.lit(0)).alias("remaining_amount"),
+    )
+
+
 def deductibles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`balance_lines` summed: one row per member, year and cell."""
     keys = ["member_id", "plan_year", "deductible_type", "coverage_level", "network_type"]
-    money = "decimal(18,2)"
-    return (
-        balance_lines(spark, sf_dir)
-        .groupBy(*keys)
-        .agg(
-            F.sum("limit_amount").cast(money).alias("limit_amount"),
-            F.sum("used_amount").cast(money).alias("used_amount"),
-            F.lit(0).cast(money).alias("remaining_amount"),
-        )
-    )
+    cents = [F.sum(c).alias(c) for c in ("limit_cents", "used_cents")]
+    return with_amounts(balance_lines(spark, sf_dir).groupBy(*keys).agg(*cents))
 
 
 QUESTIONS = (

@@ -749,7 +749,7 @@ _LAST = """
 )
 def deductible_last_entry(spark: SparkSession, sf: str) -> DataFrame:
     """Balances from single entries: of those for one cell the last stands."""
-    entries = derived.balance_lines(spark, sf)
+    entries = derived.balance_entries(spark, sf)
     order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "limit_amount")
     return _as_double(deductibles.flat_balances(entries, order))
 

@@ -62,11 +62,12 @@ def is_boolean(v: Column) -> Column:
 
 
 def is_date(v: Column) -> Column:
-    return v.rlike(_DATE)
+    # Most values are ruled out by their length, without the pattern.
+    return F.length(v).between(8, 10) & v.rlike(_DATE)
 
 
 def is_datetime(v: Column) -> Column:
-    return v.rlike(_DATETIME)
+    return (F.length(v) >= 14) & v.contains(":") & v.rlike(_DATETIME)
 
 
 def column_type() -> Column:

@@ -24,6 +24,9 @@ BROWSER_WIDTH = 180
 # Later events of one time win in this order.
 _RANK = {"STARTED": 0, "FAILED": 1, "SUCCESS": 2}
 
+# What a STARTED event alone holds.
+_BEGUN = ("s3_bucket", "s3_key", "table_name", "content_md5", "bytes", "lambda_request_id")
+
 
 def _events(rows: DataFrame, event: str, **values: Column) -> DataFrame:
     """Rows as audit events; fields that are not given are NULL."""
@@ -94,37 +97,28 @@ def audit_state(events: DataFrame) -> DataFrame:
     order = F.struct("ts", F.try_element_at(ranks, F.col("event")))
     kind = F.col("event")
 
-    def last(column: str, event: str) -> Column:
-        return F.max_by(F.when(kind == event, F.col(column)), F.when(kind == event, order))
-
-    def first(column: str) -> Column:
-        return F.min_by(F.when(kind == "STARTED", F.col(column)), F.when(kind == "STARTED", order))
+    def written(event: str, *columns: str) -> Column:
+        """What the last event of a kind wrote; times come first in the order."""
+        return F.max(F.when(kind == event, F.struct("ts", *columns))).alias(event)
 
+    begun = F.min(F.when(kind == "STARTED", F.struct("ts", *_BEGUN))).alias("begun")
     folded = events.groupBy("id").agg(
-        *[first(c).alias(c) for c in ("s3_bucket", "s3_key", "table_name", "content_md5", "bytes", "lambda_request_id")],
-        F.min(F.when(kind == "STARTED", F.col("ts"))).alias("started_at"),
-        F.max(F.when(kind != "STARTED", F.col("ts"))).alias("finished_at"),
+        begun,
+        written("SUCCESS", "duration_ms", "rows_inserted"),
+        written("FAILED", "retry_count", "error_message"),
         F.max_by("event", order).alias("status"),
-        last("duration_ms", "SUCCESS").alias("duration_ms"),
-        last("rows_inserted", "SUCCESS").alias("rows_inserted"),
-        last("error_message", "FAILED").alias("last_error"),
-        F.coalesce(last("retry_count", "FAILED"), F.lit(0)).alias("retry_count"),
     )
-    return folded.where("started_at IS NOT NULL").select(
+    return folded.where("begun IS NOT NULL").select(
         "id",
-        "s3_bucket",
-        "s3_key",
-        "table_name",
-        "content_md5",
-        "bytes",
-        "started_at",
-        "finished_at",
-        "duration_ms",
-        "rows_inserted",
+        *[F.col(f"begun.{c}").alias(c) for c in _BEGUN if c != "lambda_request_id"],
+        F.col("begun.ts").alias("started_at"),
+        F.greatest("SUCCESS.ts", "FAILED.ts").alias("finished_at"),
+        F.col("SUCCESS.duration_ms").alias("duration_ms"),
+        F.col("SUCCESS.rows_inserted").alias("rows_inserted"),
         "status",
-        F.when(F.col("status") == "FAILED", F.col("last_error")).alias("error_message"),
-        "lambda_request_id",
-        "retry_count",
+        F.when(F.col("status") == "FAILED", F.col("FAILED.error_message")).alias("error_message"),
+        F.col("begun.lambda_request_id").alias("lambda_request_id"),
+        F.coalesce("FAILED.retry_count", F.lit(0)).alias("retry_count"),
     )
 
 

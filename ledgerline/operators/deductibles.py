@@ -49,34 +49,31 @@ def flat_balances(rows: DataFrame, order_by: str | Column | None = None) -> Data
     for one cell the later by ``order_by`` stands; without it, the larger.
     The two amounts of the eight cells are the whole state of a group.
     """
-    kind = F.lower("deductible_type")
-    level = F.lower("coverage_level")
-    network = names.normal_network("network_type")
     limit, used = (F.col(c).try_cast(MONEY) for c in ("limit_amount", "used_amount"))
-    usable = limit.isNotNull() & used.isNotNull()
-    code = F.coalesce(
-        *[
-            F.when(usable & (kind == k) & (level == lv) & (network == n), F.lit(i))
-            for i, (k, lv, n) in enumerate(CELLS.values())
-        ]
+    cell = F.concat_ws(
+        "/", F.lower("deductible_type"), F.lower("coverage_level"), names.normal_network("network_type")
     )
     order = F.struct(limit, used) if order_by is None else order_by
-    order = F.col(order) if isinstance(order, str) else order
     coded = rows.select(
-        "member_id", "plan_year", code.alias("code"), limit.alias("lim"), used.alias("use"), order.alias("ord")
+        "member_id",
+        "plan_year",
+        F.when(limit.isNotNull() & used.isNotNull(), cell).alias("cell"),
+        limit.alias("lim"),
+        used.alias("use"),
+        (F.col(order) if isinstance(order, str) else order).alias("ord"),
     )
-    picks = []
-    for i, name in enumerate(CELLS):
-        mine = F.col("code") == i
-        for source, target in (("lim", "limit"), ("use", "used")):
-            last = F.max_by(F.when(mine, F.col(source)), F.when(mine, F.col("ord")))
-            picks.append(F.coalesce(last, F.lit(0).cast(MONEY)).alias(f"{name}_{target}"))
-    picked = coded.groupBy("member_id", "plan_year").agg(*picks)
-    columns = ["member_id", "plan_year"]
-    for name in CELLS:
-        left = (F.col(f"{name}_limit") - F.col(f"{name}_used")).cast(MONEY)
-        columns += [f"{name}_limit", f"{name}_used", left.alias(f"{name}_remaining")]
-    return picked.select(*columns)
+    picks = [
+        f"cast(coalesce(max_by({source}, ord) FILTER (WHERE cell = '{'/'.join(parts)}'), 0) AS {MONEY}) AS {name}_{target}"
+        for name, parts in CELLS.items()
+        for source, target in (("lim", "limit"), ("use", "used"))
+    ]
+    picked = coded.groupBy("member_id", "plan_year").agg(*map(F.expr, picks))
+    amounts = [
+        text
+        for n in CELLS
+        for text in (f"{n}_limit", f"{n}_used", f"cast({n}_limit - {n}_used AS {MONEY}) AS {n}_remaining")
+    ]
+    return picked.selectExpr("member_id", "plan_year", *amounts)
 
 
 def _network_pair(kind: str, level: str) -> Column:
@@ -141,8 +138,8 @@ def balance_lookup(requests: DataFrame, balances: DataFrame) -> DataFrame:
 
 def _cells(balances: DataFrame) -> list[Column]:
     """Balance columns, shown only where the request succeeded."""
-    ok = F.col("status") == "success"
-    return [F.when(ok, F.col(c)).alias(c) for c in balances.columns if c not in ("member_id", "plan_year")]
+    shown = [c for c in balances.columns if c not in ("member_id", "plan_year")]
+    return [F.expr(f"CASE WHEN status = 'success' THEN {c} END AS {c}") for c in shown]
 
 
 def cell_lookup(
@@ -161,18 +158,13 @@ def cell_lookup(
     else:
         asked = requests.withColumn("coverage_level", F.lit(level))
     answered = _answer(asked, balances, checked)
-    ok = F.col("status") == "success"
 
     def amount(a: str) -> Column:
-        return F.coalesce(
-            *[
-                F.when(
-                    ok & (F.col("coverage_level") == lv) & (F.col("network_type") == n),
-                    F.col(f"{cell_name(kind, lv, n)}_{a}"),
-                )
-                for lv, n in product(LEVELS, NETWORKS)
-            ]
-        ).alias(a)
+        cases = [
+            f"WHEN coverage_level = '{lv}' AND network_type = '{n}' THEN {cell_name(kind, lv, n)}_{a}"
+            for lv, n in product(LEVELS, NETWORKS)
+        ]
+        return F.expr(f"CASE WHEN status <> 'success' THEN NULL {' '.join(cases)} END AS {a}")
 
     return answered.select(
         "request_id",
