@@ -13,6 +13,7 @@ LOCAL = {
     "spark__driver__host": "127.0.0.1",
     "spark__driver__bindAddress": "127.0.0.1",
     "spark__driver__memory": "8g",
+    "spark__python__sql__dataFrameDebugging__enabled": "false",
 }
 
 

@@ -28,6 +28,15 @@ def plain(value):
     return value
 
 
+@pytest.fixture(scope="module", autouse=True)
+def nothing_is_broadcast(spark):
+    """Plans as on large data: no side is small enough to broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, SF)
@@ -38,20 +47,10 @@ def test_query(spark, duck, name):
     assert {c: TYPES[t] for c, t in df.dtypes} == columns
     at = [list(columns).index(c) for c in order]
     assert got == sorted((tuple(plain(r[i]) for i in at) for r in found.fetchall()), key=str)
-
-
-def test_no_pairwise_joins(spark):
-    """No plan compares every row with every row, even when nothing may be
-    broadcast, and each query reads Python workers nowhere."""
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        for name, query in QUERIES.items():
-            plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()
-            for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas"):
-                assert bad not in plan, (name, bad)
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # No plan compares every row with every row, or calls Python per row.
+    shape = df._jdf.queryExecution().executedPlan().toString()
+    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas"):
+        assert bad not in shape
 
 
 def test_contents_are_hashed_once(spark):
