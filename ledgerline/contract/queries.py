@@ -333,8 +333,9 @@ def similar_to_file(spark: SparkSession, sf: str) -> DataFrame:
            CASE WHEN f.scope IS NULL THEN 'Could not determine scope for file'
                 WHEN r.key IS NULL THEN 'Uploaded to s3://' || f.bucket || '/' || f.key
                 WHEN r.size = f.size THEN 'Skipped - already in S3: ' || f.key
-                ELSE 'Exists with different size (use overwrite to replace)' END AS message
-    FROM (SELECT path, size, CASE WHEN dir <> 'misc' THEN dir END AS scope, CASE WHEN dir <> 'misc' THEN dir || '-bucket' END AS bucket,
+                ELSE 'Exists with different size (use overwrite to replace)' END AS message,
+           local_duplicates
+    FROM (SELECT path, size, count(*) OVER (PARTITION BY hash) - 1 AS local_duplicates, CASE WHEN dir <> 'misc' THEN dir END AS scope, CASE WHEN dir <> 'misc' THEN dir || '-bucket' END AS bucket,
                  CASE WHEN dir <> 'misc' THEN dir || '/' || category || '/' || name END AS key FROM v_files) f
     LEFT JOIN v_remote r ON f.bucket = r.bucket AND f.key = r.key
     """,
@@ -342,8 +343,8 @@ def similar_to_file(spark: SparkSession, sf: str) -> DataFrame:
     "v_remote",
 )
 def upload_plan(spark: SparkSession, sf: str) -> DataFrame:
-    targets = remote.with_target(derived.files(spark, sf), ROOT)
-    return remote.transfer_plan(targets, derived.remote(spark, sf))
+    plan = remote.transfer_plan(remote.with_target(derived.files(spark, sf), ROOT), derived.remote(spark, sf))
+    return remote.with_local_duplicates(plan, duplicates.partner_counts(_hashed(spark, sf)))
 
 
 # --- History and jobs ------------------------------------------------------

@@ -90,8 +90,12 @@ def verify_members(requests: DataFrame, members: DataFrame, any_case: bool = Fal
     )
 
 
-def verify_member(members: DataFrame, member_id: str | None = None, dob: str | None = None) -> DataFrame:
+def verify_member(
+    members: DataFrame, member_id: str | None = None, dob: str | None = None, need_both: bool = False
+) -> DataFrame:
     """`verify_members` for one caller; the tests reach the scan."""
+    if need_both and not (member_id and dob):
+        raise ValueError("member_id and dob are required")
     if not member_id and not dob:
         raise ValueError(NO_IDENTIFIER)
     rows = members

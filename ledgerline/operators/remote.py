@@ -150,6 +150,15 @@ def transfer_plan(
     )
 
 
+def with_local_duplicates(plan: DataFrame, partners: DataFrame) -> DataFrame:
+    """Add to each file of a plan how many other local files have its content
+    (from `duplicates.partner_counts`). They change no action."""
+    copies = partners.select("path", F.col("partners").alias("local_duplicates"))
+    return plan.join(copies, "path", "left").withColumn(
+        "local_duplicates", F.coalesce("local_duplicates", F.lit(0)).cast("long")
+    )
+
+
 def listing_view(remote: DataFrame) -> DataFrame:
     """Name, type, size in MB and minute of change of each object."""
     return remote.select(

@@ -4,9 +4,10 @@ One call loads a batch of files. File names, headers and row counts pass
 through the driver, as the reader needs its paths there; contents never do.
 Directories of any size are loaded batch by batch by the streaming form.
 
-Tables and audit events are partitioned by the batch that wrote them, and a
-batch overwrites its own partition. So a batch that is run again, after a lost
-driver or by a stream that restarts, leaves each file loaded once.
+Tables and audit events are partitioned by the batch that wrote them: its name
+and a digest of its files. A batch overwrites its own partition, so one that is
+run again, after a lost driver or by a stream that restarts, leaves each file
+loaded once, and other files under a used name replace nothing.
 """
 
 from __future__ import annotations
@@ -129,7 +130,7 @@ def _overwrite_batch(rows: DataFrame, table: str) -> None:
 
 def _audit_id(batch: str) -> Column:
     """An id in UUID form that a repeated batch gives again."""
-    digest = F.md5(F.concat_ws("|", F.lit(batch), "bucket", "key"))
+    digest = F.md5(F.concat_ws("|", F.lit(batch), "bucket", "key", "md5"))
     cuts = ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
     return F.concat_ws("-", *[F.substring(digest, start, size) for start, size in cuts])
 
@@ -148,8 +149,9 @@ def load_files(files: DataFrame, settings: LoadSettings, batch: str) -> DataFram
     """Load files (path, bucket, key) and return one result row per file, with
     status success, failed, or skipped for content loaded before.
 
-    ``batch`` names the batch; running it again repeats nothing. Each file
-    succeeds or fails as a whole, and one that fails stops no other.
+    ``batch`` names the batch; running it again with the same files repeats
+    nothing. Each file succeeds or fails as a whole, and one that fails stops
+    no other.
     """
     spark = files.sparkSession
     began = time.monotonic()
@@ -167,7 +169,9 @@ def load_files(files: DataFrame, settings: LoadSettings, batch: str) -> DataFram
     # Unreadable, hidden or unroutable files fail before an audit record exists.
     accepted = manifest.where("error IS NULL AND md5 <> ''")
     loads = accepted if settings.append_always else checkpointed(_not_loaded(accepted, audit_events(spark, settings)))
-    _append_events(audit.started(loads, F.current_timestamp().cast("timestamp_ntz")), settings, batch)
+    files_digest = F.hex(F.bit_xor(F.xxhash64("path", "md5")))
+    run = f"{batch}-{loads.agg(files_digest).first()[0] or 0}"
+    _append_events(audit.started(loads, F.current_timestamp().cast("timestamp_ntz")), settings, run)
 
     delimited = checkpointed(csv_files.with_delimiter(loads.select("path", "table_name")))
     cells = checkpointed(csv_files.sample_cells(delimited, settings.sample_rows or csv_files.SAMPLE_ROWS))
@@ -180,7 +184,7 @@ def load_files(files: DataFrame, settings: LoadSettings, batch: str) -> DataFram
             good, rows, bad = _check_files(spark, settings, table, table_parts)
             errors.update(bad)
             if good:
-                _write_table(spark, settings, table, good, batch)
+                _write_table(spark, settings, table, good, run)
             counts.update(rows)
         except (PySparkException, ValueError) as e:
             failed = {p: f"{type(e).__name__}: {e}" for part in table_parts for p in part.paths}
@@ -197,7 +201,7 @@ def load_files(files: DataFrame, settings: LoadSettings, batch: str) -> DataFram
     finished = audit.succeeded(done.where("error_message IS NULL"), now).unionByName(
         audit.failed(done.where("error_message IS NOT NULL"), now)
     )
-    _append_events(finished, settings, batch)
+    _append_events(finished, settings, run)
     return _results(manifest, delimited, outcome)
 
 

@@ -43,32 +43,35 @@ def metadata_path() -> Column:
     return plain_path(F.url_decode(encoded))
 
 
-def _rows(infos: Iterable[arrow_fs.FileInfo], lead: str) -> Iterator[pd.DataFrame]:
+def _lead(root: str) -> str:
+    """What an Arrow path lacks to be the caller's kind of path."""
+    if re.match("^(file:|/)", root):
+        return ""
+    _, inside = open_path(root)
+    return root[: len(root) - len(inside)] if root.endswith(inside) else root.split("://")[0] + "://"
+
+
+def _entries(infos: Iterable[arrow_fs.FileInfo], lead: str) -> Iterator[pd.DataFrame]:
+    """Files and directories as batches of rows."""
     rows = []
     for info in infos:
-        if info.type == arrow_fs.FileType.File:
-            rows.append((lead + info.path, info.size, info.mtime.replace(tzinfo=None)))
+        is_file = info.type == arrow_fs.FileType.File
+        if is_file or info.type == arrow_fs.FileType.Directory:
+            when = info.mtime.replace(tzinfo=None) if is_file else None
+            rows.append((lead + info.path, info.size if is_file else 0, when, is_file))
         if len(rows) >= ROWS_PER_BATCH:
-            yield pd.DataFrame(rows, columns=["path", "size", "modified"])
+            yield pd.DataFrame(rows, columns=["path", "size", "modified", "is_file"])
             rows = []
     if rows:
-        yield pd.DataFrame(rows, columns=["path", "size", "modified"])
+        yield pd.DataFrame(rows, columns=["path", "size", "modified", "is_file"])
 
 
-def _lead(root: str) -> str:
-    """What an Arrow path lacks to be the caller's kind of path."""
-    uri = re.match(r"^(?!file:)([a-z0-9+.-]+://)(?:[^/]*)", root)
-    if not uri:
-        return ""
-    _, inside = open_path(root)
-    return root[: len(root) - len(inside)] if root.endswith(inside) else uri.group(1)
-
-
-def list_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
+def list_files(spark: SparkSession, root: str, recursive: bool = True, levels: int = 2) -> DataFrame:
     """All files below ``root``, hidden ones too: path, size, modified.
 
-    The driver lists the top directory only; each directory in it is walked by
-    a task. A missing root, or one that is not a directory, is an error.
+    Directories are listed by tasks: level by level down to ``levels``, one
+    task per directory found so far, and each subtree below that by one task.
+    A missing root, or one that is not a directory, is an error.
     """
     system, inside = open_path(root)
     kind = system.get_file_info(inside).type
@@ -77,22 +80,24 @@ def list_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFr
     if kind != arrow_fs.FileType.Directory:
         raise NotADirectoryError(f"input path is not a directory: {root}")
     lead = _lead(root)
-    top = system.get_file_info(arrow_fs.FileSelector(inside))
-    direct = list(_rows(top, lead))
-    found = spark.createDataFrame(pd.concat(direct), LISTED) if direct else spark.createDataFrame([], LISTED)
-    branches = [lead + i.path for i in top if i.type == arrow_fs.FileType.Directory]
-    if not recursive or not branches:
-        return found
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for branch in batch["branch"]:
-                where, path = open_path(branch)
-                yield from _rows(where.get_file_info(arrow_fs.FileSelector(path, recursive=True)), lead)
-
-    parts = min(len(branches), 10_000)
-    listed = spark.createDataFrame([(b,) for b in branches], "branch string").repartition(parts)
-    return found.unionByName(listed.mapInPandas(walk, LISTED))
+
+    def listed(directories: DataFrame, deep: bool) -> DataFrame:
+        def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for directory in batch["path"]:
+                    where, path = open_path(directory)
+                    yield from _entries(where.get_file_info(arrow_fs.FileSelector(path, recursive=deep)), lead)
+
+        return directories.select("path").mapInPandas(walk, f"{LISTED}, is_file boolean")
+
+    entries = listed(spark.createDataFrame([(root,)], "path string"), deep=False)
+    found = entries.where("is_file")
+    if recursive:
+        for level in range(1, levels + 1):
+            below = entries.where("NOT is_file").repartition("path")
+            entries = listed(below, deep=level == levels)
+            found = found.unionByName(entries.where("is_file"))
+    return found.drop("is_file")
 
 
 def discover_files(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -36,7 +38,10 @@ def _below(root: str) -> Column:
 
 
 def _start(stream: DataFrame, each, checkpoint: str | None, name: str, every: str | None) -> StreamingQuery:
-    where = checkpoint or f"{checkpoint_root(stream.sparkSession)}/{name}"
+    """Start a stream; without a folder of its own its progress goes below the
+    shared checkpoint folder, under a digest of its ``name``."""
+    own = hashlib.md5(name.encode()).hexdigest()
+    where = checkpoint or f"{checkpoint_root(stream.sparkSession)}/stream-{own}"
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", where)
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return writer.trigger(**trigger).start()
@@ -54,7 +59,7 @@ def stream_loads(
     present now and stop, or with ``every`` go on at that interval.
 
     Keys are tested as the notices of new objects are. A batch that a restart
-    repeats has the same number, so its files are loaded once.
+    repeats has the same number and files, so they are loaded once.
     """
     rest = _below(store_root)
     objects = (
@@ -69,7 +74,7 @@ def stream_loads(
         # The result is the audit trail; the returned rows are not needed.
         load_files(batch, settings, f"stream-{number}")
 
-    return _start(wanted, load, checkpoint, "loads", every)
+    return _start(wanted, load, checkpoint, f"loads {store_root} {settings.database}", every)
 
 
 def stream_plans(
@@ -89,4 +94,4 @@ def stream_plans(
         rows = remote.transfer_plan(remote.with_target(batch, root), listing, **options)
         rows.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    return _start(arriving_files(spark, root, per_trigger=per_trigger), plan, checkpoint, "plans", every)
+    return _start(arriving_files(spark, root, per_trigger=per_trigger), plan, checkpoint, f"plans {root} {target}", every)

@@ -78,6 +78,14 @@ def test_repeat_is_skipped_and_rerun_repeats_nothing(spark, tmp_path):
     assert spark.table("load_repeat.b").count() == 1
 
 
+def test_a_used_batch_name_replaces_nothing(spark, tmp_path):
+    conf = settings("load_reused")
+    run(spark, store(tmp_path / "1", {"a.csv": "x\n1\n"}), conf, "daily")
+    run(spark, store(tmp_path / "2", {"a.csv": "x\n2\n"}), conf, "daily")
+    assert sorted(r.x for r in spark.table("load_reused.a").collect()) == [1, 2]
+    assert audit.audit_state(load.audit_events(spark, conf)).count() == 2
+
+
 def test_one_bad_file_stops_no_other(spark, tmp_path):
     conf = settings("load_bad")
     good = "".join(f"{i},2024-01-05\n" for i in range(600))

@@ -157,8 +157,9 @@ def test_verification(spark, people):
     assert by(members.verify_members(df, renamed))[1].valid
     one = members.verify_member(people, dob="1987-12-14").first()
     assert (one.member_id, one.name) == ("M1002", "Anthony Brown")
-    with pytest.raises(ValueError):
-        members.verify_member(people)
+    for given in ({}, {"member_id": "M1001", "need_both": True}):
+        with pytest.raises(ValueError):
+            members.verify_member(people, **given)
 
 
 def test_verification_of_hot_keys(spark):
