@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions import names
-from ledgerline.operators.spread import lookup_join
+from ledgerline.operators.spread import lookup_join, slice_of
 
 # The texts of a verification.
 NO_IDENTIFIER = "At least one identifier required"
 NO_MATCH = "Authentication failed"
 
-# Letters of a name pattern that narrow the search before the LIKE test.
-GRAM = 3
+# How many parts the names are cut into that one pattern with wildcards meets.
+PATTERN_SLICES = 16
 
 
 def member_rows(members: DataFrame) -> DataFrame:
@@ -108,44 +108,67 @@ def verify_member(
 
 
 def _longest_run(pattern: Column) -> Column:
-    """First letters of the longest stretch of a LIKE text without wildcards."""
+    """The longest stretch of a LIKE text without wildcards, "" without any."""
     runs = F.transform(F.split(pattern, r"[%_\\]+"), lambda r: F.struct(F.length(r).alias("n"), r.alias("r")))
-    longest = F.array_max(runs)["r"]
-    return F.when(F.length(longest) >= GRAM, F.left(longest, F.lit(GRAM))).otherwise(F.lit(""))
+    return F.array_max(runs)["r"]
 
 
-def _grams(text: Column) -> Column:
-    """The distinct letter triples of a text, and the empty text."""
-    last = F.greatest(F.length(text) - GRAM + 1, F.lit(0))
-    triples = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: text.substr(i, F.lit(GRAM)))
-    return F.array_distinct(F.concat(F.array(F.lit("")), F.when(last > 0, triples).otherwise(F.array(F.lit("")))))
+def _pieces(text: Column, length: Column) -> Column:
+    """The parts of a text that have a given length."""
+    last = F.length(text) - length + 1
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: text.substr(i, length))
+    none = F.array().cast("array<string>")
+    return F.when(length == 0, F.array(F.lit(""))).when(last < 1, none).otherwise(F.array_distinct(cut))
+
+
+def _named_pieces(people: DataFrame, asked: DataFrame) -> DataFrame:
+    """Names cut into pieces (dob, piece, name), of the lengths that patterns
+    for their date have; the lengths of one date are few."""
+    lengths = asked.groupBy("dob").agg(F.collect_set(F.length("piece")).alias("lengths"))
+    wanted = lookup_join(people, lengths, ["dob"], ["name"], how="inner")
+    pieces = F.flatten(F.transform("lengths", lambda n: _pieces(F.col("name"), n)))
+    return wanted.select("dob", "name", F.explode(pieces).alias("piece"))
 
 
 def name_matches(requests: DataFrame, members: DataFrame) -> DataFrame:
     """Distinct (dob, member_name) of requests for which some member born that
     day has a name LIKE ``%member_name%``; wildcards in the text count.
 
-    Candidates are joined on the date and three letters both must share, and
-    the semi-join stops at the first hit, so no pairs are written out.
+    A plain text is found by equality with a piece of the name. A text with
+    wildcards is compared with the names that hold its longest plain stretch;
+    those names are spread over slices.
     """
+    asked = requests.where("member_name IS NOT NULL AND dob IS NOT NULL").select("dob", "member_name").distinct()
+    people = member_rows(members).where("name IS NOT NULL AND dob IS NOT NULL").select("dob", "name").distinct()
+    wild = F.col("member_name").rlike(r"[%_\\]")
+
+    plain = asked.where(~wild).withColumn("piece", F.col("member_name"))
+    held = _named_pieces(people, plain).select("dob", "piece").distinct()
+    found = plain.join(held, ["dob", "piece"], "left_semi").select("dob", "member_name")
+
     # An escape before a plain character stands for that character.
     text = F.regexp_replace("member_name", r"(?<!\\)\\(?![%_\\]|$)", "")
-    asked = (
-        requests.where("member_name IS NOT NULL AND dob IS NOT NULL")
-        .select("dob", "member_name")
-        .distinct()
-        .withColumn("pattern", F.concat(F.lit("%"), text, F.lit("%")))
-        .withColumn("gram", _longest_run(text))
+    patterns = asked.where(wild).select(
+        "dob",
+        "member_name",
+        _longest_run(text).alias("piece"),
+        F.concat(F.lit("%"), text, F.lit("%")).alias("pattern"),
+        F.explode(F.sequence(F.lit(0), F.lit(PATTERN_SLICES - 1))).alias("_part"),
+    )
+    names_held = _named_pieces(people, patterns).select(
+        F.col("dob").alias("p_dob"),
+        F.col("piece").alias("p_piece"),
+        "name",
+        slice_of("name", slices=PATTERN_SLICES).alias("p_part"),
     )
-    known = (
-        member_rows(members)
-        .where("name IS NOT NULL AND dob IS NOT NULL")
-        .select(F.col("dob").alias("m_dob"), "name")
-        .distinct()
-        .select("m_dob", "name", F.explode(_grams(F.col("name"))).alias("m_gram"))
+    same = (
+        (F.col("dob") == F.col("p_dob"))
+        & (F.col("piece") == F.col("p_piece"))
+        & (F.col("_part") == F.col("p_part"))
+        & F.like("name", F.col("pattern"))
     )
-    same = (F.col("dob") == F.col("m_dob")) & (F.col("gram") == F.col("m_gram"))
-    return asked.join(known, same & F.like("name", F.col("pattern")), "left_semi").select("dob", "member_name")
+    matched = patterns.join(names_held, same, "left_semi").select("dob", "member_name").distinct()
+    return found.unionByName(matched)
 
 
 def verify_in_two_stages(requests: DataFrame, members: DataFrame, show_name_only: bool = False) -> DataFrame:

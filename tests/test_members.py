@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 from decimal import Decimal
 
 import pytest
@@ -207,6 +208,22 @@ def test_two_stages(spark, people):
     assert {i for i, r in shown.items() if r.status == "verified_by_name"} == {2, 4, 5, 6, 7}
 
 
+def test_name_matches_against_plain_python(spark):
+    rng = random.Random(9)
+    known = [("A" + "".join(rng.choice("ab_%c") for _ in range(rng.randint(0, 6))), dt.date(1900, 1, rng.choice([1, 1, 2]))) for _ in range(80)]
+    people = spark.createDataFrame([("M", n, "z", d) for n, d in known], "member_id string, first_name string, last_name string, dob date")
+    asked = {("".join(rng.choice("ab_%c zA") for _ in range(rng.randint(0, 5))), f"1900-01-0{rng.randint(1, 3)}") for _ in range(300)}
+    df = spark.createDataFrame(sorted(asked), "member_name string, dob string")
+
+    def like(name, pattern):
+        parts = [{"%": ".*", "_": "."}.get(c, re.escape(c)) for c in f"%{pattern}%"]
+        return re.fullmatch("".join(parts), name, re.S)
+
+    want = {(d, p) for p, d in asked if any(str(b) == d and like(f"{n} z", p) for n, b in known)}
+    got = [(r.dob, r.member_name) for r in members.name_matches(df, people).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 QUESTIONS = [
     ("What's my deductible for member M1001?", "get_deductible_oop", "M1001", None, None, None, None, 2025),
     ("Check remaining Massage Therapy benefits for John Doe", "get_benefit_accumulator", None, None, "Massage Therapy", None, None, 2025),
