@@ -12,7 +12,7 @@ from ledgerline.operators.spread import lookup_join, slice_of
 NO_IDENTIFIER = "At least one identifier required"
 NO_MATCH = "Authentication failed"
 
-# How many parts the names are cut into that one pattern with wildcards meets.
+# How many parts the names are cut into that one name text meets.
 PATTERN_SLICES = 16
 
 
@@ -121,54 +121,44 @@ def _pieces(text: Column, length: Column) -> Column:
     return F.when(length == 0, F.array(F.lit(""))).when(last < 1, none).otherwise(F.array_distinct(cut))
 
 
-def _named_pieces(people: DataFrame, asked: DataFrame) -> DataFrame:
-    """Names cut into pieces (dob, piece, name), of the lengths that patterns
-    for their date have; the lengths of one date are few."""
-    lengths = asked.groupBy("dob").agg(F.collect_set(F.length("piece")).alias("lengths"))
-    wanted = lookup_join(people, lengths, ["dob"], ["name"], how="inner")
-    pieces = F.flatten(F.transform("lengths", lambda n: _pieces(F.col("name"), n)))
-    return wanted.select("dob", "name", F.explode(pieces).alias("piece"))
-
-
 def name_matches(requests: DataFrame, members: DataFrame) -> DataFrame:
     """Distinct (dob, member_name) of requests for which some member born that
     day has a name LIKE ``%member_name%``; wildcards in the text count.
 
-    A plain text is found by equality with a piece of the name. A text with
-    wildcards is compared with the names that hold its longest plain stretch;
-    those names are spread over slices.
+    Names are cut into pieces of the lengths that the texts of their date have
+    (few per date), and a text meets only the names that hold its longest
+    plain stretch: for a text without wildcards, exactly those that match. The
+    names of one piece are spread over slices, and each slice stops at the
+    first match.
     """
-    asked = requests.where("member_name IS NOT NULL AND dob IS NOT NULL").select("dob", "member_name").distinct()
-    people = member_rows(members).where("name IS NOT NULL AND dob IS NOT NULL").select("dob", "name").distinct()
-    wild = F.col("member_name").rlike(r"[%_\\]")
-
-    plain = asked.where(~wild).withColumn("piece", F.col("member_name"))
-    held = _named_pieces(people, plain).select("dob", "piece").distinct()
-    found = plain.join(held, ["dob", "piece"], "left_semi").select("dob", "member_name")
-
     # An escape before a plain character stands for that character.
     text = F.regexp_replace("member_name", r"(?<!\\)\\(?![%_\\]|$)", "")
-    patterns = asked.where(wild).select(
-        "dob",
-        "member_name",
-        _longest_run(text).alias("piece"),
-        F.concat(F.lit("%"), text, F.lit("%")).alias("pattern"),
-        F.explode(F.sequence(F.lit(0), F.lit(PATTERN_SLICES - 1))).alias("_part"),
+    asked = (
+        requests.where("member_name IS NOT NULL AND dob IS NOT NULL")
+        .select("dob", "member_name")
+        .distinct()
+        .select(
+            "dob",
+            "member_name",
+            _longest_run(text).alias("piece"),
+            F.concat(F.lit("%"), text, F.lit("%")).alias("pattern"),
+        )
     )
-    names_held = _named_pieces(people, patterns).select(
-        F.col("dob").alias("p_dob"),
-        F.col("piece").alias("p_piece"),
-        "name",
-        slice_of("name", slices=PATTERN_SLICES).alias("p_part"),
+    lengths = asked.groupBy("dob").agg(F.collect_set(F.length("piece")).alias("lengths"))
+    people = member_rows(members).where("name IS NOT NULL AND dob IS NOT NULL").select("dob", "name").distinct()
+    pieces = F.flatten(F.transform("lengths", lambda n: _pieces(F.col("name"), n)))
+    held = lookup_join(people, lengths, ["dob"], ["name"], how="inner").select(
+        "dob", "name", slice_of("name", slices=PATTERN_SLICES).alias("_part"), F.explode(pieces).alias("piece")
     )
+    parts = F.explode(F.sequence(F.lit(0), F.lit(PATTERN_SLICES - 1)))
+    a, h = asked.withColumn("_part", parts).alias("a"), held.alias("h")
     same = (
-        (F.col("dob") == F.col("p_dob"))
-        & (F.col("piece") == F.col("p_piece"))
-        & (F.col("_part") == F.col("p_part"))
-        & F.like("name", F.col("pattern"))
+        (F.col("a.dob") == F.col("h.dob"))
+        & (F.col("a.piece") == F.col("h.piece"))
+        & (F.col("a._part") == F.col("h._part"))
+        & F.like("h.name", F.col("a.pattern"))
     )
-    matched = patterns.join(names_held, same, "left_semi").select("dob", "member_name").distinct()
-    return found.unionByName(matched)
+    return a.join(h, same, "left_semi").select("dob", "member_name").distinct()
 
 
 def verify_in_two_stages(requests: DataFrame, members: DataFrame, show_name_only: bool = False) -> DataFrame:
