@@ -193,17 +193,18 @@ def dup_partners(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def dup_partners_of_file(spark: SparkSession, sf: str) -> DataFrame:
-    """The copies of one file: the first by path of the group with most copies."""
-    files = _hashed(spark, sf)
-    most = duplicates.group_totals(files).orderBy(F.desc("copies"), "hash").limit(1)
-    one = files.join(most.select("hash"), "hash").agg(F.min("path").alias("target_path"))
-    found = duplicates.partners_of(files, one)
+    """The copies of one file: the first by path of the commonest size."""
+    files = derived.files(spark, sf)
+    first = files.groupBy("size").agg(F.count("*").alias("n"), F.min("path").alias("target_path"))
+    one = first.orderBy(F.desc("n"), F.desc("size")).limit(1)
+    found = duplicates.partners_of(_hashed(spark, sf), one)
     return found.select("target_path", "path", "size", _time("modified"))
 
 
 ORACLES["dup_partners_of_file"] = _with_groups(
     """
-    , t AS (SELECT hash, min(path) AS path FROM v_files WHERE hash = (SELECT hash FROM g ORDER BY copies DESC, hash LIMIT 1) GROUP BY hash)
+    , c AS (SELECT min(path) AS path FROM v_files GROUP BY size ORDER BY count(*) DESC, size DESC LIMIT 1),
+    t AS (SELECT hash, path FROM v_files JOIN c USING (path))
     SELECT t.path AS target_path, v.path, v.size, strftime(v.modified, '%Y-%m-%d %H:%M:%S') AS modified
     FROM t JOIN v_files v ON v.hash = t.hash AND v.path <> t.path
     """

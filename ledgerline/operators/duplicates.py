@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import names
-from ledgerline.operators.spread import hash_bucket, lookup_join, number_hashes, slice_of
+from ledgerline.operators.spread import hash_bucket, number_hashes, slice_of
 
 RULE = "=" * 50
 
@@ -22,8 +22,8 @@ def with_hash(files: DataFrame, algorithm: str = "md5") -> DataFrame:
     return files.withColumn("hash", digest)
 
 
-def _hashed(files: DataFrame) -> DataFrame:
-    return files.select("path", "size", "modified", "hash").where(
+def _hashed(files: DataFrame, *more: str) -> DataFrame:
+    return files.select("path", "size", "modified", "hash", *more).where(
         F.col("hash").isNotNull() & (F.col("hash") != "")
     )
 
@@ -48,19 +48,24 @@ def duplicate_stats(files: DataFrame) -> DataFrame:
     )
 
 
-def _slices(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _slices(files: DataFrame, *marks: str) -> tuple[DataFrame, DataFrame]:
     """The files cut into slices of their group, and one row per slice with
-    the whole group's ``copies`` and ``first`` (earliest, then by path).
+    the whole group's ``copies`` and ``first`` (earliest, then by path), and
+    the smallest value of each mark column.
 
     Both read one shuffle of the files, so contents are hashed once: callers
     keep every column of the files, as a narrower read would be a second
     shuffle. A group gives at most as many slice rows as there are slices,
     however many copies it has; only those are gathered per group.
     """
-    sliced = _hashed(files).withColumn("_slice", slice_of("path")).repartition("hash", "_slice")
+    sliced = _hashed(files, *marks).withColumn("_slice", slice_of("path")).repartition("hash", "_slice")
     parts = (
         sliced.groupBy("hash", "_slice")
-        .agg(F.count("*").alias("n"), F.min(F.struct("modified", "path", "size")).alias("first"))
+        .agg(
+            F.count("*").alias("n"),
+            F.min(F.struct("modified", "path", "size")).alias("first"),
+            *[F.min(m).alias(m) for m in marks],
+        )
         .withColumn("_bucket", hash_bucket("hash"))
     )
     group = Window.partitionBy("_bucket", "hash")
@@ -69,6 +74,7 @@ def _slices(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         "_slice",
         F.sum("n").over(group).alias("copies"),
         F.min("first").over(group).alias("first"),
+        *[F.min(m).over(group).alias(m) for m in marks],
     )
     return sliced, totals.where("copies > 1")
 
@@ -116,16 +122,17 @@ def partners_of(files: DataFrame, targets: DataFrame) -> DataFrame:
     """The copies of given files: rows ``target_path, path``.
 
     ``targets`` holds the few paths a caller asks about, in ``target_path``,
-    with at most one per group of copies; the file itself is left out.
+    at most one per group of copies (of several, the first counts). They mark
+    their files, and the mark reaches the other slices of a group with its
+    totals, so a large group is never in one task.
     """
-    hashed = _hashed(files)
-    wanted = targets.join(
-        hashed.select(F.col("path").alias("target_path"), "hash"), "target_path"
-    ).select("hash", "target_path")
+    asked = targets.select(F.col("target_path").alias("path"), "target_path").distinct()
+    sliced, totals = _slices(files.join(asked, "path", "left"), "target_path")
+    found = totals.where("target_path IS NOT NULL").select("hash", "_slice", F.col("target_path").alias("asked"))
     return (
-        lookup_join(hashed, wanted, ["hash"], ["path"], how="inner")
-        .where("path <> target_path")
-        .select("target_path", "path", "size", "modified")
+        sliced.join(found, ["hash", "_slice"])
+        .where("NOT (target_path <=> asked)")
+        .select(F.col("asked").alias("target_path"), "path", "size", "modified")
     )
 
 

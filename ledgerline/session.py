@@ -22,6 +22,8 @@ def build_session(app: str = "ledgerline", master: str | None = None, **settings
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+    # Checkpoints go away with the DataFrames that wrote them.
+    builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     for key, value in SQL_SETTINGS.items():
         builder = builder.config(key, value)
     for key, value in settings.items():
