@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import exact_dedup, mixing
-from ledgerline.llm.common import documents
+from ledgerline.llm import bpe, exact_dedup, mixing, records
+from ledgerline.llm.common import documents, new_folder
+
+# The folder of public tokenizer files, which is the same on every machine.
+TOKENIZERS = "/opt/tokenizers"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +27,12 @@ def _register(name: str, sql: str | None = None):
     return put
 
 
+@_register("op1_bpe")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text and what they decode to."""
+    return bpe.encoding_digests(documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
 @_register(
     "op4_mixing",
     r"""
@@ -91,3 +100,12 @@ FROM keyed k JOIN groups g USING (body)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The copy that stays of every document."""
     return exact_dedup.exact_groups(documents(spark, sf_dir))
+
+
+@_register("op9_token_records")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Record files of all documents, read back."""
+    folder = new_folder(spark, "records")
+    records.write_records(documents(spark, sf_dir), f"{folder}/data", f"{TOKENIZERS}/word_bpe_49k.json")
+    index = records.write_index(spark, f"{folder}/data", f"{folder}/index")
+    return records.record_digests(spark, f"{folder}/data", index)
