@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, exact_dedup, mixing, records
+from ledgerline.llm import bpe, exact_dedup, licenses, mixing, records, secrets
 from ledgerline.llm.common import documents, new_folder
 
 # The folder of public tokenizer files, which is the same on every machine.
@@ -109,3 +109,15 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     records.write_records(documents(spark, sf_dir), f"{folder}/data", f"{TOKENIZERS}/word_bpe_49k.json")
     index = records.write_index(spark, f"{folder}/data", f"{folder}/index")
     return records.record_digests(spark, f"{folder}/data", index)
+
+
+@_register("op7_license_scan")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every licence statement in the documents."""
+    return licenses.license_matches(documents(spark, sf_dir))
+
+
+@_register("op10_secret_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    return secrets.secret_scan(documents(spark, sf_dir))
