@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from ledgerline.llm import exact_dedup, mixing
+from ledgerline.llm import exact_dedup, language, mixing
 from ledgerline.llm.common import documents, staged
 
 
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognised language go."""
+    return language.recognised(docs)
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
     return exact_dedup.deduplicated(docs)
@@ -20,6 +25,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("language", keep_languages),
     ("exact dedup", drop_copies),
     ("mixing", mix_sources),
 ]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, exact_dedup, licenses, mixing, records, secrets
+from ledgerline.llm import bpe, embeddings, exact_dedup, language, licenses, mixing, records, secrets
 from ledgerline.llm.common import documents, new_folder
 
 # The folder of public tokenizer files, which is the same on every machine.
@@ -33,6 +33,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+@_register("op2_language_id")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    return language.labelled(documents(spark, sf_dir))
+
+
 @_register(
     "op4_mixing",
     r"""
@@ -102,6 +108,34 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+@_register(
+    "op8_embedding_near_dedup",
+    """
+WITH RECURSIVE sound AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x != 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b
+  ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id != b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reach AS (
+  SELECT DISTINCT a AS node, a AS other FROM links
+  UNION
+  SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(c.low, e.vec_id) AS component_id,
+       e.vec_id = coalesce(c.low, e.vec_id) AS kept
+FROM embeddings e
+LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a = e.vec_id
+LEFT JOIN (SELECT node, min(other) AS low FROM reach GROUP BY node) c ON c.node = e.vec_id
+""",
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of every vector."""
+    return embeddings.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 @_register("op9_token_records")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Record files of all documents, read back."""
