@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F  # noqa: F401
 
-from ledgerline.llm import exact_dedup, language, mixing
+from ledgerline.llm import bpe, exact_dedup, jaccard_join, language, mixing
 from ledgerline.llm.common import documents, staged
 
+# A vocabulary file that is the same on every machine.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognised language go."""
@@ -19,15 +21,28 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicated(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return jaccard_join.one_of_each(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it."""
     return mixing.emitted(docs)
 
 
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of each document that the mix has, and digests of them and
+    of the text that they decode to; a row for each copy."""
+    return bpe.encoding_digests(docs, TOKENIZER)
+
+
 STAGES = [
     ("language", keep_languages),
     ("exact dedup", drop_copies),
+    ("near copies", drop_near_copies),
     ("mixing", mix_sources),
+    ("encoding", encode_texts),
 ]
 
 # Stages with trained models and tokenizers have no SQL form.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, embeddings, exact_dedup, language, licenses, mixing, records, secrets
+from ledgerline.llm import bpe, embeddings, exact_dedup, jaccard_join, language, licenses, mixing, records, secrets
 from ledgerline.llm.common import documents, new_folder
 
 # The folder of public tokenizer files, which is the same on every machine.
@@ -145,6 +145,38 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.record_digests(spark, f"{folder}/data", index)
 
 
+@_register(
+    "op6_jaccard_join",
+    r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []
+    WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM words),
+tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS token FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM tokens a JOIN tokens b ON a.token = b.token AND a.doc_id != b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (
+  SELECT DISTINCT a AS node, a AS other FROM links
+  UNION
+  SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a)
+SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(c.low, s.doc_id) AS component_id
+FROM sets s LEFT JOIN (SELECT node, min(other) AS low FROM reach GROUP BY node) c ON c.node = s.doc_id
+""",
+)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return jaccard_join.near_groups(documents(spark, sf_dir))
+
+
 @_register("op7_license_scan")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every licence statement in the documents."""
