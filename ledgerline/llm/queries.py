@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, embeddings, exact_dedup, jaccard_join, language, licenses, mixing, records, secrets
+from ledgerline.llm import bpe, embeddings, exact_dedup, jaccard_join, language, licenses, lm_score, mixing, records, secrets
 from ledgerline.llm.common import documents, new_folder
 
 # The folder of public tokenizer files, which is the same on every machine.
@@ -39,6 +39,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.labelled(documents(spark, sf_dir))
 
 
+@_register("op3_lm_score")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The masked pseudo-likelihood of every document."""
+    return lm_score.scored(documents(spark, sf_dir))
+
+
 @_register(
     "op4_mixing",
     r"""
