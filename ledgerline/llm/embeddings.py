@@ -147,7 +147,7 @@ def _blocks(found: DataFrame, axes: np.ndarray, block_rows: int) -> DataFrame:
     return staged(ordered.mapInArrow(cut, _BLOCK_DDL), "blocks")
 
 
-def _pairs(blocks: DataFrame, reach: float) -> DataFrame:
+def _pairs(blocks: DataFrame, reach: float, box_axes: int) -> DataFrame:
     """Pairs of blocks of one label, each with itself too, whose boxes lie
     within ``reach``. Blocks meet in bins of the first axis as wide as that."""
     box = blocks.select("block", "label", "low", "high")
@@ -158,7 +158,7 @@ def _pairs(blocks: DataFrame, reach: float) -> DataFrame:
     ).alias("b")
     gap = sum(
         F.pow(F.greatest(F.lit(0.0), F.col("a.low")[k] - F.col("b.high")[k], F.col("b.low")[k] - F.col("a.high")[k]), 2)
-        for k in range(BOX)
+        for k in range(box_axes)
     )
     met = lower.join(upper, ["label", "bin"]).where((F.col("a.block") <= F.col("b.block")) & (gap <= reach * reach))
     # Either side's bins hold the other's; the order of ids picks one row a pair.
@@ -293,7 +293,7 @@ def near_vectors(
         two = blocks.select(
             F.col("block").alias("b"), *(F.col(c).alias(f"{c}2") for c in ("ids", "counts", "data"))
         )
-        work = _pairs(blocks, reach).join(one, "a").join(two, "b")
+        work = _pairs(blocks, reach, min(BOX, width)).join(one, "a").join(two, "b")
         work = work.select("ids", "counts", "data", "ids2", "counts2", "data2", (F.col("a") == F.col("b")).alias("same"))
         part = work.mapInArrow(_linker(axes, threshold), "id long, links long, root long")
         links = part if links is None else links.union(part)

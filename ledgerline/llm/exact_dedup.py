@@ -136,15 +136,9 @@ class Trie:
             node, before = stack.pop()
             here = before + node.label
             if node.spill is not None:
-                node.spill.seek(0)
                 inner = Trie(self.limit)
-                while True:
-                    try:
-                        inner.insert(*pickle.load(node.spill))
-                    except EOFError:
-                        break
-                node.spill.close()
-                node.spill = None
+                for rest, owner in spilled(node):
+                    inner.insert(rest, owner)
                 for rest, owner in inner.owners():
                     yield here + rest, owner
                 continue
@@ -153,11 +147,27 @@ class Trie:
             stack.extend((c, here) for c in node.children.values())
 
 
+def spilled(node: Node):
+    """What the file of a node has, which is then closed."""
+    file, node.spill = node.spill, None
+    with file:
+        file.seek(0)
+        while True:
+            try:
+                yield pickle.load(file)
+            except EOFError:
+                return
+
+
 def walk(top: Node):
-    """(text below the label of ``top``, owner) of the terminals of a subtree."""
+    """(text below the label of ``top``, owner) of the terminals of a subtree,
+    with those that have been spilled."""
     stack = [(top, b"")]
     while stack:
         node, before = stack.pop()
+        if node.spill is not None:
+            for rest, owner in spilled(node):
+                yield before + rest, owner
         if node.owner:
             yield before, node.owner
         stack.extend((c, before + c.label) for c in node.children.values())

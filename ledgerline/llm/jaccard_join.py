@@ -71,10 +71,8 @@ def _word_hashes(data: bytes) -> np.ndarray:
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
         return np.zeros(0, np.uint64)
-    place = np.arange(len(values)) - np.repeat(
-        np.concatenate([[0], starts[1:]]), np.diff(np.concatenate([[0], starts[1:], [len(values)]]))
-    )
-    place = np.maximum(place, 0)
+    before = np.diff(np.concatenate([[0], starts, [len(values)]]))
+    place = np.maximum(0, np.arange(len(values)) - np.repeat(np.concatenate([starts[:1], starts]), before))
     powers = _powers(1 << max(10, int(place.max() + 1).bit_length()))
     weighed = np.where(solid, _BYTES[values] * powers[place], np.uint64(0))
     return mix(np.add.reduceat(weighed, starts) + (ends - starts).astype(np.uint64) * _C1)
