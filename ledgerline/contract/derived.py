@@ -48,8 +48,9 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def remote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with an even number as an object listing."""
+def remote(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+    """Documents as an object listing: ``every`` one, or those with an even
+    number, so that a comparison with it finds files that are missing."""
     base = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
     name = F.concat(base, _pick("doc_id", ".csv", ".pdf", ".TXT", ".docx", "", ".json"))
     shown = F.when(F.col("doc_id") % 8 == 0, F.upper(name)).otherwise(name)
@@ -57,7 +58,7 @@ def remote(spark: SparkSession, sf_dir: str) -> DataFrame:
     category = _pick("doc_id", "csv", "pdf", "text", "docx", "other", "json")
     return (
         table(spark, sf_dir, "documents")
-        .where("doc_id % 2 = 0")
+        .where("true" if every else "doc_id % 2 = 0")
         .select(
             F.concat(scope, F.lit("-bucket")).alias("bucket"),
             F.concat(scope, F.lit("/"), category, F.lit("/"), shown).alias("key"),
@@ -377,7 +378,7 @@ VIEWS = {
                CAST(strlen(text) AS BIGINT) AS size, md5(text) AS hash,
                TIMESTAMP '2024-01-01' + to_minutes((doc_id * 7919) % 100000) AS modified
         FROM documents""",
-    "v_remote": f"""
+    "v_listing": f"""
         SELECT {_SCOPE} || '-bucket' AS bucket,
                {_SCOPE} || '/' || {_CATEGORY} || '/'
                  || CASE WHEN doc_id % 8 = 0 THEN upper('doc_' || doc_id || {_EXT}) ELSE 'doc_' || doc_id || {_EXT} END AS key,
@@ -386,7 +387,8 @@ VIEWS = {
                CAST(strlen(text) + CASE WHEN doc_id % 10 = 0 THEN 1 ELSE 0 END AS BIGINT) AS size,
                TIMESTAMP '2024-01-01' + to_minutes(doc_id % 100000 + 1440) AS last_modified,
                md5(text) AS etag
-        FROM documents WHERE doc_id % 2 = 0""",
+        FROM documents""",
+    "v_remote": "SELECT * FROM v_listing WHERE CAST(regexp_extract(name, '[0-9]+') AS BIGINT) % 2 = 0",
     "v_history": f"""
         SELECT event_id, '{ROOT}/' || {_sql_pick("event_id", *_quoted("mba", "policy", "misc"))} || '/e_' || event_id || '.csv' AS file_path,
                {_sql_pick("event_id", *_quoted("mba", "policy", "unknown"))} AS scope,
@@ -510,6 +512,7 @@ _NEEDS = {
     "v_requests": ("v_members",),
     "v_profile": ("v_cells",),
     "v_types": ("v_profile",),
+    "v_remote": ("v_listing",),
 }
 
 

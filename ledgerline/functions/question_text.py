@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -26,6 +28,11 @@ DEFAULT_INTENT = "verify_member"
 SUMMARY_WORDS = ("complete", "everything", "all", "show me")
 
 
+# Decimal digits of all scripts, and the plain digit of each.
+_DIGITS = [c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd"]
+_PLAIN = "".join(str(unicodedata.decimal(c)) for c in _DIGITS)
+
+
 def _found(text: Column, pattern: str, group: int, any_case: bool = False) -> Column:
     """First match, NULL without one. Digits, blanks and word edges are Unicode."""
     flags = "(?iU)" if any_case else "(?U)"
@@ -58,7 +65,8 @@ def service(q: Column) -> Column:
 
 
 def plan_year(q: Column) -> Column:
-    return F.coalesce(_found(q, PLAN_YEAR, 0).cast("int"), F.lit(DEFAULT_YEAR))
+    year = F.translate(_found(q, PLAN_YEAR, 0), "".join(_DIGITS), _PLAIN)
+    return F.coalesce(year.try_cast("int"), F.lit(DEFAULT_YEAR))
 
 
 def intent(q: Column) -> Column:

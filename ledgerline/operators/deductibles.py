@@ -40,6 +40,21 @@ def cell_name(kind: str, level: str, network: str) -> str:
 CELLS = {cell_name(*c): c for c in product(TYPES, LEVELS, NETWORKS)}
 
 
+# Digits of an amount in cents, moved up by MOVED so that none is negative.
+DIGITS, MOVED = 19, 10**18
+
+
+def _digits(amount: Column) -> Column:
+    cents = (amount * 100).cast("decimal(19,0)") + F.lit(MOVED).cast("decimal(19,0)")
+    return F.lpad(cents.cast("decimal(19,0)").cast("string"), DIGITS, "0")
+
+
+def _amount(digits: Column) -> Column:
+    """The amount of `_digits`, zero for none."""
+    cents = digits.cast("decimal(19,0)") - F.lit(MOVED).cast("decimal(19,0)")
+    return F.coalesce((cents / 100).cast(MONEY), F.lit(0).cast(MONEY))
+
+
 def flat_balances(rows: DataFrame, order_by: str | Column | None = None) -> DataFrame:
     """One row per member and plan year with limit, used and remaining of all
     eight cells, in columns ``<cell>_<amount>``.
@@ -47,27 +62,34 @@ def flat_balances(rows: DataFrame, order_by: str | Column | None = None) -> Data
     Remaining is limit less used, whatever the input says. Rows with a missing
     amount are skipped, unknown kinds ignored, absent cells zero. Of two rows
     for one cell the later by ``order_by`` stands; without it, the larger.
-    The two amounts of the eight cells are the whole state of a group.
+    Give ``order_by`` as one number or time: a record as the order makes Spark
+    sort all rows before it combines any.
     """
     limit, used = (F.col(c).try_cast(MONEY) for c in ("limit_amount", "used_amount"))
-    cell = F.concat_ws(
+    kind = F.concat_ws(
         "/", F.lower("deductible_type"), F.lower("coverage_level"), names.normal_network("network_type")
     )
-    order = F.struct(limit, used) if order_by is None else order_by
+    number = F.coalesce(*[F.when(kind == "/".join(parts), F.lit(i)) for i, parts in enumerate(CELLS.values())])
+    order = F.lit(None) if order_by is None else F.col(order_by) if isinstance(order_by, str) else order_by
     coded = rows.select(
         "member_id",
         "plan_year",
-        F.when(limit.isNotNull() & used.isNotNull(), cell).alias("cell"),
-        limit.alias("lim"),
-        used.alias("use"),
-        (F.col(order) if isinstance(order, str) else order).alias("ord"),
+        F.when(limit.isNotNull() & used.isNotNull(), number).alias("cell"),
+        F.concat(_digits(limit), _digits(used)).cast("decimal(38,0)").alias("both"),
+        order.alias("ord"),
     )
-    picks = [
-        f"cast(coalesce(max_by({source}, ord) FILTER (WHERE cell = '{'/'.join(parts)}'), 0) AS {MONEY}) AS {name}_{target}"
-        for name, parts in CELLS.items()
-        for source, target in (("lim", "limit"), ("use", "used"))
+    # One number holds both amounts of a cell, so the whole state of a group
+    # has a fixed width and rows are combined by hash before the shuffle.
+    pick = "max(both)" if order_by is None else "max_by(both, ord)"
+    picked = coded.groupBy("member_id", "plan_year").agg(
+        *[F.expr(f"{pick} FILTER (WHERE cell = {i})").alias(n) for i, n in enumerate(CELLS)]
+    )
+    apart = [
+        _amount(F.substring(F.lpad(F.col(n).cast("string"), 2 * DIGITS, "0"), 1 + k * DIGITS, DIGITS)).alias(f"{n}_{target}")
+        for n in CELLS
+        for k, target in enumerate(("limit", "used"))
     ]
-    picked = coded.groupBy("member_id", "plan_year").agg(*map(F.expr, picks))
+    picked = picked.select("member_id", "plan_year", *apart)
     amounts = [
         text
         for n in CELLS

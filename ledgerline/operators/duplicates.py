@@ -119,20 +119,24 @@ def partner_counts(files: DataFrame) -> DataFrame:
 
 
 def partners_of(files: DataFrame, targets: DataFrame) -> DataFrame:
-    """The copies of given files: rows ``target_path, path``.
-
-    ``targets`` holds the few paths a caller asks about, in ``target_path``,
-    at most one per group of copies (of several, the first counts). They mark
-    their files, and the mark reaches the other slices of a group with its
-    totals, so a large group is never in one task.
+    """The copies of given files: rows ``target_path, path``, for each target
+    all other files of its content.
+
+    ``targets`` holds the few paths a caller asks about, in ``target_path``;
+    several may belong to one group. Their hashes pick the files in one join,
+    which Spark broadcasts or splits by the sizes it finds; groups that nobody
+    asks about are neither shuffled again nor counted. ``files`` is read
+    twice: give it hashes that are saved, not taken on the way.
     """
-    asked = targets.select(F.col("target_path").alias("path"), "target_path").distinct()
-    sliced, totals = _slices(files.join(asked, "path", "left"), "target_path")
-    found = totals.where("target_path IS NOT NULL").select("hash", "_slice", F.col("target_path").alias("asked"))
+    asked = targets.select("target_path").distinct()
+    hashed = _hashed(files)
+    wanted = hashed.join(asked, hashed["path"] == asked["target_path"]).select(
+        F.col("hash").alias("wanted"), "target_path"
+    )
     return (
-        sliced.join(found, ["hash", "_slice"])
-        .where("NOT (target_path <=> asked)")
-        .select(F.col("asked").alias("target_path"), "path", "size", "modified")
+        hashed.join(wanted, hashed["hash"] == wanted["wanted"])
+        .where("target_path <> path")
+        .select("target_path", "path", "size", "modified")
     )
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import inventory
 from ledgerline.operators.duplicates import reuse_hashes
+from ledgerline.session import checkpointed
 
 LISTED = "path string, size long, modified timestamp_ntz"
 CHUNK = 1 << 20
@@ -66,11 +67,12 @@ def _entries(infos: Iterable[arrow_fs.FileInfo], lead: str) -> Iterator[pd.DataF
         yield pd.DataFrame(rows, columns=["path", "size", "modified", "is_file"])
 
 
-def list_files(spark: SparkSession, root: str, recursive: bool = True, levels: int = 2) -> DataFrame:
+def list_files(spark: SparkSession, root: str, recursive: bool = True, levels: int | None = None) -> DataFrame:
     """All files below ``root``, hidden ones too: path, size, modified.
 
-    Directories are listed by tasks: level by level down to ``levels``, one
-    task per directory found so far, and each subtree below that by one task.
+    Directories are listed by tasks, level by level until none is left; each
+    level is listed once and kept in the shared folder before the next. With
+    ``levels`` whole subtrees below that many levels are left to one task each.
     A missing root, or one that is not a directory, is an error.
     """
     system, inside = open_path(root)
@@ -90,13 +92,13 @@ def list_files(spark: SparkSession, root: str, recursive: bool = True, levels: i
 
         return directories.select("path").mapInPandas(walk, f"{LISTED}, is_file boolean")
 
-    entries = listed(spark.createDataFrame([(root,)], "path string"), deep=False)
-    found = entries.where("is_file")
-    if recursive:
-        for level in range(1, levels + 1):
-            below = entries.where("NOT is_file").repartition("path")
-            entries = listed(below, deep=level == levels)
-            found = found.unionByName(entries.where("is_file"))
+    entries = checkpointed(listed(spark.createDataFrame([(root,)], "path string"), deep=False))
+    found, level = entries.where("is_file"), 0
+    while recursive and level != levels and not entries.where("NOT is_file").isEmpty():
+        level += 1
+        below = entries.where("NOT is_file").repartition(F.xxhash64("path"))
+        entries = checkpointed(listed(below, deep=level == levels))
+        found = found.unionByName(entries.where("is_file"))
     return found.drop("is_file")
 
 
@@ -130,6 +132,12 @@ def hash_files(files: DataFrame, algorithm: str = "md5", path: str = "path") ->
     return files.withColumn("hash", digest(F.col(path)))
 
 
+def dealt(files: DataFrame) -> DataFrame:
+    """Files dealt over tasks by path, so that reading them is not left to as
+    many tasks as their table happens to have."""
+    return files.repartition(F.xxhash64("path"))
+
+
 def _digest(path: str, algorithm: str) -> str:
     state = hashlib.new(algorithm)
     try:
@@ -164,18 +172,20 @@ def refresh_hashes(spark: SparkSession, root: str, state_dir: str) -> DataFrame:
     """Hashes of all files below ``root``. Only files that are new or changed
     since the last saved state are read; the result is saved as its next
     version."""
-    known = reuse_hashes(list_files(spark, root), read_hash_state(spark, state_dir))
-    fresh = hash_files(known.where("hash IS NULL").drop("hash"))
+    # The tree is listed once, so that a file that changes meanwhile is in one half.
+    known = checkpointed(reuse_hashes(list_files(spark, root), read_hash_state(spark, state_dir)))
+    fresh = hash_files(dealt(known.where("hash IS NULL").drop("hash")))
     merged = known.where("hash IS NOT NULL").unionByName(fresh)
     target = f"{state_dir}/version={(_versions(state_dir) or [0])[-1] + 1}"
     merged.write.mode("overwrite").parquet(target)
     return spark.read.schema(f"{LISTED}, hash string").parquet(target)
 
 
-def list_objects(manifest: DataFrame, bucket: str, prefix: str = "", max_files: int = 10_000) -> DataFrame:
-    """The first ``max_files`` objects of a bucket by key, below a prefix."""
+def list_objects(manifest: DataFrame, bucket: str, prefix: str = "", max_files: int | None = None) -> DataFrame:
+    """The objects of a bucket below a prefix; with ``max_files`` only the
+    first of them by key."""
     wanted = manifest.where((F.col("bucket") == bucket) & F.col("key").startswith(prefix))
-    return wanted.orderBy("key").limit(max_files)
+    return wanted if max_files is None else wanted.orderBy("key").limit(max_files)
 
 
 def store_listing(spark: SparkSession, store_root: str) -> DataFrame:
