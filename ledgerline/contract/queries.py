@@ -7,6 +7,7 @@ is a top list or a sample.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -514,14 +515,19 @@ def snake_headers(spark: SparkSession, sf: str) -> DataFrame:
 _PROFILE = "file, ordinal, name, snake, is_int, is_float, is_bool, is_date, is_datetime, max_len, nullable"
 
 
+def _profiles(spark: SparkSession, sf: str) -> DataFrame:
+    tables = derived.csv_tables(spark, sf)
+    return reduce(DataFrame.unionByName, [profile.profile_rows(rows, file) for file, rows in tables.items()])
+
+
 @query(f"SELECT {_PROFILE} FROM v_types", "v_types")
 def column_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return profile.profile_columns(derived.cells(spark, sf)).selectExpr(*_PROFILE.split(", "))
+    return _profiles(spark, sf).selectExpr(*_PROFILE.split(", "))
 
 
 @query("SELECT file, ordinal, snake, nullable, column_type FROM v_types", "v_types")
 def column_types(spark: SparkSession, sf: str) -> DataFrame:
-    typed = profile.with_types(profile.profile_columns(derived.cells(spark, sf)))
+    typed = profile.with_types(_profiles(spark, sf))
     return typed.select("file", "ordinal", "snake", "nullable", "column_type")
 
 
@@ -536,8 +542,7 @@ def column_types(spark: SparkSession, sf: str) -> DataFrame:
     "v_types",
 )
 def table_ddl(spark: SparkSession, sf: str) -> DataFrame:
-    profiled = profile.profile_columns(derived.cells(spark, sf))
-    return profile.table_definitions(profiled.withColumn("table_name", names.table_name("file")))
+    return profile.table_definitions(_profiles(spark, sf).withColumn("table_name", names.table_name("file")))
 
 
 # --- Audit and ingest ------------------------------------------------------

@@ -85,10 +85,12 @@ def column_type() -> Column:
 
 
 def spark_type(column_type: Column) -> Column:
-    """The Spark name of a type given by `column_type`."""
+    """The Spark name of a type given by `column_type`. Text has no width:
+    what a profile saw says nothing about later files."""
     return (
         F.when(column_type == "DATETIME", F.lit("TIMESTAMP_NTZ"))
         .when(column_type == "TINYINT(1)", F.lit("BOOLEAN"))
+        .when(column_type.startswith("VARCHAR"), F.lit("STRING"))
         .otherwise(column_type)
     )
 

@@ -37,6 +37,34 @@ def profile_columns(cells: DataFrame) -> DataFrame:
     return folded.withColumn("name", names.strip("name")).withColumn("snake", names.snake_case("name"))
 
 
+def profile_rows(table: DataFrame, file: str) -> DataFrame:
+    """The profile of one file from its rows as text columns, as
+    `profile_columns` gives it. All columns are folded side by side in one
+    pass, and only the results of the whole file become rows."""
+    folded, shown = [], []
+    for i, name in enumerate(table.columns):
+        v = names.strip(F.col(f"`{name}`"))
+        text = F.when(v != "", v)
+        # What is an integer is no date; the long patterns are tried on the rest.
+        whole = value_types.is_integer(text)
+        tests = {k: test(text) for k, test in FLAGS.items()}
+        for k in ("is_date", "is_datetime"):
+            tests[k] = F.when(whole, F.lit(False)).otherwise(tests[k])
+        folded += [F.bool_and(test).alias(f"{k}_{i}") for k, test in tests.items()]
+        folded += [F.max(F.length(text)).alias(f"max_len_{i}"), F.bool_or(v == "").alias(f"nullable_{i}")]
+        shown.append(
+            F.struct(
+                F.lit(i).alias("ordinal"),
+                F.lit(name).alias("name"),
+                *[F.coalesce(f"{k}_{i}", F.lit(True)).alias(k) for k in FLAGS],
+                F.coalesce(f"max_len_{i}", F.lit(0)).alias("max_len"),
+                F.coalesce(f"nullable_{i}", F.lit(False)).alias("nullable"),
+            )
+        )
+    stacked = table.agg(*folded).select(F.lit(file).alias("file"), F.inline(F.array(*shown)))
+    return stacked.withColumn("name", names.strip("name")).withColumn("snake", names.snake_case("name"))
+
+
 def with_types(profile: DataFrame) -> DataFrame:
     """Add the recommended ``column_type`` to a profile."""
     return profile.withColumn("column_type", value_types.column_type())

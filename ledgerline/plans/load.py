@@ -7,7 +7,9 @@ Directories of any size are loaded batch by batch by the streaming form.
 Tables and audit events are partitioned by the batch that wrote them: its name
 and a digest of its files. A batch overwrites its own partition, so one that is
 run again, after a lost driver or by a stream that restarts, leaves each file
-loaded once, and other files under a used name replace nothing.
+loaded once, and other files under a used name replace nothing. A run that was
+lost before its files were recorded as loaded leaves rows that no audit record
+tells of; the next load of any of those files drops what that run wrote first.
 """
 
 from __future__ import annotations
@@ -49,15 +51,15 @@ ROUTES = (
 class LoadSettings:
     """Where and how files are loaded.
 
-    ``sample_rows`` decides the schema of a new table; None profiles whole
-    files. ``routed`` names tables by `ROUTES` instead of the file's name.
+    The schema of a new table comes from the whole of its first file, or, with
+    ``sample_rows``, from so many of its first records. ``routed`` names tables by `ROUTES` instead of the file's name.
     ``row_hook`` sees the text columns of each table before they are typed.
     ``append_always`` also loads content that a table already has.
     """
 
     database: str = "default"
     audit_table: str = "ingestion_audit_events"
-    sample_rows: int | None = csv_files.SAMPLE_ROWS
+    sample_rows: int | None = None
     multi_line: bool = True
     routed: bool = False
     append_always: bool = False
@@ -79,6 +81,14 @@ class _Part:
     def columns(self) -> list[str]:
         return [names.snake_name(h) for h in self.headers]
 
+    def of(self, paths: list[str]) -> _Part:
+        return _Part(self.delimiter, self.headers, paths)
+
+
+def _own_name(header: str) -> str:
+    """A header whose column would take the name of the batch column gives way."""
+    return f"{header}_csv" if names.snake_name(header) == BATCH else header
+
 
 def route(key: Column | str) -> Column:
     """The table a file name routes to, NULL for none."""
@@ -137,12 +147,35 @@ def _audit_id(batch: str) -> Column:
 
 def _not_loaded(manifest: DataFrame, events: DataFrame) -> DataFrame:
     """Files whose content their table does not have yet; of equal files in
-    one batch, the first by path."""
-    content = ["table_name", "content_md5"]
-    done = audit.audit_state(events).where("status = 'SUCCESS'").select(*content).distinct()
+    one batch, the first by path. Of the audit trail only the records of these
+    contents are folded."""
+    content = manifest.select("table_name", F.col("md5").alias("content_md5")).distinct()
+    begun = events.where("event = 'STARTED'").join(content, ["table_name", "content_md5"], "left_semi")
+    known = events.join(begun.select("id").distinct(), "id", "left_semi")
+    done = audit.audit_state(known).where("status = 'SUCCESS'").select("table_name", F.col("content_md5").alias("md5"))
     first = manifest.groupBy("table_name", "md5").agg(F.min("path").alias("path"))
     fresh = manifest.join(first, ["table_name", "md5", "path"], "left_semi")
-    return fresh.join(done.withColumnRenamed("content_md5", "md5"), ["table_name", "md5"], "left_anti")
+    return fresh.join(done.distinct(), ["table_name", "md5"], "left_anti")
+
+
+def _drop_lost_runs(loads: DataFrame, settings: LoadSettings) -> None:
+    """Drop what runs wrote that began to load one of these contents and never
+    recorded an outcome. None of their files counts as loaded."""
+    spark = loads.sparkSession
+    trail = settings.table(settings.audit_table)
+    if not spark.catalog.tableExists(trail):
+        return
+    events = spark.table(trail)
+    content = loads.select("table_name", F.col("md5").alias("content_md5")).distinct()
+    begun = events.where("event = 'STARTED'")
+    runs = begun.join(content, ["table_name", "content_md5"], "left_semi").select(BATCH).distinct()
+    ended = events.where("event <> 'STARTED'").select(BATCH).distinct()
+    lost = runs.join(ended, BATCH, "left_anti")
+    for r in begun.join(lost, BATCH, "left_semi").select(BATCH, "table_name").distinct().toLocalIterator():
+        full = settings.table(r.table_name)
+        if spark.catalog.tableExists(full):
+            value = r[BATCH].replace("\\", "\\\\").replace("'", "\\'")
+            spark.sql(f"ALTER TABLE {full} DROP IF EXISTS PARTITION (`{BATCH}` = '{value}')")
 
 
 def load_files(files: DataFrame, settings: LoadSettings, batch: str) -> DataFrame:
@@ -154,15 +187,14 @@ def load_files(files: DataFrame, settings: LoadSettings, batch: str) -> DataFram
     no other.
     """
     spark = files.sparkSession
-    began = time.monotonic()
     tables.create_database(spark, settings.database)
     named = with_route(files) if settings.routed else files.select("*", names.table_name("key").alias("table_name"))
     hidden = names.base_name("path").rlike("^[_.]")
     refused = F.when(hidden, F.lit("Spark does not read files whose name starts with _ or a dot"))
     named = named.withColumn("error", F.coalesce("error", refused) if settings.routed else refused)
-    hashed = file_source.hash_files(named.select("path", "bucket", "key", "table_name", "error")).withColumnRenamed(
-        "hash", "md5"
-    )
+    hashed = file_source.hash_files(
+        file_source.dealt(named.select("path", "bucket", "key", "table_name", "error"))
+    ).withColumnRenamed("hash", "md5")
     sizes = file_sizes(hashed)
     manifest = checkpointed(sizes.withColumn("id", _audit_id(batch)).withColumn("request_id", F.lit(None).cast("string")))
 
@@ -171,14 +203,19 @@ def load_files(files: DataFrame, settings: LoadSettings, batch: str) -> DataFram
     loads = accepted if settings.append_always else checkpointed(_not_loaded(accepted, audit_events(spark, settings)))
     files_digest = F.hex(F.bit_xor(F.xxhash64("path", "md5")))
     run = f"{batch}-{loads.agg(files_digest).first()[0] or 0}"
+    _drop_lost_runs(loads, settings)
     _append_events(audit.started(loads, F.current_timestamp().cast("timestamp_ntz")), settings, run)
 
     delimited = checkpointed(csv_files.with_delimiter(loads.select("path", "table_name")))
-    cells = checkpointed(csv_files.sample_cells(delimited, settings.sample_rows or csv_files.SAMPLE_ROWS))
+    # Without a given number of records the cells name the columns only.
+    cells = checkpointed(csv_files.sample_cells(delimited, settings.sample_rows or 1))
     errors = {r.file: r.error for r in cells.where("error IS NOT NULL").select("file", "error").toLocalIterator()}
-    parts = _parts(delimited, cells)
+    parts, refused = _parts(delimited, cells)
+    errors.update(refused)
     counts: dict[str, int] = {}
+    took: dict[str, int] = {}
     for table, table_parts in parts.items():
+        began = time.monotonic()
         try:
             _ensure_table(spark, settings, table, table_parts, cells)
             good, rows, bad = _check_files(spark, settings, table, table_parts)
@@ -189,14 +226,15 @@ def load_files(files: DataFrame, settings: LoadSettings, batch: str) -> DataFram
         except (PySparkException, ValueError) as e:
             failed = {p: f"{type(e).__name__}: {e}" for part in table_parts for p in part.paths}
             errors.update({p: text for p, text in failed.items() if p not in errors})
+        spent = int((time.monotonic() - began) * 1000)
+        took.update({p: spent for part in table_parts for p in part.paths})
 
     outcome = spark.createDataFrame(
-        [(p, counts.get(p), errors.get(p)) for p in {*counts, *errors}],
-        "path string, rows_inserted long, error_message string",
+        [(p, counts.get(p), errors.get(p), took.get(p, 0)) for p in {*counts, *errors}],
+        "path string, rows_inserted long, error_message string, duration_ms int",
     )
-    done = loads.join(outcome, "path").withColumn(
-        "duration_ms", F.lit(int((time.monotonic() - began) * 1000))
-    ).withColumn("retry_count", F.lit(0))
+    # The files of a table are loaded together: each has the time of its table.
+    done = loads.join(outcome, "path").withColumn("retry_count", F.lit(0))
     now = F.current_timestamp().cast("timestamp_ntz")
     finished = audit.succeeded(done.where("error_message IS NULL"), now).unionByName(
         audit.failed(done.where("error_message IS NOT NULL"), now)
@@ -243,8 +281,9 @@ def _results(manifest: DataFrame, delimited: DataFrame, outcome: DataFrame) -> D
     )
 
 
-def _parts(delimited: DataFrame, cells: DataFrame) -> dict[str, list[_Part]]:
-    """The files of each table, grouped by delimiter and header."""
+def _parts(delimited: DataFrame, cells: DataFrame) -> tuple[dict[str, list[_Part]], dict[str, str]]:
+    """The files of each table, grouped by delimiter and header, and what is
+    wrong with the header of each other file."""
     header = (
         cells.where("error IS NULL AND value IS NULL")
         .groupBy(F.col("file").alias("path"))
@@ -253,13 +292,19 @@ def _parts(delimited: DataFrame, cells: DataFrame) -> dict[str, list[_Part]]:
     )
     parts: dict[tuple, _Part] = {}
     by_table: dict[str, list[_Part]] = defaultdict(list)
+    refused: dict[str, str] = {}
     for r in delimited.join(header, "path").orderBy("path").toLocalIterator():
-        key = (r.table_name, r.delimiter, tuple(r.header))
+        key = (r.table_name, r.delimiter, tuple(map(_own_name, r.header)))
         if key not in parts:
-            parts[key] = _Part(r.delimiter, list(r.header))
+            try:
+                names.snake_headers(list(key[2]))
+            except ValueError as e:
+                refused[r.path] = f"{type(e).__name__}: {e}"
+                continue
+            parts[key] = _Part(r.delimiter, list(key[2]))
             by_table[r.table_name].append(parts[key])
         parts[key].paths.append(r.path)
-    return by_table
+    return by_table, refused
 
 
 def _ensure_table(
@@ -271,7 +316,6 @@ def _ensure_table(
         return
     first = min(parts, key=lambda p: p.paths[0])
     path = first.paths[0]
-    names.snake_headers(first.headers)
     if settings.sample_rows is None:
         chosen = csv_files.all_cells(spark, [path], first.headers, first.delimiter, settings.multi_line)
     else:
@@ -280,7 +324,7 @@ def _ensure_table(
     columns = typed.select("ordinal", "snake", value_types.spark_type(F.col("column_type")).alias("type"), "nullable")
     # File tables do not keep NOT NULL, so it is kept as a comment.
     lines = [
-        f"`{c.snake}` {c.type}" + ("" if c.nullable else " COMMENT 'NOT NULL'")
+        f"`{_own_name(c.snake)}` {c.type}" + ("" if c.nullable else " COMMENT 'NOT NULL'")
         for c in sorted(columns.toLocalIterator(), key=lambda c: c.ordinal)
     ]
     spark.sql(
@@ -306,31 +350,26 @@ def _check_files(
     spark: SparkSession, settings: LoadSettings, table: str, parts: list[_Part]
 ) -> tuple[list[tuple[_Part, list[str]]], dict[str, int], dict[str, str]]:
     """Which files fit the table, with their row counts, and what is wrong
-    with the others. Reads each file once; nothing is written."""
+    with the others. Reads each file once; nothing is written. Where a read
+    breaks, its files are read one by one, and only those that break fail."""
     columns = _columns(spark, settings.table(table))
     good, counts, bad = [], {}, {}
     for part in parts:
-        names.snake_headers(part.headers)
-        rows = _text_rows(spark, settings, part, part.paths)
-        present = [c for c in rows.columns if c != "_file"]
-        unknown = [c for c in present if c not in {n for n, _, _ in columns}]
-        absent = [n for n, _, nullable in columns if n not in present and not nullable]
-        if unknown or absent:
-            text = f"Unknown column '{unknown[0]}'" if unknown else f"Field '{absent[0]}' has no default value"
-            bad.update({p: text for p in part.paths})
-            continue
-        faults = []
-        for name, kind, nullable in columns:
-            if name not in present:
+        try:
+            fault, seen = _faults(spark, settings, part, columns)
+        except PySparkException as e:
+            if len(part.paths) == 1:
+                bad[part.paths[0]] = f"{type(e).__name__}: {e}"
                 continue
-            value = F.col(f"`{name}`")
-            if not nullable:
-                faults.append(F.when(value.isNull(), F.lit(f"Column '{name}' cannot be null")))
-            unfit = value.isNotNull() & value_types.typed(value, kind).isNull()
-            faults.append(F.when(unfit, F.concat(F.lit(f"Incorrect {kind} value for column '{name}': "), F.left(value, F.lit(100)))))
-        fault = F.coalesce(*faults) if faults else F.lit(None).cast("string")
-        checked = rows.groupBy("_file").agg(F.count("*").alias("rows"), F.min(fault).alias("fault"))
-        seen = {r["_file"]: r for r in checked.toLocalIterator()}
+            for path in part.paths:
+                fits, found, wrong = _check_files(spark, settings, table, [part.of([path])])
+                good += fits
+                counts.update(found)
+                bad.update(wrong)
+            continue
+        if fault:
+            bad.update({p: fault for p in part.paths})
+            continue
         fits = []
         for path in part.paths:
             found = seen.get(plain(path))
@@ -345,6 +384,32 @@ def _check_files(
     return good, counts, bad
 
 
+def _faults(
+    spark: SparkSession, settings: LoadSettings, part: _Part, columns: list[tuple[str, str, bool]]
+) -> tuple[str | None, dict]:
+    """Why no file of a part fits the table, or rows and first fault of each."""
+    rows = _text_rows(spark, settings, part, part.paths)
+    present = [c for c in rows.columns if c != "_file"]
+    unknown = [c for c in present if c not in {n for n, _, _ in columns}]
+    absent = [n for n, _, nullable in columns if n not in present and not nullable]
+    if unknown:
+        return f"Unknown column '{unknown[0]}'", {}
+    if absent:
+        return f"Field '{absent[0]}' has no default value", {}
+    faults = []
+    for name, kind, nullable in columns:
+        if name not in present:
+            continue
+        value = F.col(f"`{name}`")
+        if not nullable:
+            faults.append(F.when(value.isNull(), F.lit(f"Column '{name}' cannot be null")))
+        unfit = value.isNotNull() & value_types.typed(value, kind).isNull()
+        faults.append(F.when(unfit, F.concat(F.lit(f"Incorrect {kind} value for column '{name}': "), F.left(value, F.lit(100)))))
+    fault = F.coalesce(*faults) if faults else F.lit(None).cast("string")
+    checked = rows.groupBy("_file").agg(F.count("*").alias("rows"), F.min(fault).alias("fault"))
+    return None, {r["_file"]: r for r in checked.toLocalIterator()}
+
+
 def plain(path: str) -> str:
     return "/" + path.removeprefix("file:").lstrip("/") if path.startswith(("file:", "/")) else path
 

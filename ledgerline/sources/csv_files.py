@@ -5,7 +5,9 @@ from __future__ import annotations
 import csv
 import io
 import re
-from collections.abc import Iterator
+import sys
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,53 +15,115 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import names
 from ledgerline.operators import profile
+from ledgerline.session import checkpointed
 from ledgerline.sources.files import metadata_path, open_path
 
-HEAD_BYTES = 8192
-SAMPLE_ROWS = 500
 PREVIEW_ROWS = 200
 # Candidates in order of preference; the first also stands when none fits.
 DELIMITERS = (",", ";", "\t", "|")
+# Share of the lines that must have a candidate equally often.
+AGREEING = 0.9
+# Cells of one batch, and columns that the reader accepts.
+CELLS_PER_BATCH = 50_000
+MOST_COLUMNS = 200_000
 BAD_CHARACTER = "�"
 
 
-def _read_head(path: str) -> str:
+def with_delimiter(files: DataFrame, head_bytes: int | None = None) -> DataFrame:
+    """Add the ``delimiter`` of each file, from all of its lines or, with
+    ``head_bytes``, from those of its start, and the error of a file that
+    cannot be read as ``unread``; its delimiter is NULL."""
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path in batch["path"]:
+                try:
+                    rows.append((path, _delimiter_of_file(path, head_bytes), None))
+                except OSError as e:
+                    rows.append((path, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "delimiter", "unread"])
+
+    paths = files.select("path").distinct().repartition(F.xxhash64("path"))
+    found = paths.mapInPandas(find, "path string, delimiter string, unread string")
+    return files.join(found, "path")
+
+
+def _line_counts(chunks: Iterable[str]) -> dict[str, Counter]:
+    """How many lines have each candidate how often, outside quotes. Blank
+    lines do not count. Memory does not grow with the text."""
+    found = {d: Counter() for d in DELIMITERS}
+    line = dict.fromkeys(DELIMITERS, 0)
+    quoted, blank = False, True
+
+    def end() -> None:
+        nonlocal blank
+        if not blank:
+            for d, n in line.items():
+                found[d][n] += 1
+        line.update(dict.fromkeys(DELIMITERS, 0))
+        blank = True
+
+    for chunk in chunks:
+        for k, piece in enumerate(chunk.split('"')):
+            if k:
+                quoted = not quoted
+                blank = False
+            if quoted:
+                continue
+            for j, part in enumerate(piece.split("\n")):
+                if j:
+                    end()
+                if part.strip("\r"):
+                    blank = False
+                    for d in DELIMITERS:
+                        line[d] += part.count(d)
+    end()
+    return found
+
+
+def _delimiter_of_file(path: str, head_bytes: int | None) -> str:
     system, inside = open_path(path)
     with system.open_input_stream(inside) as stream:
-        return stream.read(HEAD_BYTES).decode("utf-8", errors="ignore")
-
-
-def with_delimiter(files: DataFrame) -> DataFrame:
-    """Add the ``delimiter`` of each file, from the first 8 KiB only."""
-
-    @F.pandas_udf("string")
-    def head(paths: pd.Series) -> pd.Series:
-        return paths.map(_read_head)
-
-    return files.withColumn("_head", head(F.col("path"))).withColumn("delimiter", delimiter_of(F.col("_head"))).drop("_head")
-
-
-def delimiter_of(head: Column) -> Column:
-    """The candidate that occurs equally often, and at all, in every line of
-    the text; quoted parts do not count. Comma when there is none."""
-    bare = F.regexp_replace(head, '"[^"]*("|$)', "")
+        if head_bytes is None:
+            text = io.TextIOWrapper(stream, encoding="utf-8", errors="ignore", newline="")
+            counts = _line_counts(iter(lambda: text.read(1 << 20), ""))
+        else:
+            head = stream.read(head_bytes).decode("utf-8", errors="ignore")
+            # The last line of a full head is cut somewhere.
+            cut = head.rpartition("\n")[0] if len(head.encode()) >= head_bytes - 3 and "\n" in head else head
+            counts = _line_counts([cut])
+    return choose_delimiter(counts)
+
+
+def choose_delimiter(counts: dict[str, Counter]) -> str:
+    """The first candidate that nine of ten lines have equally often, and at
+    all; comma when there is none. A few short records change nothing."""
+    for d in DELIMITERS:
+        lines = counts[d].total()
+        if any(n > 0 and lines and seen >= AGREEING * lines for n, seen in counts[d].items()):
+            return d
+    return DELIMITERS[0]
+
+
+def delimiter_of(text: Column) -> Column:
+    """`choose_delimiter` for the lines of a text column."""
+    bare = F.regexp_replace(text, '"[^"]*("|$)', '""')
     lines = F.filter(F.split(bare, "\r?\n"), lambda s: s != "")
-    # The last line of a full head is cut somewhere.
-    whole = F.when(
-        (F.octet_length(head) >= HEAD_BYTES - 3) & (F.size(lines) > 1), F.slice(lines, F.lit(1), F.size(lines) - 1)
-    ).otherwise(lines)
 
     def fits(d: str) -> Column:
-        counts = F.transform(whole, lambda s: F.length(s) - F.length(F.replace(s, F.lit(d), F.lit(""))))
-        return (F.array_min(counts) > 0) & (F.array_min(counts) == F.array_max(counts))
+        counts = F.transform(lines, lambda s: F.length(s) - F.length(F.replace(s, F.lit(d), F.lit(""))))
+        agree = lambda n: F.size(F.filter(counts, lambda x: x == n)) >= F.size(lines) * AGREEING
+        return F.exists(F.array_distinct(counts), lambda n: (n > 0) & agree(n))
 
     return F.coalesce(*[F.when(fits(d), F.lit(d)) for d in DELIMITERS], F.lit(DELIMITERS[0]))
 
 
-def _sample(path: str, delimiter: str, limit: int) -> list[tuple]:
-    """Cells of the header and of the first records of one file; a record
-    count above the limit is met only by blank records. Cells beyond the
-    header are left out."""
+def _sample(path: str, delimiter: str, limit: int | None) -> Iterator[list[tuple]]:
+    """Cells of the header and of the first records of one file, or of all, in
+    batches; a record count above the limit is met only by blank records. Cells
+    beyond the header are left out."""
+    csv.field_size_limit(sys.maxsize)
     system, inside = open_path(path)
     with system.open_input_stream(inside) as stream:
         text = io.TextIOWrapper(stream, encoding="utf-8", errors="ignore", newline="")
@@ -70,25 +134,29 @@ def _sample(path: str, delimiter: str, limit: int) -> list[tuple]:
         cells = [(path, i, name, None, None) for i, name in enumerate(header)]
         for number, record in enumerate(records, 1):
             cells += [(path, i, header[i], v, None) for i, v in enumerate(record[: len(header)])]
-            if record and number >= limit:
+            if len(cells) >= CELLS_PER_BATCH:
+                yield cells
+                cells = []
+            if limit is not None and record and number >= limit:
                 break
-    return cells
+        yield cells
 
 
-def sample_cells(files: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Cells (file, ordinal, name, value) of the first records of each file
-    (path, delimiter). A file that cannot be sampled gives one row with its
-    ``error``; it does not stop the others."""
+def sample_cells(files: DataFrame, sample_rows: int | None = None) -> DataFrame:
+    """Cells (file, ordinal, name, value) of all records of each file (path,
+    delimiter), or of the first ``sample_rows``. A file that cannot be sampled
+    gives one row with its ``error``; it does not stop the others."""
     columns = ["file", "ordinal", "name", "value", "error"]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, delimiter in zip(batch["path"], batch["delimiter"]):
                 try:
-                    rows = _sample(path, delimiter, sample_rows)
+                    for rows in _sample(path, delimiter or DELIMITERS[0], sample_rows):
+                        yield pd.DataFrame(rows, columns=columns).astype({"ordinal": "Int32"})
                 except (OSError, ValueError, csv.Error) as e:
                     rows = [(path, None, None, None, f"{type(e).__name__}: {e}")]
-                yield pd.DataFrame(rows, columns=columns).astype({"ordinal": "Int32"})
+                    yield pd.DataFrame(rows, columns=columns).astype({"ordinal": "Int32"})
 
     schema = "file string, ordinal int, name string, value string, error string"
     return files.select("path", "delimiter").mapInPandas(read, schema)
@@ -120,7 +188,7 @@ def read_text_columns(
     raw = (
         spark.read.schema(schema)
         .options(header=True, sep=delimiter, quote='"', escape='"', multiLine=multi_line, encoding="UTF-8")
-        .options(mode="PERMISSIVE", columnNameOfCorruptRecord="_broken")
+        .options(mode="PERMISSIVE", columnNameOfCorruptRecord="_broken", maxColumns=MOST_COLUMNS)
         .csv([_literal(p) for p in ([paths] if isinstance(paths, str) else paths)])
     )
     # Undecodable bytes arrive as a replacement character.
@@ -168,14 +236,16 @@ def preview(spark: SparkSession, path: str, rows: int = PREVIEW_ROWS) -> tuple[i
     return table.count(), table.limit(rows)
 
 
-def schema_report(files: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def schema_report(files: DataFrame, sample_rows: int | None = None) -> DataFrame:
     """Per CSV file (path): delimiter, columns, profile and table definition,
-    or the error. The table is named by the lower-case file name, not in snake
+    or the error. Whole files are read, or with ``sample_rows`` their first
+    records. The table is named by the lower-case file name, not in snake
     case."""
-    delimited = with_delimiter(files)
-    cells = sample_cells(delimited, sample_rows)
-    errors = cells.where("error IS NOT NULL").select(F.col("file").alias("path"), "error")
-    profiled = profile.profile_columns(cells.where("error IS NULL").drop("error"))
+    delimited = checkpointed(with_delimiter(files))
+    cells = checkpointed(sample_cells(delimited, sample_rows))
+    errors = cells.where("error IS NOT NULL").groupBy(F.col("file").alias("path")).agg(F.first("error").alias("error"))
+    sound = cells.join(errors.select(F.col("path").alias("file")), "file", "left_anti")
+    profiled = profile.profile_columns(sound.drop("error"))
     stem = F.lower(F.regexp_replace(names.base_name("file"), r"\.[^.]*$", ""))
     ddl = profile.table_definitions(profiled, by="file", name=stem)
     columns = profiled.groupBy("file").agg(

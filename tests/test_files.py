@@ -286,13 +286,15 @@ def test_preview_and_report(spark, tmp_path):
     (tmp_path / "p.json").write_text('[{"a": 1}, {"a": 2}]')
     (tmp_path / "My Table.csv").write_text("First Name;Age\nann;5\nbob;\n")
     (tmp_path / "bad.csv").write_text("")
+    gone = spark.createDataFrame([(str(tmp_path / "gone.csv"),)], "path string")
     count, head = csv_files.preview(spark, str(tmp_path / "p.csv"))
     assert (count, head.count()) == (250, 200)
     count, head = csv_files.preview(spark, str(tmp_path / "p.json"))
     assert (count, head.columns) == (2, ["a"])
     files = file_source.discover_files(spark, str(tmp_path), include={"csv"})
-    report = {r.path.rsplit("/", 1)[-1]: r for r in csv_files.schema_report(files.select("path")).collect()}
-    assert set(report) == {"p.csv", "My Table.csv", "bad.csv"}
+    report = {r.path.rsplit("/", 1)[-1]: r for r in csv_files.schema_report(files.select("path").union(gone)).collect()}
+    assert set(report) == {"p.csv", "My Table.csv", "bad.csv", "gone.csv"}
+    assert "gone.csv" in report["gone.csv"].error and report["gone.csv"].delimiter is None
     assert "no header" in report["bad.csv"].error
     mine = report["My Table.csv"]
     assert mine.delimiter == ";" and [(c.name, c.snake, c.nullable) for c in mine.columns] == [

@@ -41,13 +41,13 @@ def test_load_types_and_audit(spark, tmp_path):
     table = spark.table("load_types.member_data")
     kinds = {name: kind for name, kind, _ in tables.describe(spark, "load_types.member_data")}
     assert kinds == {
-        "member_id": "varchar(5)",
-        "first_name": "varchar(7)",
+        "member_id": "string",
+        "first_name": "string",
         "dob": "date",
         "joined_at": "timestamp_ntz",
         "amount": "decimal(38,10)",
         "active": "boolean",
-        "note": "varchar(9)",
+        "note": "string",
         "load_batch": "string",
     }
     got = {r.member_id: r for r in table.collect()}
@@ -87,7 +87,7 @@ def test_a_used_batch_name_replaces_nothing(spark, tmp_path):
 
 
 def test_one_bad_file_stops_no_other(spark, tmp_path):
-    conf = settings("load_bad")
+    conf = settings("load_bad", sample_rows=500)
     good = "".join(f"{i},2024-01-05\n" for i in range(600))
     files = store(
         tmp_path,
@@ -119,7 +119,7 @@ def test_one_bad_file_stops_no_other(spark, tmp_path):
     assert state["late"].status == "FAILED" and "Incorrect" in state["late"].error_message
     assert state["late"].duration_ms is None
     # With a profile of the whole file, the column is text and the file loads.
-    whole = settings("load_whole", sample_rows=None)
+    whole = settings("load_whole")
     assert run(spark, [f for f in files if "late" in f[0]], whole)["late.csv"].status == "success"
 
 
@@ -131,12 +131,12 @@ def test_second_file_follows_the_first_schema(spark, tmp_path):
         ("3", "a,c\n1,2\n", "failed"),
         ("4", "b\nz\n", "failed"),
         ("5", "a;b\n7;w\n", "success"),
-        ("6", "a,b\n8,too long\n", "failed"),
+        ("6", "a,b\n8,longer than before\n", "success"),
     ):
         done = run(spark, store(tmp_path / name, {"t.csv": text}), conf, f"batch-{name}")
         assert done["t.csv"].status == status, (name, done)
     got = sorted((r.a, r.b) for r in spark.table("load_schema.t").collect())
-    assert got == [(1, "x"), (2, "y"), (7, "w")]
+    assert got == [(1, "x"), (2, "y"), (7, "w"), (8, "longer than before")]
 
 
 def test_routed_tables(spark, tmp_path):
@@ -205,8 +205,84 @@ def test_notices_end_to_end(spark, tmp_path):
         ("a|b\n1|2\n", "|"),
         ("a\n1\n", ","),
         ('"x,y";b\n"1,2,3";2\n', ";"),
+        ("a;b\n" + "1;2\n" * 20 + "3\n" + "4;5\n" * 20, ";"),
+        ("a,b;c\n1,5;2\n3;4\n5;6\n", ";"),
+        ('a|b\n"x\n,;y"|2\n', "|"),
+        ("", ","),
     ],
 )
 def test_delimiters(spark, text, delimiter):
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(csv_files.delimiter_of(F.col("t"))).first()[0] == delimiter
+
+
+@pytest.mark.parametrize("text", ["", "a;b\n" + "1;2\n" * 20 + "3\n", 'a|b\r\n"x\n,;y"|2\r\n', "a\tb\n\n\n1\t2", "x\n"])
+def test_delimiter_of_files_and_of_texts_agree(spark, tmp_path, text):
+    path = tmp_path / "f.csv"
+    path.write_bytes(text.encode())
+    files = spark.createDataFrame([(str(path),), (str(tmp_path / "none.csv"),)], "path string")
+    found = {r.path: r for r in csv_files.with_delimiter(files).collect()}
+    assert found[str(path)].delimiter == spark.range(1).select(csv_files.delimiter_of(F.lit(text))).first()[0]
+    assert found[str(tmp_path / "none.csv")].delimiter is None and found[str(tmp_path / "none.csv")].unread
+
+
+def test_a_lost_run_leaves_nothing_twice(spark, tmp_path, monkeypatch):
+    """A run ends after its tables are written and before it says so."""
+    conf = settings("load_lost")
+    files = store(tmp_path, {"a.csv": "x\n1\n2\n", "b.csv": "y\n5\n"})
+    append = load._append_events
+
+    def lose(events, to, batch):
+        if "SUCCESS" in {r.event for r in events.select("event").distinct().collect()}:
+            raise KeyboardInterrupt
+        append(events, to, batch)
+
+    monkeypatch.setattr(load, "_append_events", lose)
+    with pytest.raises(KeyboardInterrupt):
+        run(spark, files, conf, "first")
+    assert spark.table("load_lost.a").count() == 2
+    monkeypatch.setattr(load, "_append_events", append)
+    assert {r.status for r in run(spark, files[:1], conf, "second").values()} == {"success"}
+    assert spark.table("load_lost.a").count() == 2
+    assert {r.status for r in run(spark, files, conf, "third").values()} == {"success", "skipped"}
+    assert (spark.table("load_lost.a").count(), spark.table("load_lost.b").count()) == (2, 1)
+
+
+def test_a_bad_header_beside_a_good_file_of_one_table(spark, tmp_path):
+    conf = settings("load_header")
+    files = store(tmp_path / "1", {"t.csv": "a\n1\n"}) + store(tmp_path / "2", {"t.csv": "a a,a-a\n1,2\n"})
+    df = spark.createDataFrame(files, "path string, bucket string, key string")
+    done = {r.path: r for r in load_files(df, conf, "one").collect()}
+    assert [done[f[0]].status for f in files] == ["success", "failed"]
+    assert "share a column name" in done[files[1][0]].error_message
+    assert spark.table("load_header.t").count() == 1
+
+
+def test_a_file_that_vanishes_fails_alone(spark, tmp_path, monkeypatch):
+    conf = settings("load_gone")
+    files = store(tmp_path / "1", {"t.csv": "a\n1\n"}) + store(tmp_path / "2", {"t.csv": "a\n2\n"})
+    check = load._ensure_table
+
+    def vanish(*args):
+        check(*args)
+        (tmp_path / "2/store/b/mba/csv/t.csv").unlink(missing_ok=True)
+
+    monkeypatch.setattr(load, "_ensure_table", vanish)
+    df = spark.createDataFrame(files, "path string, bucket string, key string")
+    done = {r.path: r.status for r in load_files(df, conf, "one").collect()}
+    assert done == {files[0][0]: "success", files[1][0]: "failed"}
+    assert [r.a for r in spark.table("load_gone.t").collect()] == [1]
+
+
+def test_columns_named_as_the_job_names_its_own(spark, tmp_path):
+    conf = settings("load_names")
+    done = run(spark, store(tmp_path, {"t.csv": "a,Load Batch\n1,x\n"}), conf)
+    assert done["t.csv"].status == "success", done
+    assert [(r.a, r.load_batch_csv) for r in spark.table("load_names.t").collect()] == [(1, "x")]
+
+
+def test_the_whole_first_file_decides_the_schema(spark, tmp_path):
+    conf = settings("load_whole_file")
+    text = "n\n" + "1\n" * 600 + "word\n" + "x" * 140_000 + "\n"
+    done = run(spark, store(tmp_path, {"t.csv": text}), conf)
+    assert (done["t.csv"].status, done["t.csv"].rows_inserted) == ("success", 602)

@@ -111,7 +111,7 @@ def test_table_definitions(spark):
         ") ENGINE=InnoDB DEFAULT CHARSET=utf8mb4;"
     )
     spark_ddl = profile.table_definitions(profiled, "spark").first().ddl
-    assert "`c_123_name` VARCHAR(3)\n) USING parquet" in spark_ddl and "BIGINT COMMENT 'NOT NULL'" in spark_ddl
+    assert "`c_123_name` STRING\n) USING parquet" in spark_ddl and "BIGINT COMMENT 'NOT NULL'" in spark_ddl
     with pytest.raises(ValueError):
         profile.table_definitions(profiled, "other")
 
