@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import names, question_text
 from ledgerline.operators import benefits, deductibles, members as member_ops
+from ledgerline.session import checkpointed
 from ledgerline.operators.questions import EMPTY_QUESTION, question_intents
 
 # The texts of an answer and the year of its balances.
@@ -49,8 +50,8 @@ def answer_questions(
     """The answer to each question (question_id, question): ``status``,
     ``summary`` or ``error``, and the ``reply`` shown to the caller.
 
-    Every member key carries the member's benefits and balances as text, so
-    questions meet all of it in a single join.
+    Questions meet their members first. Benefits and balances are then folded
+    for the members found whose question asks for a summary, and for no others.
     """
     asked = question_intents(questions).select(
         F.col("question_id").alias("request_id"),
@@ -59,9 +60,13 @@ def answer_questions(
         "dob",
         F.coalesce("member_id", "dob", "plan_name", "group_number").isNotNull().alias("has_identifier"),
     )
-    texts = benefits.benefit_lines(accumulator).join(balance_lines(deductible_rows), "member_id", "full_outer")
-    keyed = member_ops.members_by_key(members).join(texts, "member_id", "left")
-    known = member_ops.match_members(asked, keyed, keep=("question", "has_identifier"))
+    keyed = member_ops.members_by_key(members)
+    matched = checkpointed(member_ops.match_members(asked, keyed, keep=("question", "has_identifier")))
+    shows = question_text.asks_for_summary(F.col("question"))
+    wanted = matched.where(F.col("valid") & shows).select("member_id").distinct()
+    benefit = benefits.benefit_lines(accumulator.join(wanted, "member_id", "left_semi"))
+    balance = balance_lines(deductible_rows.join(wanted, "member_id", "left_semi"))
+    known = matched.join(benefit, "member_id", "left").join(balance, "member_id", "left")
 
     def shown(c: str) -> Column:
         return F.coalesce(F.col(c), F.lit("None"))
@@ -81,7 +86,7 @@ def answer_questions(
         .when(~F.col("has_identifier"), F.lit(NO_IDENTIFIER))
         .when(~F.col("valid"), F.lit(NOT_VERIFIED))
     )
-    summary = F.when(question_text.asks_for_summary(F.col("question")), full).otherwise(F.lit(PROCESSED))
+    summary = F.when(shows, full).otherwise(F.lit(PROCESSED))
     reply = (
         F.when(F.coalesce("question", F.lit("")) == "", F.lit(NO_QUESTION))
         .when(F.col("error").isNotNull(), F.concat(F.lit("I encountered an issue: "), "error"))

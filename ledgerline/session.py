@@ -34,12 +34,14 @@ def build_session(app: str = "ledgerline", master: str | None = None, **settings
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints, as the cluster names it.
 
-    Only a session without ``spark.checkpoint.dir`` (a test on one machine)
-    gets a temporary folder.
+    A session on one machine that names none, as in a test, gets a temporary
+    folder; on a cluster that is an error, as machines do not see each other's.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
     local = tempfile.mkdtemp(prefix="ledgerline-checkpoint-")
     spark.conf.set("spark.checkpoint.dir", local)
     return local
