@@ -29,6 +29,7 @@ from ledgerline.operators import (
     remote,
 )
 from ledgerline.plans import summary
+from ledgerline.sources import csv_files
 from ledgerline.sources import notices as notice_source
 from ledgerline.sources import tables
 
@@ -545,6 +546,58 @@ def table_ddl(spark: SparkSession, sf: str) -> DataFrame:
     return profile.table_definitions(_profiles(spark, sf).withColumn("table_name", names.table_name("file")))
 
 
+@query(
+    """
+    WITH files AS (
+      SELECT p_partkey, p_brand, p_size, CASE p_partkey % 4 WHEN 0 THEN ',' WHEN 1 THEN ';' WHEN 2 THEN chr(9) ELSE '|' END AS mark
+      FROM part),
+    lines AS (
+      SELECT p_partkey, CASE WHEN i = 0 THEN 'a' || mark || 'b' || mark || 'c'
+                             WHEN i % (CASE WHEN p_partkey % 10 = 3 THEN 2 ELSE 20 END) = 1 THEN p_brand
+                             ELSE p_brand || mark || i || mark || '"' || p_size || ',' || chr(10) || ';"' END AS line
+      FROM files, range(31) r(i)),
+    counts AS (
+      SELECT p_partkey, d, pos, len(bare) - len(replace(bare, d, '')) AS n, count(*) AS seen
+      FROM (SELECT p_partkey, regexp_replace(line, '"[^"]*"', '', 'g') AS bare FROM lines),
+           (VALUES (',', 0), (';', 1), (chr(9), 2), ('|', 3)) v(d, pos)
+      GROUP BY ALL)
+    SELECT p.p_partkey, coalesce(c.d, ',') AS delimiter
+    FROM part p LEFT JOIN (SELECT p_partkey, arg_min(d, pos) AS d FROM counts WHERE n > 0 AND seen >= 0.9 * 31 GROUP BY p_partkey) c
+      USING (p_partkey)
+    """
+)
+def delimiter_choice(spark: SparkSession, sf: str) -> DataFrame:
+    """The delimiter of a small file made of each part: four separators, some
+    short records, and files where too many are short."""
+    number, mark = F.col("p_partkey"), F.element_at(F.array(*map(F.lit, ",;\t|")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    every = F.when(number % 10 == 3, F.lit(2)).otherwise(F.lit(20))
+    quoted = F.concat(F.lit('"'), F.col("p_size").cast("string"), F.lit(',\n;"'))
+    record = lambda i: F.when(i % every == 1, F.col("p_brand")).otherwise(
+        F.concat_ws(mark_text, F.col("p_brand"), i.cast("string"), quoted)
+    )
+    mark_text = "\x00"
+    body = F.transform(F.sequence(F.lit(1), F.lit(30)), record)
+    text = F.array_join(F.concat(F.array(F.lit(mark_text.join("abc"))), body), "\n")
+    return table(spark, sf, "part").select("p_partkey", csv_files.delimiter_of(F.replace(text, F.lit(mark_text), mark)).alias("delimiter"))
+
+
+@query(
+    """
+    SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 4 = 1 THEN NULL ELSE c_name END AS name
+    FROM customer
+    """
+)
+def blank_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells that are empty or all white space become NULL, others are trimmed."""
+    cell = (
+        F.when(F.col("c_custkey") % 4 == 0, F.lit(""))
+        .when(F.col("c_custkey") % 4 == 1, F.lit(" \t\u00a0\n"))
+        .when(F.col("c_custkey") % 4 == 2, F.concat(F.lit(" \t"), "c_name", F.lit("\u2003 ")))
+        .otherwise(F.col("c_name"))
+    )
+    return table(spark, sf, "customer").select("c_custkey", names.blank_to_null(cell).alias("name"))
+
+
 # --- Audit and ingest ------------------------------------------------------
 
 
