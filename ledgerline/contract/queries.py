@@ -737,6 +737,10 @@ _BENEFIT_REQUESTS = """
     "v_accum",
 )
 def benefit_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    return benefits.benefit_lookup(_benefit_requests(spark, sf), derived.accumulator(spark, sf))
+
+
+def _benefit_requests(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("c_custkey")
     services = [
         "Massage Therapy",
@@ -747,12 +751,29 @@ def benefit_lookup(spark: SparkSession, sf: str) -> DataFrame:
         "Invalid Service",
         "",
     ]
-    asked = derived.members(spark, sf).select(
+    return derived.members(spark, sf).select(
         n.alias("request_id"),
         F.when(n % 13 != 0, F.col("member_id")).alias("member_id"),
         derived._pick(n, *services).alias("service"),
     )
-    return benefits.benefit_lookup(asked, derived.accumulator(spark, sf))
+
+
+@query(
+    _BENEFIT_REQUESTS
+    + """
+    , r AS (SELECT request_id, lower(member_id) AS member_id, upper(service) AS service FROM q)
+    SELECT r.request_id, r.member_id, r.service,
+           CASE WHEN r.member_id = '' OR r.service = '' THEN 'error' WHEN a.used IS NULL THEN 'not_found' ELSE 'success' END AS status,
+           a.allowed_limit, a.used, a.remaining,
+           CASE WHEN r.member_id = '' THEN 'member_id cannot be empty' WHEN r.service = '' THEN 'service cannot be empty'
+                WHEN a.used IS NULL THEN 'No benefit accumulator data found for ' || r.member_id || ' - ' || r.service END AS message
+    FROM r LEFT JOIN v_accum a ON lower(a.member_id) = r.member_id AND upper(a.service) = r.service
+    """,
+    "v_accum",
+)
+def benefit_lookup_any_case(spark: SparkSession, sf: str) -> DataFrame:
+    asked = _benefit_requests(spark, sf).withColumns({"member_id": F.lower("member_id"), "service": F.upper("service")})
+    return benefits.benefit_lookup(asked, derived.accumulator(spark, sf), any_case=True)
 
 
 @query(
@@ -968,6 +989,25 @@ def verify_two_stage(spark: SparkSession, sf: str) -> DataFrame:
     return members.verify_in_two_stages(derived.verify_requests(spark, sf), derived.members(spark, sf))
 
 
+@query(
+    """
+    SELECT request_id, CASE WHEN hit THEN lower(member_id) END AS member_id, CASE WHEN hit THEN name END AS name,
+           CASE WHEN hit THEN dob END AS date_of_birth, CASE WHEN hit THEN 'verified' ELSE 'invalid' END AS status
+    FROM (SELECT r.request_id, r.member_id, r.dob, m.name, m.member_id IS NOT NULL AS hit,
+                 r.member_name IS NOT NULL AND EXISTS (SELECT 1 FROM v_members x WHERE CAST(x.dob AS VARCHAR) = r.dob
+                        AND lower(x.name) LIKE '%' || lower(r.member_name) || '%') AS by_name
+          FROM v_requests r LEFT JOIN v_members m ON lower(m.member_id) = lower(r.member_id) AND CAST(m.dob AS VARCHAR) = r.dob)
+    WHERE hit OR NOT by_name
+    """,
+    "v_requests",
+)
+def verify_two_stage_any_case(spark: SparkSession, sf: str) -> DataFrame:
+    asked = derived.verify_requests(spark, sf).withColumns(
+        {"member_id": F.lower("member_id"), "member_name": F.upper("member_name")}
+    )
+    return members.verify_in_two_stages(asked, derived.members(spark, sf), any_case=True)
+
+
 _INTENTS = r"""
     , t AS (SELECT question_id, question, trim(question) AS q, lower(trim(question)) AS l FROM v_questions),
     i AS (SELECT question_id, question,

@@ -46,15 +46,16 @@ def _one_per_service(accumulator: DataFrame) -> DataFrame:
     return accumulator.groupBy("member_id", "service").agg(first).select("member_id", "service", "first.*")
 
 
-def benefit_lookup(requests: DataFrame, accumulator: DataFrame) -> DataFrame:
+def benefit_lookup(requests: DataFrame, accumulator: DataFrame, any_case: bool = False) -> DataFrame:
     """The benefit of each request (request_id, member_id, service), with
-    status success, not_found or error."""
+    status success, not_found or error. ``any_case`` ignores case and accents."""
     asked = requests.select(
         "request_id",
         F.coalesce(names.strip("member_id"), F.lit("")).alias("member_id"),
         F.coalesce(names.strip("service"), F.lit("")).alias("service"),
-    )
-    rows = _one_per_service(accumulator).withColumn("found", F.lit(True))
+    ).withColumns({"k_member": _folded("member_id", any_case), "k_service": _folded("service", any_case)})
+    folded = accumulator.withColumns({c: _folded(c, any_case) for c in ("member_id", "service")})
+    rows = _one_per_service(folded).withColumnsRenamed({"member_id": "k_member", "service": "k_service"})
     blank = (F.col("member_id") == "") | (F.col("service") == "")
     found = F.coalesce("found", F.lit(False))
     missing = F.concat(
@@ -63,7 +64,7 @@ def benefit_lookup(requests: DataFrame, accumulator: DataFrame) -> DataFrame:
     blank_text = F.when(F.col("member_id") == "", F.lit("member_id cannot be empty")).otherwise(
         F.lit("service cannot be empty")
     )
-    return lookup_join(asked, rows, ["member_id", "service"], ["request_id"]).select(
+    return lookup_join(asked, rows.withColumn("found", F.lit(True)), ["k_member", "k_service"], ["request_id"]).select(
         "request_id",
         "member_id",
         "service",

@@ -121,9 +121,10 @@ def _pieces(text: Column, length: Column) -> Column:
     return F.when(length == 0, F.array(F.lit(""))).when(last < 1, none).otherwise(F.array_distinct(cut))
 
 
-def name_matches(requests: DataFrame, members: DataFrame) -> DataFrame:
+def name_matches(requests: DataFrame, members: DataFrame, any_case: bool = False) -> DataFrame:
     """Distinct (dob, member_name) of requests for which some member born that
     day has a name LIKE ``%member_name%``; wildcards in the text count.
+    ``any_case`` ignores case, but not accents, which LIKE cannot.
 
     Names are cut into pieces of the lengths that the texts of their date have
     (few per date), and a text meets only the names that hold its longest
@@ -132,7 +133,8 @@ def name_matches(requests: DataFrame, members: DataFrame) -> DataFrame:
     first match.
     """
     # An escape before a plain character stands for that character.
-    text = F.regexp_replace("member_name", r"(?<!\\)\\(?![%_\\]|$)", "")
+    fold = F.lower if any_case else F.col
+    text = F.regexp_replace(fold("member_name"), r"(?<!\\)\\(?![%_\\]|$)", "")
     asked = (
         requests.where("member_name IS NOT NULL AND dob IS NOT NULL")
         .select("dob", "member_name")
@@ -145,7 +147,8 @@ def name_matches(requests: DataFrame, members: DataFrame) -> DataFrame:
         )
     )
     lengths = asked.groupBy("dob").agg(F.collect_set(F.length("piece")).alias("lengths"))
-    people = member_rows(members).where("name IS NOT NULL AND dob IS NOT NULL").select("dob", "name").distinct()
+    people = member_rows(members).where("name IS NOT NULL AND dob IS NOT NULL")
+    people = people.select("dob", fold("name").alias("name")).distinct()
     pieces = F.flatten(F.transform("lengths", lambda n: _pieces(F.col("name"), n)))
     held = lookup_join(people, lengths, ["dob"], ["name"], how="inner").select(
         "dob", "name", slice_of("name", slices=PATTERN_SLICES).alias("_part"), F.explode(pieces).alias("piece")
@@ -161,23 +164,27 @@ def name_matches(requests: DataFrame, members: DataFrame) -> DataFrame:
     return a.join(h, same, "left_semi").select("dob", "member_name").distinct()
 
 
-def verify_in_two_stages(requests: DataFrame, members: DataFrame, show_name_only: bool = False) -> DataFrame:
+def verify_in_two_stages(
+    requests: DataFrame, members: DataFrame, show_name_only: bool = False, any_case: bool = False
+) -> DataFrame:
     """Verify requests (request_id, member_id, dob, member_name) by id and
-    date, then by name and date.
+    date, then by name and date. ``any_case`` ignores case and, in ids, accents.
 
     A request that only the name verifies has no row, as the answer is read by
     id and date; ``show_name_only`` gives it one, status ``verified_by_name``.
     """
     person = member_rows(members).where("member_id IS NOT NULL AND dob IS NOT NULL")
     exact = (
-        person.groupBy("member_id", "dob")
+        person.groupBy(_folded(F.col("member_id"), any_case).alias("k_id"), "dob")
         .agg(F.min(F.struct("name")).alias("m"))
-        .select("member_id", "dob", "m.name", F.lit(True).alias("exact"))
+        .select("k_id", "dob", "m.name", F.lit(True).alias("exact"))
+    )
+    asked = requests.select(
+        "request_id", "member_id", "dob", "member_name", _folded(F.col("member_id"), any_case).alias("k_id")
     )
-    asked = requests.select("request_id", "member_id", "dob", "member_name")
-    first = lookup_join(asked, exact, ["member_id", "dob"], ["request_id"])
+    first = lookup_join(asked, exact, ["k_id", "dob"], ["request_id"])
     hit = F.coalesce("exact", F.lit(False))
-    by_name = name_matches(first.where(~hit), members).withColumn("by_name", F.lit(True))
+    by_name = name_matches(first.where(~hit), members, any_case).withColumn("by_name", F.lit(True))
     both = lookup_join(first, by_name, ["dob", "member_name"], ["request_id"], keys=asked)
     name_hit = ~hit & F.coalesce("by_name", F.lit(False))
     status = F.when(hit, F.lit("verified")).when(name_hit, F.lit("verified_by_name")).otherwise(F.lit("invalid"))
