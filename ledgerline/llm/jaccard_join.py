@@ -9,18 +9,18 @@ band, where k is 1, has one segment and is indexed by the set and by all sets
 with one element less instead.
 
 Cost decides what is indexed. The choice between segments and neighbourhoods is
-the one with fewer entries. Of its subsets a set needs no more than
-``k + 1``, so it drops others first: empty ones, then by hash. It indexes
-``reserve`` more than it needs, and after all entries are counted it drops as
-many of its most frequent ones, which is where long passages that many texts
-share end up. Both orders are the same for all sets, so the cheapest subset
-that two linked sets share is never dropped by either.
+the one with fewer entries. Segments are many and small, and a set needs no more
+than ``k + 1`` of its subsets: it leaves out the empty ones, and after all
+entries are counted it drops its most frequent ones until so many are left. The
+parts of passages that many texts share go that way. The order by cost is the
+same for all sets, so the cheapest subset that two linked sets share is never
+dropped by either.
 
 Sets that meet are compared exactly. Equal sets are one class from the start.
 In a group that shares a subset every class is first compared with a few
 others; classes that are connected by then are not compared again, and whatever
-is left is compared in full, so no link between components is lost, and a large
-group of near copies is never written as pairs.
+is left is compared in full in blocks of bounded size, so no link between
+components is lost, and a large group of near copies is never written as pairs.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import SPACE_BYTES, batches, checkpointed, components, free_name, staged
+from ledgerline.llm.common import SPACE_BYTES, Forest, batches, checkpointed, components, free_name, staged
 
 WORDS = 5
 # The threshold as a fraction of whole numbers: 100 * intersection >= 80 * union.
@@ -41,6 +41,8 @@ SHARE, WHOLE = 80, 100
 # A band reaches from its lowest size to about so many times it.
 SPREAD = 2.0
 SMALL = 8  # the upper end of the first band
+PART = 2.0  # elements that a segment of the largest sets of a band has on average
+BLOCK = 512  # sets of a block in a full comparison
 RUN = 1 << 20  # bytes of a text that are cut into words at once
 
 _WHITE = np.zeros(256, bool)
@@ -123,11 +125,6 @@ def widest(a: int) -> int:
     return a * WHOLE // SHARE
 
 
-def reserve(a: int) -> int:
-    """Entries a set indexes beyond need, to drop its most frequent ones later."""
-    return 1 + most_apart(a, widest(a)) // 6
-
-
 @lru_cache(maxsize=4096)
 def bands(size: int) -> tuple[tuple[int, int, int], ...]:
     """(number, upper size, segments) of the bands that hold a size; 0 segments
@@ -144,45 +141,42 @@ def bands(size: int) -> tuple[tuple[int, int, int], ...]:
 def _segments(high: int) -> int:
     """The cheaper allocation for a band up to size ``high``."""
     k = most_apart(high, high)
-    subsets = k + 1 + reserve(high)
     # One-deletion needs a segment for each two differences, and an entry for each element.
     neighbours = math.ceil((k + 1) / 2) + high
-    if k <= 1 and neighbours <= 4 * subsets:
-        return 0
-    return math.ceil(1.15 * (k + 1)) + reserve(high) + 2
+    segments = math.ceil(high / PART) + 2
+    return 0 if k <= 1 and neighbours <= 2 * segments else segments
 
 
-def entries(found: np.ndarray) -> np.ndarray:
-    """The index entries of a set. The lowest bit has the parity of the band,
-    by which the two bands of a set are told apart."""
+def entries(found: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """The index entries of a set for each of its bands, and how many of them,
+    the most frequent, it may drop. The lowest bit of an entry has the parity
+    of its band."""
     size, out = len(found), []
-    if size * SHARE // WHOLE == size - 1 and size <= WHOLE // (WHOLE - SHARE) - 2:
-        return np.zeros(0, np.uint64)  # so small that only equal sets link
+    if widest(size) == size:
+        return out  # so small that only equal sets link
     mixed = mix(found * _C3 + _C1)
     for number, high, segments in bands(size):
         salt = mix(np.array([number], np.uint64) * _C1 + _C2)
         if not segments:
             whole = mixed.sum()
             some = np.concatenate([[whole], whole - mixed]) if size > 4 else np.array([whole], np.uint64)
-            some = mix(some ^ salt)
+            some, spare = mix(some ^ salt), 0
         else:
             part = ((mixed >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
             order = np.argsort(part, kind="stable")
             ordered = part[order]
             first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
             some = mix(np.add.reduceat(mix(mixed[order] + _C2), first) ^ mix(ordered[first] * _C3 + salt))
-            # The empty segments cost most and go first; the others by hash.
-            need = most_apart(size, min(widest(size), high)) + 1 + reserve(size)
-            if len(some) < need:
+            need = most_apart(size, min(widest(size), high)) + 1
+            spare = max(0, len(some) - need)
+            if len(some) < need:  # empty segments cost most; here some are needed, the first ones
                 absent = np.setdiff1d(np.arange(segments, dtype=np.uint64), ordered)[: need - len(some)]
                 some = np.concatenate([some, mix(absent * _C3 + salt + _C2)])
-            else:
-                some = np.partition(some, need - 1)[:need] if need < len(some) else some
-        out.append((some & ~np.uint64(1)) | np.uint64(number & 1))
-    return np.concatenate(out)
+        out.append(((some & ~np.uint64(1)) | np.uint64(number & 1), spare))
+    return out
 
 
-_KEYS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64())])
+_KEYS = pa.schema([(c, pa.int64()) for c in ("doc_id", "n", "cls", "even", "odd")])
 _ENTRIES = pa.schema([("sig", pa.int64()), ("cls", pa.int64())])
 _SETS = pa.schema([("cls", pa.int64()), ("tokens", pa.binary())])
 
@@ -196,7 +190,8 @@ def _keys(parts):
         for part in parts:
             for doc_id, text in _texts(part, 1):
                 found = shingles(text)
-                yield doc_id, len(found), class_key(found)
+                spare = {int(some[0]) & 1: n for some, n in entries(found)}
+                yield doc_id, len(found), class_key(found), spare.get(0, 0), spare.get(1, 0)
 
     yield from batches(_KEYS, rows())
 
@@ -214,7 +209,10 @@ def _index(parts):
             if len(seen) > 2_000_000:
                 seen.clear()  # a class that comes again is only indexed again
             seen.add(key)
-            some = entries(found)
+            some = [e for e, _ in entries(found)]
+            if not some:
+                continue
+            some = np.concatenate(some)
             held.append((some, np.full(len(some), key, np.int64)))
             weight += len(some)
             if weight > 200_000:
@@ -265,13 +263,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     one = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta"))
     two = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb"))
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
-    return staged(both.mapInArrow(_verify, "a long, b long, linked boolean"), "pairs")
-
-
-def _reserve(n):
-    """``reserve`` as a column."""
-    wide = F.floor(n * WHOLE / SHARE)
-    return F.lit(1) + F.floor(F.floor((n + wide) * (WHOLE - SHARE) / (WHOLE + SHARE)) / 6)
+    return both.mapInArrow(_verify, "a long, b long, linked boolean")
 
 
 def _met(slim: DataFrame, index: DataFrame) -> DataFrame:
@@ -284,13 +276,12 @@ def _met(slim: DataFrame, index: DataFrame) -> DataFrame:
         .select("sig", "cls"),
         "shared",
     ).distinct()
-    sizes = slim.groupBy("cls").agg(F.first("n").alias("n"))
+    sizes = slim.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("n", "even", "odd")])
     counts = shared.groupBy("sig").agg(F.count("*").alias("c"))
     told = shared.join(counts, "sig").join(sizes, "cls")
     parity = F.col("sig").bitwiseAND(1)
     rank = F.row_number().over(Window.partitionBy("cls", parity).orderBy(F.desc("c"), "sig"))
-    small = (F.col("n") <= SMALL) & (parity == 0)
-    kept = told.withColumn("rank", rank).where(small | (F.col("rank") > _reserve(F.col("n"))))
+    kept = told.withColumn("rank", rank).where(F.col("rank") > F.when(parity == 0, F.col("even")).otherwise(F.col("odd")))
     kept = kept.withColumn("m", F.count("*").over(every)).where("m > 1")
     return staged(kept.select("sig", "cls", "n"), "met")
 
@@ -316,17 +307,54 @@ def _with_centre(own: DataFrame, order) -> DataFrame:
     return met.select(F.least("cls", "m.cls").alias("a"), F.greatest("cls", "m.cls").alias("b")).distinct()
 
 
-def _all_pairs(own: DataFrame) -> DataFrame:
-    """Pairs of classes of different components that share a group."""
-    x, y = own.alias("x"), own.alias("y")
-    met = x.join(
-        y,
-        (F.col("x.sig") == F.col("y.sig"))
-        & (F.col("x.cls") < F.col("y.cls"))
-        & (F.col("x.comp") != F.col("y.comp"))
-        & _sizes_fit(F.col("x.n"), F.col("y.n")),
+def _hosted(own: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between classes of different components that share a group.
+
+    The component with the most classes in a group is its host, and all classes
+    of the group visit it. Everything that visits a host is compared there, in
+    pairs of blocks, so the pairs of a group are never rows: a task gets two
+    blocks of sets and gives on at most one link for each of them.
+    """
+    many = own.groupBy("comp").agg(F.count_distinct("cls").alias("many"))
+    hosts = own.join(many, "comp").groupBy("sig").agg(F.min(F.struct(-F.col("many"), "comp")).alias("h"))
+    visits = own.join(hosts, "sig").select(F.col("h.comp").alias("host"), "cls", "comp").distinct()
+    visits = checkpointed(visits)
+    blocks = visits.groupBy("host").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    placed = visits.join(blocks, "host").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    spread = placed.select("host", "cls", "comp", "block", F.explode(every).alias("other"))
+    meeting = spread.select(
+        "host", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "comp"
     )
-    return met.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+    full = meeting.join(sets, "cls").select("host", "i", "j", "block", "cls", "comp", "tokens")
+    return full.groupBy("host", "i", "j").applyInArrow(_meet, "a long, b long")
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """Links of one or two blocks, as few as connect what is linked."""
+    cls, comp, block = (np.asarray(table[c]) for c in ("cls", "comp", "block"))
+    found = [np.frombuffer(t.as_buffer(), np.uint64) for t in table["tokens"]]
+    size = np.fromiter(map(len, found), np.int64, len(found))
+    flat = np.concatenate(found)
+    owner = np.repeat(np.arange(len(found)), size)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    two = len(np.unique(block)) > 1
+    forest, out = Forest(), []
+    for x in range(len(found)):
+        low, high = np.searchsorted(flat, found[x]), np.searchsorted(flat, found[x], side="right")
+        n = high - low
+        spots = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        common = np.bincount(owner[spots], minlength=len(found))
+        hit = (WHOLE * common >= SHARE * (size + size[x] - common)) & (comp != comp[x])
+        hit[: x + 1] = False
+        if two:
+            hit &= block != block[x]
+        for y in np.flatnonzero(hit).tolist():
+            if forest.join(int(comp[x]), int(comp[y])):
+                out.append((int(cls[x]), int(cls[y])))
+    a, b = zip(*out, strict=True) if out else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -341,7 +369,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text)
-    slim = staged(given.mapInArrow(_keys, "doc_id long, n long, cls long"), "classes")
+    slim = staged(given.mapInArrow(_keys, "doc_id long, n long, cls long, even long, odd long"), "classes")
     met = _met(slim, given.select("doc_id", "text").mapInArrow(_index, "sig long, cls long"))
 
     # The sets of the classes that met another, each from one of its documents.
@@ -351,22 +379,19 @@ def near_groups(docs: DataFrame) -> DataFrame:
     sets = staged(heard.mapInArrow(_sets, "cls long, tokens binary"), "sets").dropDuplicates(["cls"])
     sets = staged(sets.join(wanted, "cls", "left_semi"), "sets")
 
-    done, groups = None, None
     # A centre for all groups alike, then one for each group, then whatever is left.
-    for pairs in (
-        lambda own: _with_centre(own, F.col("cls")),
-        lambda own: _with_centre(own, F.xxhash64("sig", "cls")),
-        _all_pairs,
-    ):
+    links, groups = None, None
+    for step in ("same centre", "own centre", "rest"):
         own = staged(_labelled(met, groups), "labelled")
         if own.isEmpty():
             break
-        new = pairs(own)
-        if done is not None:
-            new = new.join(done, ["a", "b"], "left_anti")
-        tested = _verified(new, sets)
-        done = tested if done is None else done.union(tested)
-        groups = checkpointed(components(done.where("linked").select("a", "b")))
+        if step == "rest":
+            new = _hosted(own, sets)
+        else:
+            centre = F.col("cls") if step == "same centre" else F.xxhash64("sig", "cls")
+            new = _verified(_with_centre(own, centre), sets).where("linked").select("a", "b")
+        links = staged(new if links is None else links.union(new), "links")
+        groups = checkpointed(components(links))
 
     if groups is None:
         named = slim.withColumn("group", F.col("cls"))
