@@ -1008,6 +1008,7 @@ def verify_two_stage_any_case(spark: SparkSession, sf: str) -> DataFrame:
     return members.verify_in_two_stages(asked, derived.members(spark, sf), any_case=True)
 
 
+# Fixed values below: the patterns and words of the question rules.
 _INTENTS = r"""
     , t AS (SELECT question_id, question, trim(question) AS q, lower(trim(question)) AS l FROM v_questions),
     i AS (SELECT question_id, question,
@@ -1044,6 +1045,7 @@ def question_batch(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("question_id", "intent", "params.*", "error", "error_text")
 
 
+# Fixed values below: the words and lines of the summary rules.
 _SUMMARY = r"""
     , p AS (SELECT i.*, coalesce(m.member_id, d.member_id) AS found,
                    regexp_matches(lower(question), 'complete|everything|all|show me') AS wants

@@ -58,6 +58,7 @@ def benefit_lookup(requests: DataFrame, accumulator: DataFrame, any_case: bool =
     rows = _one_per_service(folded).withColumnsRenamed({"member_id": "k_member", "service": "k_service"})
     blank = (F.col("member_id") == "") | (F.col("service") == "")
     found = F.coalesce("found", F.lit(False))
+    # The messages of a lookup.
     missing = F.concat(
         F.lit("No benefit accumulator data found for "), "member_id", F.lit(" - "), "service"
     )

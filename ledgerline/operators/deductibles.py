@@ -119,6 +119,7 @@ def structured_balances(rows: DataFrame, order_by: str | Column | None = None) -
     )
 
 
+# Fixed values in the two functions below: the messages of a lookup.
 def _argument_error(checked: dict[str, tuple[str, ...]]) -> Column:
     blank = F.col("member_id") == ""
     low, high = YEARS

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from ledgerline.functions import names
 from ledgerline.operators.spread import hash_bucket, number_hashes, slice_of
 
+# Texts of the report.
 RULE = "=" * 50
+TITLE = "Duplicate Detection Report"
 
 
 def with_hash(files: DataFrame, algorithm: str = "md5") -> DataFrame:
@@ -182,7 +184,7 @@ def duplicate_report(files: DataFrame, base_dir: str | None = None) -> DataFrame
     found = F.format_string("Found %d duplicate files in %d groups", "total_duplicates", "groups")
     some = F.array(line(0, 3, found), line(0, 4, F.lit("")))
     none = F.array(line(0, 3, F.lit("No duplicates found")))
-    title = F.array(*[line(0, i, F.lit(t)) for i, t in enumerate((RULE, "Duplicate Detection Report", RULE))])
+    title = F.array(*[line(0, i, F.lit(t)) for i, t in enumerate((RULE, TITLE, RULE))])
     # Of the slice rows of a group, the one with its earliest file stands for it.
     stats = totals.where(F.col("_slice") == slice_of("first.path")).agg(
         F.count("*").alias("groups"), F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("total_duplicates")

@@ -126,6 +126,7 @@ def transfer_plan(
     no_scope = F.col("scope").isNull()
     bad_scope = F.col("bucket").isNull()
     upload: Column = where if dry_run else F.concat(F.lit("Uploaded to "), where)
+    # The messages of a transfer.
     action = F.when(no_scope | bad_scope, F.lit("fail"))
     message = F.when(no_scope, F.lit("Could not determine scope for file")).when(
         bad_scope, F.concat(F.lit("Invalid scope: "), "scope")

@@ -8,6 +8,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerline.functions import question_text
 from ledgerline.operators import benefits, deductibles, members, questions
 from ledgerline.plans.summary import answer_questions
 from ledgerline.sources import tables
@@ -15,6 +16,7 @@ from ledgerline.sources import tables
 
 @pytest.fixture(scope="module")
 def people(spark):
+    # The sample members.
     rows = [
         ("M1001", "Brandi", "Kim", "2005-05-23"),
         ("M1002", "Anthony", "Brown", "1987-12-14"),
@@ -325,3 +327,27 @@ def test_routines(spark, usage):
     assert known.call_with_status("GetBenefitAccumulator", ["M9", "Massage Therapy", 2025])[0] == "not_found"
     with pytest.raises(KeyError):
         known.call("other")
+
+
+def test_digits_of_other_scripts_are_years(spark):
+    texts = [(1, "deductible for 20٢٣ please"), (2, "year 20२४"), (3, "no year"), (4, "2022")]
+    asked = spark.createDataFrame(texts, "question_id long, question string")
+    found = {r[0]: r[1] for r in asked.select("question_id", question_text.plan_year(F.col("question"))).collect()}
+    assert found == {1: 2023, 2: 2024, 3: 2025, 4: 2022}
+    assert questions.question_intents(asked).count() == 4
+
+
+def test_balances_are_combined_by_hash(spark):
+    rows = spark.createDataFrame(
+        [("M1", 2024, "deductible", "individual", "in_network", a, b, k) for k, (a, b) in enumerate([("-5.25", "1"), ("7", "0.50"), ("7", "0.75"), (None, "9")])],
+        "member_id string, plan_year int, deductible_type string, coverage_level string, network_type string,"
+        " limit_amount string, used_amount string, seq long",
+    )
+    largest, last = deductibles.flat_balances(rows), deductibles.flat_balances(rows.where("seq < 2"), F.col("seq") * -1)
+    assert largest.first()["ded_individual_in_network_limit"] == Decimal("7.00")
+    assert largest.first()["ded_individual_in_network_used"] == Decimal("0.75")
+    assert last.first()["ded_individual_in_network_remaining"] == Decimal("-6.25")
+    assert last.first()["oop_family_in_network_limit"] == 0
+    for df in (largest, last):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan

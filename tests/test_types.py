@@ -26,10 +26,13 @@ def by_format(*formats):
     return lambda v: any(parses(lambda x, f=f: dt.datetime.strptime(x, f))(v) for f in formats)
 
 
+# The words of a boolean column.
+BOOLEAN_WORDS = ["true", "false", "t", "f", "yes", "no", "y", "n", "0", "1"]
+
 EXPECTED = {
     "is_int": parses(int),
     "is_float": parses(float),
-    "is_bool": lambda v: v.lower() in "true false t f yes no y n 0 1".split(),
+    "is_bool": lambda v: v.lower() in BOOLEAN_WORDS,
     "is_date": by_format("%Y-%m-%d", "%d-%m-%Y", "%m/%d/%Y"),
     "is_datetime": by_format("%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%d-%m-%Y %H:%M:%S"),
 }
