@@ -304,3 +304,14 @@ def test_preview_and_report(spark, tmp_path):
     assert mine.ddl.startswith("CREATE TABLE IF NOT EXISTS `my table` (\n  `first_name` VARCHAR(3) NOT NULL,")
     counts = csv_files.record_counts(spark, [str(tmp_path / "p.csv"), str(tmp_path / "My Table.csv")])
     assert {r.path.rsplit("/", 1)[-1]: r.records for r in counts.collect()} == {"p.csv": 250, "My Table.csv": 2}
+
+
+def test_copies_of_several_files_of_one_group(spark, rows):
+    when = dt.datetime(2024, 1, 1)
+    files = spark.createDataFrame(
+        [(p, 1, when, h) for p, h in (("/a", "x"), ("/b", "x"), ("/c", "x"), ("/d", "y"), ("/e", "y"), ("/f", "z"), ("/g", ""))],
+        "path string, size long, modified timestamp_ntz, hash string",
+    )
+    targets = spark.createDataFrame([("/a",), ("/b",), ("/b",), ("/d",), ("/f",), ("/g",), ("/none",)], "target_path string")
+    found = rows(duplicates.partners_of(files, targets), "target_path", "path")
+    assert found == [("/a", "/b"), ("/a", "/c"), ("/b", "/a"), ("/b", "/c"), ("/d", "/e")]
