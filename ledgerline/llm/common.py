@@ -104,24 +104,33 @@ def _contract(parts):
     yield from batches(_STAR, ((x, r) for x in list(forest.up) if (r := forest.find(x)) != x))
 
 
-def components(edges: DataFrame) -> DataFrame:
+# Edges that one task contracts at the end; some ten megabytes.
+FEW_EDGES = 300_000
+
+
+def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     """Connected components of ``edges`` (``a``, ``b``: long, not null).
 
     Returns ``node`` and ``component`` (its smallest node) for every node that
-    has an edge to another. Each task first contracts its edges to stars; then
-    the large-star and small-star steps alternate until nothing changes, so
-    that a component never has to fit in one task.
+    has an edge to another. Each task first contracts its edges to stars. While
+    more than ``few`` are left, the large-star and small-star steps alternate,
+    so that a component never has to fit in one task; so few edges, or what
+    does not change any more, are contracted once more, and that is the result.
     """
     stars = checkpointed(edges.select("a", "b").mapInArrow(_contract, "a long, b long").distinct())
     state = None
     while True:
         mark = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % F.lit(1 << 40))).first()
+        if mark[0] <= few:
+            stars = checkpointed(stars.coalesce(1).mapInArrow(_contract, "a long, b long"))
+            break
         if mark == state:
-            return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
-                stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-            )
+            break
         state = mark
         stars = checkpointed(_small_star(_large_star(stars)))
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
+        stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    )
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
