@@ -31,10 +31,11 @@ _S = r"\p{White_Space}"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|{_S}+(?=$|{_S})|{_S}+"
 
 # Bytes of distinct words that one pass over the ranks takes, and ranks a block.
-PASS_BYTES = 4 << 20
+PASS_BYTES = 2 << 20
 BLOCK = 512
-# Distinct words that a task remembers between batches of rows.
-REMEMBERED = 400_000
+# Distinct words that a task remembers between runs, and characters of text of a run.
+REMEMBERED = 200_000
+RUN = 4 << 20
 NEVER = np.int32(2**31 - 1)
 
 
@@ -282,8 +283,13 @@ def _rows(raw: bytes, parts) -> Iterator[tuple]:
     """(place in its batch, batch, (ids, spelt ids)) of each row; the text is the last column."""
     encoder = Encoder(vocabulary(raw))
     for part in parts:
-        texts = [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
-        yield from zip(range(len(texts)), [part] * len(texts), encoder.encode(texts), strict=True)
+        column, first, texts, size = part.column(part.num_columns - 1), 0, [], 0
+        for k in range(part.num_rows):
+            texts.append(column[k].as_py() or "")
+            size += len(texts[-1])
+            if size >= RUN or k + 1 == part.num_rows:
+                yield from zip(range(first, k + 1), [part] * len(texts), encoder.encode(texts), strict=True)
+                first, texts, size = k + 1, [], 0
 
 
 _DIGEST = pa.schema(
