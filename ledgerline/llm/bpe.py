@@ -34,8 +34,8 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}
 PASS_BYTES = 2 << 20
 BLOCK = 512
 # Distinct words that a task remembers between runs, and characters of text of a run.
-REMEMBERED = 200_000
-RUN = 4 << 20
+REMEMBERED = 150_000
+RUN = 2 << 20
 NEVER = np.int32(2**31 - 1)
 
 

@@ -30,8 +30,8 @@ EPOCHS = 3
 BATCH = 128
 RATE = 0.02
 # Windows that run side by side, and characters of text that a task encodes at once.
-LANES = 2048
-RUN = 8 << 20
+LANES = 1024
+RUN = 2 << 20
 
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -282,6 +282,18 @@ def label_texts(network: Network | None, texts: list[str | None]) -> list[tuple[
     return found
 
 
+def label_column(network: Network | None, texts: pa.Array) -> list[tuple[str, float]]:
+    """`label_texts` for a column; only a run of it is held as Python text."""
+    found, run, size = [], [], 0
+    for k in range(len(texts)):
+        run.append(texts[k].as_py())
+        size += len(run[-1] or "")
+        if size >= RUN or k + 1 == len(texts):
+            found += label_texts(network, run)
+            run, size = [], 0
+    return found
+
+
 def labelled(docs: DataFrame, network: Network | None = None) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``held_out``, ``lang_pred``, ``score``.
 
@@ -295,7 +307,7 @@ def labelled(docs: DataFrame, network: Network | None = None) -> DataFrame:
 
     def label(parts):
         for part in parts:
-            found = label_texts(network, part.column(2).to_pylist())
+            found = label_column(network, part.column(2))
             rows = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), *zip(*found, strict=True), strict=True)
             yield from batches(schema, rows)
 
@@ -310,7 +322,7 @@ def recognised(docs: DataFrame, least: float = 0.0) -> DataFrame:
     network = learned(docs)
 
     def fine(texts: pa.Array) -> pa.Array:
-        found = label_texts(network, texts.to_pylist())
+        found = label_column(network, texts)
         return pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_())
 
     return docs.where(F.arrow_udf(fine, "boolean")("text"))
