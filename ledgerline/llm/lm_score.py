@@ -6,7 +6,10 @@ the score. Tokens are words in lower case: the most frequent words of the whole
 corpus have numbers of their own, all others share ``BUCKETS`` numbers by hash.
 The network embeds the window, has one hidden layer, and gives a number's
 probability in two steps: its class of numbers of like frequency, then the
-number inside the class.
+number inside the class. A word in a bucket takes a third step, its share of
+the bucket, from a table of the counts of all words, which is joined by word
+and grows with the corpus. All words that the corpus does not have share one
+count of their bucket.
 
 Everything is gathered from all documents: words are counted over all of them,
 and each task trains a copy of the network, by backpropagation in numpy, on one
@@ -26,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import batches
+from ledgerline.llm.common import batches, staged
 
 SIDE = 32  # classes, and numbers in a class
 NUMBERS = SIDE * SIDE
@@ -36,6 +39,9 @@ EMBED, HIDDEN = 16, 32
 MASK = 8
 BATCH = 512
 RATE = 0.005
+FIRST_BUCKET = NUMBERS - BUCKETS
+# Shares of buckets are summed in whole numbers of 2^-26, so that the order of adding is all the same.
+FINE = 1 << 26
 # Tokens that are scored at once, and words that a task counts before it gives them on.
 RUN = 20_000
 COUNTED = 300_000
@@ -74,7 +80,7 @@ class Numbering:
 
     def __getitem__(self, word: bytes) -> int:
         found = self.own.get(word)
-        return NUMBERS - BUCKETS + zlib.crc32(word) % BUCKETS if found is None else found
+        return FIRST_BUCKET + zlib.crc32(word) % BUCKETS if found is None else found
 
 
 class Remembered(dict):
@@ -177,20 +183,23 @@ def padded(texts: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tokens, np.flatnonzero(tokens != NUMBERS), np.array(owner, np.int64)
 
 
-def _runs(parts, numbers: Remembered):
-    """(ids, numbers of the words) of some documents at a time."""
-    ids, texts, size = [], [], 0
+def _runs(parts, numbers: Remembered, rare: bool = False):
+    """(ids, numbers of the words, counts of the words in buckets) of some
+    documents at a time; the counts only if ``rare``."""
+    ids, texts, others, size = [], [], [], 0
     for part in parts:
         for i, t in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-            text = [numbers[w] for w in words(t.as_py())]
+            own = words(t.as_py())
+            text = [numbers[w] for w in own]
             ids.append(i)
             texts.append(text)
+            others.append(Counter(w for w, k in zip(own, text, strict=True) if k >= FIRST_BUCKET) if rare else None)
             size += len(text)
             if size >= RUN:
-                yield ids, texts
-                ids, texts, size = [], [], 0
+                yield ids, texts, others
+                ids, texts, others, size = [], [], [], 0
     if ids:
-        yield ids, texts
+        yield ids, texts, others
 
 
 class Adam:
@@ -223,7 +232,7 @@ def _train(network: Window, runs, seed: int) -> int:
             adam.move(network.weights, network.gradients(context[some], target[some]), rate)
         contexts, targets, held = [], [], 0
 
-    for _, texts in runs:
+    for _, texts, _ in runs:
         tokens, places, _ = padded(texts)
         chosen = places[rng.random(len(places)) * MASK < 1]
         contexts.append(tokens[chosen[:, None] + _SIDES])
@@ -255,13 +264,36 @@ def _averaged(parts):
 
 
 class Model:
-    """A trained network with the numbers of its words."""
+    """A trained network with the numbers of its words, the counts of all words
+    (``word``, ``n``) and the sum of counts of each bucket."""
 
+    def __init__(self, numbering: Numbering, network: Window, counts: DataFrame, totals: list[int]):
+        self.numbering, self.network = numbering, network
+        self.counts, self.totals = counts, totals
+
+    def scorer(self) -> Scorer:
+        """What tasks need of the model."""
+        return Scorer(self.numbering, self.network)
+
+    def score(self, texts: list[list[int]]) -> np.ndarray:
+        return self.scorer().score(texts)
+
+    def shares(self, rare: DataFrame) -> DataFrame:
+        """``key`` and ``fine``, the sum of log-shares of the words of each key
+        of ``rare`` (``key``, ``word``, ``c``) in their buckets, times ``FINE``."""
+        totals = F.array(*[F.lit(t + 1) for t in self.totals])
+        total = F.element_at(totals, (F.crc32("word") % BUCKETS + 1).cast("int"))
+        share = F.log(F.coalesce("n", F.lit(1)) / total)
+        told = rare.join(self.counts, "word", "left")
+        return told.groupBy("key").agg(F.sum(F.round(share * FINE).cast("long") * F.col("c")).alias("fine"))
+
+
+class Scorer:
     def __init__(self, numbering: Numbering, network: Window):
         self.numbering, self.network = numbering, network
 
     def score(self, texts: list[list[int]]) -> np.ndarray:
-        """The sum of log-probabilities of each document."""
+        """The sum of log-probabilities of the numbers of each document."""
         tokens, places, owner = padded(texts)
         total = np.zeros(len(texts))
         for k in range(0, len(places), RUN):
@@ -277,15 +309,20 @@ def _slim(docs: DataFrame) -> DataFrame:
 
 def trained(docs: DataFrame) -> Model | None:
     """The model of all documents; None if they have no word."""
-    counts = word_counts(docs)
-    frequent = counts.orderBy(F.desc("n"), "word").limit(NUMBERS - BUCKETS).collect()
+    counts = staged(word_counts(docs), "words")
+    frequent = counts.orderBy(F.desc("n"), "word").limit(FIRST_BUCKET).collect()
     if not frequent:
         return None
     numbering = Numbering([bytes(r[0]) for r in frequent])
     shares = np.ones(NUMBERS)
     shares[: len(frequent)] += [r[1] for r in frequent]
-    every = counts.agg(F.sum("n")).first()[0]
-    shares[NUMBERS - BUCKETS :] += (every - sum(r[1] for r in frequent)) / BUCKETS
+    every = counts.groupBy((F.crc32("word") % BUCKETS).cast("int").alias("bucket")).agg(F.sum("n").alias("n"))
+    totals = [0] * BUCKETS
+    for bucket, n in every.collect():
+        totals[bucket] = n
+    for word, n in frequent:
+        totals[zlib.crc32(bytes(word)) % BUCKETS] -= n
+    shares[FIRST_BUCKET:] += totals
     shares /= shares.sum()
 
     def train(parts):
@@ -309,7 +346,14 @@ def trained(docs: DataFrame) -> Model | None:
         for k, w in enumerate(network.weights):
             network.weights[k] = flat[at : at + w.size].reshape(w.shape)
             at += w.size
-    return Model(numbering, network)
+    return Model(numbering, network, counts, totals)
+
+
+_SCORED = pa.schema(
+    [("key", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("log_prob", pa.float64())]
+    + [("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64()))]
+)
+_SCORED_DDL = "key long, doc_id long, n_tokens long, log_prob double, words array<binary>, counts array<long>"
 
 
 def scored(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -322,15 +366,27 @@ def scored(docs: DataFrame, model: Model | None = None) -> DataFrame:
     empty table gives an empty table.
     """
     model = model or trained(docs)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("log_prob", pa.float64())])
+    scorer = model.scorer() if model else None
 
     def score(parts):
         def rows():
-            for ids, texts in _runs(parts, Remembered(model.numbering) if model else {}):
-                totals = model.score(texts) if model else [0.0] * len(ids)
-                yield from zip(ids, map(len, texts), totals, strict=True)
-
-        yield from batches(schema, rows())
-
-    found = _slim(docs).mapInArrow(score, "doc_id long, n_tokens long, log_prob double")
+            task, k = TaskContext.get().partitionId() << 40, 0
+            for ids, texts, rare in _runs(parts, Remembered(scorer.numbering) if scorer else {}, True):
+                totals = scorer.score(texts) if scorer else [0.0] * len(ids)
+                for i, text, total, others in zip(ids, texts, totals, rare, strict=True):
+                    yield task + k, i, len(text), total, list(others), list(others.values())
+                    k += 1
+
+        yield from batches(_SCORED, rows(), lambda r: 24 * len(r[4]))
+
+    found = _slim(docs).mapInArrow(score, _SCORED_DDL)
+    if model:
+        # The key of a row holds from here on. Each word of a bucket is a row for each document that has it.
+        found = staged(found, "scores")
+        pairs = F.explode(F.arrays_zip("words", "counts")).alias("pair")
+        rare = found.select("key", pairs).select("key", F.col("pair.words").alias("word"), F.col("pair.counts").alias("c"))
+        fine = model.shares(rare)
+        found = found.select("key", "doc_id", "n_tokens", "log_prob").join(fine, "key", "left")
+        found = found.withColumn("log_prob", F.col("log_prob") + F.coalesce("fine", F.lit(0)) / FINE)
+    found = found.select("doc_id", "n_tokens", "log_prob")
     return found.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))

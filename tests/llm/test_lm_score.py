@@ -59,3 +59,20 @@ def test_chances_sum_to_one():
     every = np.arange(lm_score.NUMBERS)
     context = np.zeros((lm_score.NUMBERS, 2 * lm_score.REACH), int) + 7
     assert abs(np.exp(network.log_chance(context, every)).sum() - 1) < 1e-4
+
+
+def test_a_word_takes_its_share_of_the_bucket(spark):
+    common = " ".join(f"c{k}" for k in range(lm_score.FIRST_BUCKET))
+    rows = [(k, common) for k in range(9)] + [(20 + k, f"c0 {w} c1") for k, w in enumerate(["rare"] * 6 + ["once", "other"])]
+    model = lm_score.trained(table(spark, rows))
+    bucket = model.numbering[b"rare"]
+    assert bucket >= lm_score.FIRST_BUCKET and model.totals[bucket - lm_score.FIRST_BUCKET] >= 6
+    strange = next(w for k in range(100_000) if model.numbering[(w := f"x{k}").encode()] == bucket)
+    asked = table(spark, [(1, "c0 rare c1"), (2, f"c0 {strange} c1"), (3, "c0 c2 c1"), (4, f"{strange} {strange} rare")])
+    found = {r.doc_id: r for r in lm_score.scored(asked, model).collect()}
+    assert abs(found[1].log_prob - found[2].log_prob - np.log(6)) < 1e-4
+    own = [[model.numbering[w] for w in lm_score.words(t.encode())] for t in ("c0 rare c1", "c0 c2 c1", f"{strange} {strange} rare")]
+    base, total = model.score(own), model.totals[bucket - lm_score.FIRST_BUCKET] + 1
+    assert abs(found[1].log_prob - base[0] - np.log(6 / total)) < 1e-4
+    assert abs(found[3].log_prob - base[1]) < 1e-4
+    assert abs(found[4].log_prob - base[2] - np.log(6 / total**3)) < 1e-4
