@@ -12,8 +12,8 @@ and grows with the corpus. All words that the corpus does not have share one
 count of their bucket.
 
 Everything is gathered from all documents: words are counted over all of them,
-and each task trains a copy of the network, by backpropagation in numpy, on one
-of ``MASK`` positions of each of its documents. The copies are averaged by the
+and each task trains a copy of the network, by backpropagation in numpy, on
+every position of each of its documents, once. The copies are averaged by the
 number of tokens they saw, in two levels, so the driver gets few of them.
 """
 
@@ -36,7 +36,6 @@ NUMBERS = SIDE * SIDE
 BUCKETS = 256
 REACH = 3  # tokens on each side
 EMBED, HIDDEN = 16, 32
-MASK = 8
 BATCH = 512
 RATE = 0.005
 FIRST_BUCKET = NUMBERS - BUCKETS
@@ -217,32 +216,17 @@ class Adam:
 
 
 def _train(network: Window, runs, seed: int) -> int:
-    """Train on one of ``MASK`` positions of each document; the number of them."""
+    """Train on every position of each document once; the number of them."""
     adam, seen = Adam(network.weights), 0
     rng = np.random.default_rng(seed)
-    contexts, targets, held = [], [], 0
-
-    def flush() -> None:
-        nonlocal contexts, targets, held
-        context, target = np.concatenate(contexts), np.concatenate(targets)
-        order = rng.permutation(len(target))
-        for k in range(0, len(order), BATCH):
-            some = order[k : k + BATCH]
-            rate = RATE / math.sqrt(1 + adam.step / 200)
-            adam.move(network.weights, network.gradients(context[some], target[some]), rate)
-        contexts, targets, held = [], [], 0
-
     for _, texts, _ in runs:
         tokens, places, _ = padded(texts)
-        chosen = places[rng.random(len(places)) * MASK < 1]
-        contexts.append(tokens[chosen[:, None] + _SIDES])
-        targets.append(tokens[chosen])
-        held += len(chosen)
-        seen += len(chosen)
-        if held >= 16 * BATCH:
-            flush()
-    if held:
-        flush()
+        if not len(places):
+            continue
+        for some in np.array_split(rng.permutation(places), math.ceil(len(places) / BATCH)):
+            rate = RATE / math.sqrt(1 + adam.step / 200)
+            adam.move(network.weights, network.gradients(tokens[some[:, None] + _SIDES], tokens[some]), rate)
+        seen += len(places)
     return seen
 
 

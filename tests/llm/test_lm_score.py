@@ -76,3 +76,18 @@ def test_a_word_takes_its_share_of_the_bucket(spark):
     assert abs(found[1].log_prob - base[0] - np.log(6 / total)) < 1e-4
     assert abs(found[3].log_prob - base[1]) < 1e-4
     assert abs(found[4].log_prob - base[2] - np.log(6 / total**3)) < 1e-4
+
+
+def test_every_position_is_a_target_once():
+    class Noting(lm_score.Window):
+        def gradients(self, context, target):
+            met.extend(target.tolist())
+            assert len(target) <= lm_score.BATCH
+            return super().gradients(context, target)
+
+    met = []
+    network = Noting(np.full(lm_score.NUMBERS, 1 / lm_score.NUMBERS))
+    texts = [[5], [6, 7], [], list(range(1000)), [8] * 3]
+    seen = lm_score._train(network, [([0] * 5, texts, [None] * 5), ([0], [[9]], [None]), ([0], [[]], [None])], 0)
+    assert sorted(met) == sorted([*sum(texts, []), 9])
+    assert seen == len(met)
