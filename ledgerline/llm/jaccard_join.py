@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import SPACE_BYTES, Forest, batches, checkpointed, components, free_name, staged
+from ledgerline.llm.common import SPACE_BYTES, WORD, Forest, batches, checkpointed, components, free_name, staged
 
 WORDS = 5
 # The threshold as a fraction of whole numbers: 100 * intersection >= 80 * union.
@@ -357,16 +357,9 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id``.
-
-    Rows link when their sets of distinct 5-word shingles have a Jaccard
-    similarity of 0.8 or more; a component is named by its smallest ``doc_id``.
-    A text that is null, empty or all white space has no shingles and links
-    with nothing. Rows that repeat a text are one class. A null ``doc_id`` is
-    never the smallest; a component without any other has a null name. Other
-    columns are not looked at; an empty table gives an empty table.
-    """
+def _named(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id``, ``n``, ``cls`` and ``group``, the
+    name of its component among classes; both are 0 without shingles."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text)
     slim = staged(given.mapInArrow(_keys, "doc_id long, n long, cls long, even long, odd long"), "classes")
@@ -399,22 +392,55 @@ def near_groups(docs: DataFrame) -> DataFrame:
         named = slim.join(groups.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn(
             "group", F.coalesce("component", "cls")
         )
+    return named.select("doc_id", "n", "cls", "group")
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id``.
+
+    Rows link when their sets of distinct 5-word shingles have a Jaccard
+    similarity of 0.8 or more; a component is named by its smallest ``doc_id``.
+    A text that is null, empty or all white space has no shingles and links
+    with nothing. Rows that repeat a text are one class. A null ``doc_id`` is
+    never the smallest; a component without any other has a null name. Other
+    columns are not looked at; an empty table gives an empty table.
+    """
+    named = _named(docs)
     lowest = named.where("n > 0").groupBy("group").agg(F.min("doc_id").alias("lowest"))
     return named.join(lowest, (F.col("n") > 0) & (named["group"] == lowest["group"]), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("lowest")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
+def _class_of(texts: pa.Array) -> pa.Array:
+    return pa.array([class_key(shingles(t.as_py())) for t in texts], pa.int64())
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest
-    ``doc_id``; documents without shingles all stay. Of rows that repeat that
-    ``doc_id`` one stays."""
-    found = near_groups(docs).where(F.col("component_id").eqNullSafe(F.col("doc_id")))
-    counted = checkpointed(found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("n_shingles").alias("most")))
-    mark = free_name(docs, "kept_id")
-    stays = docs.join(
-        counted.select(F.col("doc_id").alias(mark)), F.col("doc_id").eqNullSafe(F.col(mark)), "left_semi"
-    )
-    if counted.where("rows > 1 and most > 0").isEmpty():
-        return stays
-    return stays.dropDuplicates(["doc_id"])
+    """``docs`` with one row of each component: one with the smallest
+    ``doc_id``, null last, and of those one of the smallest class. Rows without
+    shingles all stay, whatever their ``doc_id``.
+
+    A row is known by its ``doc_id`` where no other row has it; rows with a null
+    or repeated one are told apart by the class of their text.
+    """
+    found = staged(_named(docs).select("doc_id", "n", "cls", "group"), "named")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cls")).alias("first")
+    kept = found.where("n > 0").groupBy("group").agg(first).select("first.doc_id", "first.cls")
+    mark, key = free_name(docs, "kept_id"), free_name(docs, "kept_cls")
+    stays = kept.union(found.where("n = 0").select("doc_id", "cls")).where("doc_id IS NOT NULL")
+    stays = stays.select(F.col("doc_id").alias(mark))
+    own = F.col("doc_id").cast("long")
+    twice = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(mark)).agg(F.count("*").alias("n"))
+    twice = checkpointed(twice.where("n > 1").select(mark))
+    if twice.isEmpty() and found.where("doc_id IS NULL").isEmpty():
+        return docs.join(stays, own == F.col(mark), "left_semi")
+
+    alone = docs.join(stays.join(twice, mark, "left_anti"), own == F.col(mark), "left_semi")
+    unclear = docs.where(own.isNull()).union(docs.join(twice, own == F.col(mark), "left_semi"))
+    has_words = F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(WORD)
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    classed = unclear.where(has_words).withColumn(key, F.arrow_udf(_class_of, "long")(text)).dropDuplicates(["doc_id", key])
+    wanted = kept.select(F.col("doc_id").alias(mark), F.col("cls").alias(f"{key}_"))
+    told = classed.join(wanted, own.eqNullSafe(F.col(mark)) & (F.col(key) == F.col(f"{key}_")), "left_semi").drop(key)
+    return alone.union(unclear.where(~has_words)).union(told)

@@ -97,6 +97,19 @@ def test_one_of_each(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 8]
 
 
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    a, b, c, d, e = (" ".join(f"{x}{k}" for k in range(80)) for x in "abcde")
+    rows = [(None, a), (None, a + " end"), (None, b), (None, c), (4, c)]  # c stays as 4
+    rows += [(5, d), (5, e), (1, e + " end"), (6, d + " end"), (6, "six of its own"), (6, "six of another")]
+    rows += [(None, None), (None, " "), (6, ""), (6, ""), (7, None)]
+    kept = J.one_of_each(table(spark, rows, clash=True))
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert len([x for x in got if x in [(None, a), (None, a + " end")]]) == 1
+    wanted = [(None, b), (4, c), (5, d), (1, e + " end"), (6, "six of its own"), (6, "six of another")]
+    wanted += [(None, None), (None, " "), (6, ""), (6, ""), (7, None)]
+    assert sorted((x for x in got if x[1] not in (a, a + " end")), key=str) == sorted(wanted, key=str)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.integers(4, 400), st.integers(0, 2**32 - 1), st.floats(0, 1))
 def test_linked_sets_share_entries_after_both_orders(size, seed, share):
