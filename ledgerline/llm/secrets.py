@@ -2,16 +2,20 @@
 
 Three base kinds have fixed forms: ``assign`` (a value given to a password,
 secret, token or API key), ``access`` (AWS access key ids) and ``hex`` (runs of
-32 or more lower-case hex digits). The kind ``novel`` is measured: a string
-shortly after a sensitive word is compressed by zstandard, primed with a
-dictionary of common identifiers and with the code or text around the string.
-The bytes it still costs, per character, tell how little of it was to be
-expected; ordinary words and names come out cheap, keys do not.
+32 or more lower-case hex digits). The kind ``novel`` is measured: every string
+of ``LEAST_VALUE`` characters or more near a sensitive word, before or after it,
+is compressed by zstandard, primed with a dictionary of common identifiers and
+with the code or text around the string. The bytes it still costs, per
+character, tell how little of it was to be expected. From ``LONG`` characters on
+that figure alone decides. A shorter string is too little for zstandard to tell
+a rare word from a key, so its figure is weighed by the bits that a character of
+its kinds can hold, and the limit rises as the string gets shorter.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 import pyarrow as pa
@@ -30,17 +34,18 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 LEAST_VALUE, LEAST_ACCESS = 8, 16
 KINDS = ("assign", "access", "hex", "novel")
 
-# Words after which a string may be a secret, and what such a string is made of.
+# Words near which a string may be a secret, and what such a string is made of.
 SENSITIVE = re.compile(
     r"passphrase|password|passwd|pwd|secret|token|api[_-]?key|private[_-]?key|access[_-]?key|credential|bearer|auth[_-]?key",
     re.I | re.A,
 )
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+CANDIDATE_CHARACTER = re.compile(r"[A-Za-z0-9+/_=.-]")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{8,}")
 
 # Names that code is full of; they prime the compressor.
 IDENTIFIERS = (
     "password passwd username user_name user_id account client_id client_secret access_token refresh_token "
-    "authorization authentication bearer api_key apikey secret_key private_key public_key certificate signature "
+    "passphrase credential credentials auth_key access_key authorization authentication bearer api_key apikey secret_key private_key public_key certificate signature "
     "config configuration settings environment production development staging localhost endpoint service server "
     "database connection connection_string host port schema table column index select insert update delete where "
     "import from return function const let var class def self this null none true false undefined string integer "
@@ -52,9 +57,11 @@ IDENTIFIERS = (
     "timeout interval logger logging exception error warning message status code version release build timestamp"
 )
 
-REACH = 80  # characters after a sensitive word in which a string begins
+REACH = 80  # characters between a sensitive word and a string, on either side
 AROUND = 1_000  # characters before and after a string that prime the compressor
 NOVEL = 0.7  # compressed bytes a character from which a string is reported
+LONG = 16  # characters from which that limit holds; it rises to SHORT at LEAST_VALUE
+SHORT = 0.97
 
 
 def novelty(text: str, start: int, end: int) -> float:
@@ -80,19 +87,29 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def is_novel(text: str, start: int, end: int) -> bool:
+    """Whether what ``text[start:end]`` costs reaches the limit for its length."""
+    cost, short = novelty(text, start, end), LONG - (end - start)
+    if short <= 0:
+        return cost >= NOVEL
+    own = text[start:end]
+    kinds = 26 * bool(re.search("[A-Za-z]", own)) + 10 * bool(re.search("[0-9]", own)) + 5 * bool(re.search("[+/_=.-]", own))
+    kinds += 26 * bool(re.search("[a-z].*[A-Z]", own))  # a capital at the start says little
+    return cost * math.log2(kinds) / 6 >= NOVEL + (SHORT - NOVEL) * short / (LONG - LEAST_VALUE)
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Strings near sensitive words that cannot be foretold and lie in no base span."""
     found, done = [], 0
     for word in SENSITIVE.finditer(text):
-        at = max(done, word.end())
+        at = max(done, word.start() - REACH)
+        while at > done and CANDIDATE_CHARACTER.match(text, at - 1):
+            at -= 1  # a string that reaches into the stretch counts from its own start
         while (m := CANDIDATE.search(text, at)) and m.start() <= word.end() + REACH:
             at = done = m.end()
-            s = m.group()
-            if not (re.search("[0-9]", s) and re.search("[A-Za-z]", s)):
-                continue
             if any(a < m.end() and m.start() < b for a, _, b in base):
                 continue
-            if novelty(text, m.start(), m.end()) >= NOVEL:
+            if is_novel(text, m.start(), m.end()):
                 found.append((m.start(), 3, m.end()))
     return found
 

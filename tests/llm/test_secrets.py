@@ -59,3 +59,15 @@ def test_novelty_tells_keys_from_names():
     again = f"{key} {key} {key} bearer {key}"
     assert secrets.novelty(again, again.rindex(key), len(again)) < secrets.NOVEL
     assert secrets.novel_spans(f"no context {key}", []) == []
+
+
+def test_every_string_near_a_word_is_measured():
+    def novel(text):
+        return [text[a:b] for a, _, b in secrets.novel_spans(text, secrets.base_spans(text))]
+
+    for key in ("qZrTnWxLkVbYcHdJmPsGfQ", "mqzvtrwhkxbjpyfdcgnl", "83920174655019283746", "q8Zr5TnW", "7Kq2xV9m+/aB"):
+        assert novel(f"The bearer is {key} here") == [key]
+        assert novel(f"{key} # api token") == [key]
+        assert novel(f"{key}{' ' * secrets.REACH}token{' ' * secrets.REACH}{key[::-1]}") == [key, key[::-1]]
+        assert novel(f"{key}{' ' * (secrets.REACH + 1)}token{' ' * (secrets.REACH + 1)}{key[::-1]}") == []
+    assert novel("the passphrase and credentials of somebody Whatever yesterday a token 555-4526 --------") == []
