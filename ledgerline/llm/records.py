@@ -117,7 +117,8 @@ class WordEncoder:
 
     def encode(self, text: bytes) -> np.ndarray:
         """The ids, the end id after them."""
-        if b"<|" not in text:  # a special token is only found in its own case
+        # A special token is only found in its own case, and a letter before a combining mark is composed first.
+        if b"<|" not in text and text.isascii():
             text = text.lower()
         words = text.replace(b"\n", b" ").split(b" ")
         known = self.known

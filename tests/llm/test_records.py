@@ -63,3 +63,13 @@ def test_words_are_encoded_as_whole_texts_are():
     texts = ["A  B\n\tc", "<|ENDOFTEXT|> X", "<|endoftext|>x y", "ΣΑΣ İ ﬁ", "é É", "a b　c x\x1cy", "Don't!!, ok."]
     for text in texts:
         assert encoder.encode(text.encode()).tolist() == [*library.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_letters_that_compose_in_upper_case_only():
+    with open(PATH, encoding="utf-8") as f:
+        model = f.read()
+    library = Tokenizer.from_str(model)
+    for pair in ("H\u0331", "J\u030c", "T\u0308", "T\u0344", "W\u030a", "Y\u030a"):
+        text = f"One {pair} and X{pair}Y"
+        wanted = library.encode(text, add_special_tokens=False).ids
+        assert records.WordEncoder(model).encode(text.encode()).tolist()[:-1] == wanted, pair
