@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, embeddings, exact_dedup, jaccard_join, language, licenses, lm_score, mixing, records, secrets
+from ledgerline.llm import (
+    bpe,
+    embeddings,
+    exact_dedup,
+    filter_audit,
+    jaccard_join,
+    language,
+    licenses,
+    lm_score,
+    mixing,
+    packing,
+    records,
+    runs,
+    secrets,
+)
 from ledgerline.llm.common import documents, new_folder
 
-# The folder of public tokenizer files, which is the same on every machine.
-TOKENIZERS = "/opt/tokenizers"
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -30,7 +43,7 @@ def _register(name: str, sql: str | None = None):
 @_register("op1_bpe")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and what they decode to."""
-    return bpe.encoding_digests(documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return bpe.encoding_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @_register("op2_language_id")
@@ -146,7 +159,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Record files of all documents, read back."""
     folder = new_folder(spark, "records")
-    records.write_records(documents(spark, sf_dir), f"{folder}/data", f"{TOKENIZERS}/word_bpe_49k.json")
+    records.write_records(documents(spark, sf_dir), f"{folder}/data", public_tokenizers.path("word_bpe_49k.json"))
     index = records.write_index(spark, f"{folder}/data", f"{folder}/index")
     return records.record_digests(spark, f"{folder}/data", index)
 
@@ -193,3 +206,77 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document."""
     return secrets.secret_scan(documents(spark, sf_dir))
+
+
+@_register(
+    "op11_filter_audit",
+    r"""
+WITH words AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+failed AS (
+  SELECT doc_id, part,
+         CASE WHEN len(w) < 200 THEN 'A' ELSE '' END
+         || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails
+  FROM words),
+said AS (
+  SELECT doc_id, max((quality = 1)::INTEGER) AS good, max((toxic = 1)::INTEGER) AS toxic FROM labels GROUP BY doc_id),
+masks AS (
+  SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM failed LEFT JOIN said USING (doc_id) GROUP BY part, fails),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+gone AS (
+  SELECT m.*, o.filter_order,
+         coalesce(list_min(list_filter([1, 2, 3, 4, 5], lambda s: contains(m.fails, substr(o.filter_order, s, 1)))), 6) AS gone_at
+  FROM masks m, orders o),
+counted AS (
+  SELECT part, filter_order, step, substr(filter_order, step, 1) AS f,
+         sum(CASE WHEN gone_at > step THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN gone_at = step THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN gone_at < step AND contains(fails, substr(filter_order, step, 1)) THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN fails = substr(filter_order, step, 1) THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN gone_at = step THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN gone_at = step THEN toxic ELSE 0 END) AS toxic_lost
+  FROM gone, (SELECT unnest([1, 2, 3, 4, 5]) AS step) GROUP BY part, filter_order, step)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+       redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+       toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM counted
+""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in each order, by source."""
+    failed = filter_audit.failures(documents(spark, sf_dir))
+    return filter_audit.interaction_audit(filter_audit.with_labels(failed, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def repeating_part(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of a document as op12 looks at them: in one of ten documents, by
+    a hash of the id, the end repeats some words. Without an id they stay."""
+    seed, kind = divmod(zlib.crc32(str(doc_id).encode()), 10)
+    n = len(words)
+    if doc_id is None or kind or not n:
+        return words
+    a = seed % n
+    p = 1 + (n - a) // (3 + seed % 8)
+    return words[:a] + (words[a : a + p] * ((n - a) // p + 1))[: n - a]
+
+
+@_register("op12_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document."""
+    return runs.run_report(documents(spark, sf_dir), rewrite=repeating_part)
+
+
+@_register("op13_packing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences."""
+    return packing.packed(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
