@@ -161,7 +161,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "records")
     records.write_records(documents(spark, sf_dir), f"{folder}/data", public_tokenizers.path("word_bpe_49k.json"))
     index = records.write_index(spark, f"{folder}/data", f"{folder}/index")
-    return records.record_digests(spark, f"{folder}/data", index)
+    return records.record_digests(index)
 
 
 @_register(

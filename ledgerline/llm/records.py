@@ -6,7 +6,7 @@ feed that closes it. The data is the document's id (8), a flag byte that says
 whether the id is null, the width of a token id in bytes (1), the number of
 token ids (8), and the token ids, 2 bytes each if all of the document are below
 65536 and else 4; all numbers are little-endian. A folder has the records in ascending
-``doc_id`` order, null first, in the order of the file names, and beside it an
+``doc_id`` order, null first, in the order of the numbers in the file names, and beside it an
 index with the place of each record, so that a reader can shuffle documents
 and fetch any of them alone.
 
@@ -17,6 +17,7 @@ task writes its range of ids and begins a new file after every
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -25,10 +26,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from ledgerline.llm.bpe import byte_letters
 from ledgerline.llm.common import batches
 
 # The reflected Castagnoli polynomial, and the mask of stored checksums.
@@ -38,9 +42,16 @@ MASK_ADDED = 0xA282EAD8
 HEAD = struct.Struct("<QI")
 DATA = struct.Struct("<qBBQ")
 END_ID = 1
-# Distinct words that a task remembers, and bytes that a step of a checksum takes.
-REMEMBERED = 600_000
+# Bytes that a step of a checksum takes.
 LANE = 64
+# The character of each symbol: itself for a small letter, its capital for one that ends a
+# word, and others from 0x100 on. A word is symbols up to one that ends it.
+SYMBOLS = np.arange(512, dtype=np.uint16) + 0x100
+SYMBOLS[97:123] = np.arange(97, 123)
+SYMBOLS[256 + 97 : 256 + 123] = np.arange(65, 91)
+SYMBOL_WORD = "[a-z\u0100-\u01ff]*[A-Z\u0200-\u02ff]"
+# Bytes of text of a task that writes.
+SHARD_BYTES = 128 << 20
 
 
 def _crc_tables() -> np.ndarray:
@@ -104,37 +115,101 @@ def unframed(content: memoryview) -> Iterator[tuple[int, int, int | None, np.nda
         at = end + 5
 
 
+def _latin() -> tuple[np.ndarray, np.ndarray]:
+    """Lower case and kind of each of the first 256 code points: space, letter,
+    number or other, as the tokenizer's pattern tells them apart."""
+    points = [chr(c) for c in range(256)]
+    lower = np.array([ord(c.lower()) if len(c.lower()) == 1 and ord(c.lower()) < 256 else ord(c) for c in points], np.uint8)
+    space, letter, number = (regex.compile(p) for p in (r"\p{White_Space}", r"\p{L}", r"\p{N}"))
+    kind = [SPACE if space.match(c) else LETTER if letter.match(c) else NUMBER if number.match(c) else OTHER for c in points]
+    return lower, np.array(kind, np.int8)
+
+
+SPACE, LETTER, NUMBER, OTHER = range(4)
+# The endings that the tokenizer's pattern cuts off after an apostrophe.
+ENDINGS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
+
+
 class WordEncoder:
-    """Encodes texts with a lower-casing tokenizer whose words never span white
-    space; each distinct run between spaces goes through the library once."""
+    """The ids of whole texts under a lower-casing vocabulary with word ends.
+
+    The ids are those of the tokenizers library. Texts of the first 256 code
+    points, which its normal form leaves as they are, are cut into words in
+    numpy and merged by a compiled encoder: each byte of a word is a symbol, one
+    of 256 or, at the end of a word, of 256 others, spelt as a character of its
+    own. All other texts go through the library.
+    """
 
     def __init__(self, model: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         self.tokenizer = Tokenizer.from_str(model)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, text: bytes) -> np.ndarray:
+        data = json.loads(model)["model"]
+        end, ids = data["end_of_word_suffix"], data["vocab"]
+        letters = byte_letters()
+        value = {c: b for b, c in enumerate(letters)}
+
+        def spelt(token: str) -> str:
+            body = token.removesuffix(end)
+            symbols = [value[c] for c in body]
+            symbols[-1] += 256 * (token != body)
+            return "".join(chr(SYMBOLS[x]) for x in symbols)
+
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in data["merges"]]
+        order = [*letters, *(c + end for c in letters), *(a + b for a, b in merges)]
+        ranks = {spelt(t).encode(): k for k, t in enumerate(order)}
+        if len(ranks) != len(order):
+            raise ValueError("two merges make the same token")
+        self.ids = np.array([ids[t] for t in order], np.uint32)
+        self.merges = tiktoken.Encoding("words", pat_str=SYMBOL_WORD, mergeable_ranks=ranks, special_tokens={})
+        self.lower, self.kind = _latin()
+
+    def symbols(self, codes: np.ndarray) -> str:
+        """A text of the first 256 code points as the symbols of its words."""
+        kind = self.kind[codes]
+        codes = self.lower[codes]
+        starts = np.ones(len(codes), bool)
+        starts[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
+        marks = np.flatnonzero((codes == ord("'")) & starts)
+        if len(marks):
+            tail = np.append(codes, np.zeros(3, np.uint8))
+            ended = np.zeros(len(marks), bool)
+            for ending in ENDINGS:
+                fits = ~ended
+                for k, c in enumerate(ending, 1):
+                    fits &= tail[marks + k] == c
+                here = marks[fits]
+                starts[here + 1] = False
+                after = here + 1 + len(ending)
+                starts[after[after < len(codes)]] = True
+                ended |= fits
+        ends = np.ones(len(codes), bool)
+        ends[:-1] = starts[1:]
+        live = kind != SPACE
+        codes, ends = codes[live].astype(np.uint16), ends[live]
+        wide = codes >= 0x80
+        place = np.arange(len(codes)) + np.cumsum(wide)  # of the last byte of each character
+        out = np.empty(len(codes) + int(wide.sum()), np.uint16)
+        out[place[wide] - 1] = 0xC0 | codes[wide] >> 6
+        out[place] = np.where(wide, 0x80 | codes & 0x3F, codes) + 256 * ends
+        return SYMBOLS[out].astype("<u2").tobytes().decode("utf-16-le")
+
+    def encode(self, text: str) -> np.ndarray:
         """The ids, the end id after them."""
-        # A special token is only found in its own case, and a letter before a combining mark is composed first.
-        if b"<|" not in text and text.isascii():
-            text = text.lower()
-        words = text.replace(b"\n", b" ").split(b" ")
-        known = self.known
-        if new := list({w for w in words if w not in known}):
-            if len(known) > REMEMBERED:
-                known.clear()
-                new = list(set(words))
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            for w, e in zip(new, found, strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join([known[w] for w in words]) + END_ID.to_bytes(4, "little"), "<u4")
+        if "<|" not in text:
+            try:
+                codes = np.frombuffer(text.encode("latin-1"), np.uint8)
+            except UnicodeEncodeError:
+                pass
+            else:
+                found = self.ids[self.merges.encode_to_numpy(self.symbols(codes), disallowed_special=())]
+                return np.append(found, np.uint32(END_ID))
+        return np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, END_ID], np.uint32)
 
 
 @lru_cache(maxsize=1)
 def word_encoder(model: str) -> WordEncoder:
-    """The encoder of this process; later tasks go on with the words it knows."""
     return WordEncoder(model)
 
 
@@ -143,11 +218,13 @@ def write_records(
 ) -> None:
     """Encode every text of ``docs`` and write the records to the folder ``path``.
 
-    ``tokenizer`` names a vocabulary file whose words end at white space, read
-    by the driver. ``shards`` is the number of ranges of ``doc_id`` (by default
-    Spark's number of shuffle partitions). A null text counts as empty: its
-    record has the end id alone. Rows that repeat a ``doc_id`` follow each
-    other. Other columns are not looked at; an empty table gives no records.
+    ``tokenizer`` names a vocabulary file with word ends, read by the driver.
+    ``shards`` is the number of ranges of ``doc_id``: by default Spark's number
+    of shuffle partitions, and one for each ``SHARD_BYTES`` of text if those are
+    more. A null text counts as empty: its record has the end id alone. Rows
+    that repeat a ``doc_id``, or have none, follow each other and may lie in
+    several ranges. Other columns are not looked at; an empty table gives no
+    records. A text and its record have to fit into a task.
     """
     with open(tokenizer, encoding="utf-8") as f:
         model = f.read()
@@ -156,17 +233,20 @@ def write_records(
         encoder = word_encoder(model)
         schema = pa.schema([("value", pa.binary())])
         rows = (
-            (framed(i, encoder.encode(t.as_py() or b"")),)
+            (framed(i, encoder.encode(t.as_py() or "")),)
             for part in parts
             for i, t in zip(part.column(0).to_pylist(), part.column(1), strict=True)
         )
         yield from batches(schema, rows, lambda r: len(r[0]))
 
-    shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    ordered = slim.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
-        F.col("doc_id").asc_nulls_first(), "text"
-    )
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if shards is None:
+        size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    # Rows of one id are told apart by their text, so that a range need not hold them all.
+    order = (F.col("doc_id").asc_nulls_first(), F.col("own"), F.col("text"))
+    hashed = slim.withColumn("own", F.xxhash64("text"))
+    ordered = hashed.repartitionByRange(shards, *order[:2]).sortWithinPartitions(*order).select("doc_id", "text")
     records = ordered.mapInArrow(frames, "value binary").select(F.col("value").cast("string"))
     records.write.option("maxRecordsPerFile", records_per_file).text(path)
 
@@ -194,9 +274,15 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 def write_index(spark: SparkSession, path: str, index: str) -> DataFrame:
     """Write and return the place of every record of the folder ``path``:
-    ``file``, ``offset``, ``length``, ``doc_id``, ``n_ids``."""
+    ``file``, ``offset``, ``length``, ``doc_id``, ``n_ids`` and ``ids_crc32``
+    (of the ids, 4 bytes each). Reads each file once."""
+
+    @F.arrow_udf("long")
+    def crc(ids: pa.Array) -> pa.Array:
+        return pa.array([zlib.crc32(x.as_buffer()) for x in ids], pa.int64())
+
     places = read_records(spark, path).select(
-        "file", "offset", "length", "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids")
+        "file", "offset", "length", "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), crc("ids").alias("ids_crc32")
     )
     places.write.parquet(index)
     return spark.read.schema(places.schema).parquet(index)
@@ -209,22 +295,30 @@ def fetch(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
     return found.join(wanted, (found["file"] == wanted["in_file"]) & (found["offset"] == wanted["at"]), "left_semi")
 
 
-def record_digests(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
-    """``doc_id``, ``start`` (ids of all records before), ``n_tokens``,
-    ``ids_crc32`` of every record, from its file."""
+# Ranges whose files are summed together.
+BUCKET = 512
 
-    @F.arrow_udf("long")
-    def crc(ids: pa.Array) -> pa.Array:
-        return pa.array([zlib.crc32(x.as_buffer()) for x in ids], pa.int64())
 
-    # Ids before each file: one row a file. Inside a file the index is summed in order.
+def file_starts(index: DataFrame) -> DataFrame:
+    """``file`` and ``file_start``, the ids in all files before it. The numbers
+    in the names give the order; sums of ``BUCKET`` ranges come first, so no
+    task has all files."""
+    number = [F.regexp_extract("file", pattern, 1).cast("long") for pattern in (r"^part-(\d+)", r"-c(\d+)")]
     files = index.groupBy("file").agg(F.sum("n_ids").alias("n"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    files = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("file_start"))
+    files = files.select("file", "n", number[0].alias("range"), F.coalesce(number[1], F.lit(0)).alias("part"))
+    files = files.withColumn("bucket", F.call_function("div", F.col("range"), F.lit(BUCKET)))
+    upto = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = files.groupBy("bucket").agg(F.sum("n").alias("n"))
+    buckets = buckets.select("bucket", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("bucket_start"))
+    inside = Window.partitionBy("bucket").orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(buckets, "bucket")
+    return files.select("file", (F.col("bucket_start") + F.col("before")).alias("file_start"))
+
+
+def record_digests(index: DataFrame) -> DataFrame:
+    """``doc_id``, ``start`` (ids of all records before), ``n_tokens``,
+    ``ids_crc32`` of every record, from an index taken from its files."""
     inside = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
-    places = index.select("file", "offset", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("in_file"))
-    starts = places.join(files, "file").select("file", "offset", (F.col("file_start") + F.col("in_file")).alias("start"))
-    read = read_records(spark, path).select(
-        "file", "offset", "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), crc("ids").alias("ids_crc32")
-    )
-    return read.join(starts, ["file", "offset"]).select("doc_id", "start", "n_tokens", "ids_crc32")
+    places = index.withColumn("in_file", F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).join(file_starts(index), "file")
+    start = F.col("file_start") + F.col("in_file")
+    return places.select("doc_id", start.alias("start"), F.col("n_ids").alias("n_tokens"), "ids_crc32")

@@ -1,14 +1,16 @@
+import random
 import zlib
 from functools import reduce
 
 import numpy as np
+import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
 from ledgerline.llm import records
 from tests.llm.helpers import EDGES, table
 
-PATH = "/opt/tokenizers/word_bpe_49k.json"
+PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
 def test_checksum():
@@ -26,7 +28,7 @@ def test_files_and_index(spark, tmp_path):
     data, index = str(tmp_path / "data"), str(tmp_path / "index")
     records.write_records(docs, data, PATH, shards=3, records_per_file=2)
     places = records.write_index(spark, data, index)
-    found = records.record_digests(spark, data, places).collect()
+    found = records.record_digests(places).collect()
     start, wanted = 0, []
     for doc_id, text in sorted(((r[0], r[1] or "") for r in EDGES), key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = [*library.encode(text, add_special_tokens=False).ids, 1]
@@ -54,7 +56,7 @@ def test_empty_table(spark, tmp_path):
     data = str(tmp_path / "data")
     records.write_records(table(spark, []), data, PATH, shards=2)
     places = records.write_index(spark, data, str(tmp_path / "index"))
-    assert records.record_digests(spark, data, places).collect() == []
+    assert records.record_digests(places).collect() == []
 
 
 def test_words_are_encoded_as_whole_texts_are():
@@ -62,7 +64,7 @@ def test_words_are_encoded_as_whole_texts_are():
     encoder = records.WordEncoder(open(PATH, encoding="utf-8").read())
     texts = ["A  B\n\tc", "<|ENDOFTEXT|> X", "<|endoftext|>x y", "ΣΑΣ İ ﬁ", "é É", "a b　c x\x1cy", "Don't!!, ok."]
     for text in texts:
-        assert encoder.encode(text.encode()).tolist() == [*library.encode(text, add_special_tokens=False).ids, 1]
+        assert encoder.encode(text).tolist() == [*library.encode(text, add_special_tokens=False).ids, 1]
 
 
 def test_letters_that_compose_in_upper_case_only():
@@ -72,4 +74,31 @@ def test_letters_that_compose_in_upper_case_only():
     for pair in ("H\u0331", "J\u030c", "T\u0308", "T\u0344", "W\u030a", "Y\u030a"):
         text = f"One {pair} and X{pair}Y"
         wanted = library.encode(text, add_special_tokens=False).ids
-        assert records.WordEncoder(model).encode(text.encode()).tolist()[:-1] == wanted, pair
+        assert records.WordEncoder(model).encode(text).tolist()[:-1] == wanted, pair
+
+
+def test_texts_of_the_first_code_points_are_encoded_as_the_library_does():
+    with open(PATH, encoding="utf-8") as f:
+        model = f.read()
+    library, encoder = Tokenizer.from_str(model), records.WordEncoder(model)
+    rng = random.Random(4)
+    points = [chr(c) for c in range(256)]
+    likely = list("aabcdeinorstxyzABÀÉéèñß0123'''  \n.,-<|>") + ["'s", "'LL", "'re", " don't", "ing", "tion", "the "]
+    texts = ["".join(f"a{c}b {c}{c} 1{c}'{c}" for c in points), "", " ", "'", "'s", "''s's'tis 'Twas we'll", "a" * 50_000, "<|x"]
+    texts += ["".join(rng.choice(points if k % 5 == 0 else likely) for _ in range(rng.randint(0, 60))) for k in range(6000)]
+    for text, found in zip(texts, library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        assert encoder.encode(text).tolist() == [*found.ids, records.END_ID], repr(text)
+
+
+def test_files_are_summed_in_the_order_of_their_numbers(spark):
+    names = ["part-00007-x-c000.txt", "part-00007-x-c002.txt", "part-00007-x-c1000.txt", "part-99999-x-c000.txt", "part-100000-x-c000.txt"]
+    index = spark.createDataFrame([(n, 0, 10 + k) for k, n in enumerate(names)], "file string, offset long, n_ids long")
+    found = {r.file: r.file_start for r in records.file_starts(index).collect()}
+    assert [found[n] for n in names] == [0, 10, 21, 33, 46]
+
+
+def test_rows_without_an_id_lie_in_several_ranges(spark, tmp_path):
+    docs = table(spark, [(None, f"text {k}") for k in range(400)])
+    records.write_records(docs, str(tmp_path / "data"), PATH, shards=4)
+    files = records.read_records(spark, str(tmp_path / "data")).groupBy("file").count().collect()
+    assert sum(r["count"] for r in files) == 400 and max(r["count"] for r in files) < 250
