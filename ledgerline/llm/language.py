@@ -16,13 +16,15 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import batches
+from ledgerline.llm.common import batches, checkpointed
 
 # The bound of the training sample: so many documents of a language are
-# expected, and never more than twice as many taken; so many windows of each.
+# expected, less where all languages together would have more than SAMPLE_ALL
+# but one at least, and never more than about twice as many taken; so many
+# windows of each. Every language is learned, however many there are.
 SAMPLE_DOCS = 400
+SAMPLE_ALL = 20_000
 WINDOWS_A_DOC = 6
-MOST_LANGUAGES = 200
 
 HIDDEN = 12
 WINDOW = 128  # bytes; a longer text has more windows
@@ -34,16 +36,16 @@ LANES = 1024
 RUN = 2 << 20
 
 UNKNOWN = "und"
+# The name of what is no language, beside those that are learned.
+NOISE = "\0noise"
 LETTER = regex.compile(r"\p{L}")
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place, through tanh, which numpy has in fast form."""
-    x *= 0.5
-    np.tanh(x, out=x)
+def _sigmoid_of_minus(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + e^x), in place; numpy has a fast exponential, but no fast tanh."""
+    np.exp(x, out=x)
     x += 1
-    x *= 0.5
-    return x
+    return np.reciprocal(x, out=x)
 
 
 class Direction:
@@ -59,21 +61,34 @@ class Direction:
         the state is 0. ``keep`` gathers what the way back needs."""
         steps, lanes = data.shape
         hidden = len(self.carried)
+        # Each gate has arrays of its own, with the sign and factor of its exponential.
+        factor = np.repeat(np.array([-1, -1, -2], np.float32), hidden)
+        given = [np.ascontiguousarray(g) for g in np.split(self.given * factor, 3, axis=1)]
+        carried = [np.ascontiguousarray(c) for c in np.split(self.carried * factor, 3, axis=1)]
         states = np.empty((steps, lanes, hidden), np.float32)
         state = np.zeros((lanes, hidden), np.float32)
-        for t in range(steps):
-            inputs = self.given[data[t]]
-            from_state = state @ self.carried
-            gates = _sigmoid(inputs[:, : 2 * hidden] + from_state[:, : 2 * hidden])
-            hold, let = gates[:, :hidden], gates[:, hidden:]
-            new = np.tanh(inputs[:, 2 * hidden :] + let * from_state[:, 2 * hidden :])
-            if keep is not None:
-                keep.append((state, hold, let, new, from_state[:, 2 * hidden :]))
-            state = np.subtract(state, new, out=states[t])
-            state *= hold
-            state += new
-            if live is not None:
-                state *= live[t][:, None]
+        hold, let, new, from_new, read = (np.empty((lanes, hidden), np.float32) for _ in range(5))
+        with np.errstate(over="ignore"):
+            for t in range(steps):
+                np.matmul(state, carried[0], out=hold)
+                hold += np.take(given[0], data[t], axis=0, out=read, mode="clip")
+                _sigmoid_of_minus(hold)
+                np.matmul(state, carried[1], out=let)
+                let += np.take(given[1], data[t], axis=0, out=read, mode="clip")
+                _sigmoid_of_minus(let)
+                np.matmul(state, carried[2], out=from_new)
+                np.multiply(let, from_new, out=new)
+                new += np.take(given[2], data[t], axis=0, out=read, mode="clip")
+                _sigmoid_of_minus(new)
+                new *= 2
+                new -= 1
+                if keep is not None:
+                    keep.append((state, hold.copy(), let.copy(), new.copy(), from_new / -2))
+                state = np.subtract(state, new, out=states[t])
+                state *= hold
+                state += new
+                if live is not None:
+                    state *= live[t][:, None]
         return states
 
     def back(self, data: np.ndarray, live: np.ndarray, kept: list, d_states: np.ndarray) -> list[np.ndarray]:
@@ -146,9 +161,13 @@ class Network:
         return [*d_right, *d_left, d_out, flat.sum(axis=0)]
 
 
-def train(texts: list[bytes], langs: list[str], seed: int = 3) -> Network:
-    """A network fitted to windows of labelled texts, by Adam."""
+def train(texts: list[bytes], langs: list[str], seed: int = 3, noise: bool = False) -> Network:
+    """A network fitted to windows of labelled texts, by Adam. With ``noise`` it
+    also learns `NOISE`, from windows whose bytes are put in a random order or
+    drawn anew."""
     languages = sorted(set(langs))
+    if noise:
+        languages.append(NOISE)
     network = Network(languages, seed=seed)
     rng = np.random.default_rng(seed)
     windows, wanted = [], []
@@ -157,6 +176,12 @@ def train(texts: list[bytes], langs: list[str], seed: int = 3) -> Network:
             start = int(rng.integers(0, max(1, len(text) - WINDOW + 1)))
             windows.append(text[start : start + WINDOW])
             wanted.append(languages.index(lang))
+    if noise:
+        for k in rng.permutation(len(windows))[: max(1, len(windows) // (len(languages) - 1))].tolist():
+            data = np.frombuffer(windows[k], np.uint8)
+            drawn = rng.integers(32, 127, len(data)).astype(np.uint8)
+            windows.append((rng.permutation(data) if rng.random() < 0.5 else drawn).tobytes())
+            wanted.append(len(languages) - 1)
     wanted = np.array(wanted)
     # Every language counts the same, however many documents it has.
     share = np.bincount(wanted, minlength=len(languages))
@@ -233,34 +258,32 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def learned(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Network | None:
+def learned(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, noise: bool = False) -> Network | None:
     """The network trained on a bounded sample of the documents that have a
     text and a ``lang`` and are not held out; None if there are none."""
     usable = docs.where(
         F.col("text").isNotNull() & (F.col("text") != "") & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))
-    )
-    counts = dict(
-        usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    )
-    if not counts:
-        return None
+    ).select("doc_id", "lang", "text")
     drawn = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "lang"), F.lit(1 << 30)) / float(1 << 30)
-    wanted = F.lit(False)
-    for lang, n in counts.items():
-        wanted |= (F.col("lang") == lang) & (drawn < min(1.0, sample_docs / n))
+    counts = checkpointed(usable.groupBy("lang").agg(F.count("*").alias("in_all"), F.min(drawn).alias("first")))
+    n_langs = counts.count()
+    if not n_langs:
+        return None
+    sample_docs = max(1, min(sample_docs, SAMPLE_ALL // n_langs))
+    wanted = (drawn < F.lit(float(sample_docs)) / F.col("in_all")) | (drawn == F.col("first"))
     # Of a long text a stretch at a drawn place leaves the executors; windows are drawn from it.
     size = F.lit(40 * WINDOW)
     place = F.pmod(F.xxhash64(F.lit("place"), "doc_id"), F.greatest(F.lit(1), F.char_length("text") - size)) + 1
     stretch = F.substring(F.col("text"), place, size)
     rows = (
-        usable.where(wanted)
-        .select("doc_id", "lang", "text")
-        .limit(2 * sample_docs * len(counts))
+        usable.join(counts, "lang")
+        .where(wanted)
+        .limit(2 * (sample_docs + 1) * n_langs)
         .select("doc_id", "lang", stretch.cast("binary").alias("text"))
         .collect()
     )
     rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1], bytes(r[2])))
-    return train([bytes(r[2]) for r in rows], [r[1] for r in rows]) if rows else None
+    return train([bytes(r[2]) for r in rows], [r[1] for r in rows], noise=noise) if rows else None
 
 
 _LABELS = pa.schema([("lang_pred", pa.string()), ("score", pa.float64())])
@@ -315,14 +338,49 @@ def labelled(docs: DataFrame, network: Network | None = None) -> DataFrame:
     return slim.mapInArrow(label, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def recognised(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """The rows of ``docs`` that have a language, with a mean probability of
-    ``least`` or more; the columns are those of ``docs``. By default only texts
-    that are ``und`` go: a short text has a low score and may be fine."""
-    network = learned(docs)
+# The length, in bytes, from which on the bound on noise falls quickly.
+NOISE_BYTES = 256
+
+
+def most_noise(size: np.ndarray) -> np.ndarray:
+    """The mean probability of `NOISE` up to which a text of so many bytes
+    stays. A short text says little, so only near certainty rejects it."""
+    return 0.5 + 0.5 * (NOISE_BYTES / (NOISE_BYTES + size)) ** 0.5
+
+
+def recognised(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that have a language; the columns are those of ``docs``.
+
+    A text without a letter goes, null and empty ones included. So does one
+    that the network, trained here with noise beside the languages, takes for
+    noise with a pooled probability above `most_noise` of its length. Where no
+    document has a ``lang`` to learn from, only texts without a letter go.
+    """
+    network = learned(docs, noise=True)
 
     def fine(texts: pa.Array) -> pa.Array:
-        found = label_column(network, texts)
-        return pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_())
+        return pa.array([kept for kept, _ in noise_column(network, texts)], pa.bool_())
 
     return docs.where(F.arrow_udf(fine, "boolean")("text"))
+
+
+def noise_column(network: Network | None, texts: pa.Array) -> list[tuple[bool, float]]:
+    """(stays, probability of noise) of each text of a column, in bounded runs."""
+    found: list[tuple[bool, float]] = []
+    run, size = [], 0
+    for k in range(len(texts)):
+        run.append(texts[k].as_py() or "")
+        size += len(run[-1])
+        if size < RUN and k + 1 < len(texts):
+            continue
+        lettered = [i for i, t in enumerate(run) if LETTER.search(t)]
+        some = [(False, 0.0)] * len(run)
+        if lettered:
+            data = [run[i].encode() for i in lettered]
+            noise = Labeller(network).pool(data)[:, network.languages.index(NOISE)] if network else np.zeros(len(data))
+            stays = noise <= most_noise(np.fromiter(map(len, data), np.int64, len(data)))
+            for i, keep, p in zip(lettered, stays.tolist(), noise.tolist(), strict=True):
+                some[i] = keep, p
+        found += some
+        run, size = [], 0
+    return found

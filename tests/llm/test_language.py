@@ -30,8 +30,6 @@ def test_edges(spark, network):
     assert {i for i, r in found.items() if r.lang_pred == "und"} == {1, 2, 3, 9}
     assert found[1].score == 0
     assert not found[None].held_out
-    kept = language.recognised(table(spark, [(20, "Ein Wort", "de"), *EDGES], clash=True)).collect()
-    assert sorted(str(r.doc_id) for r in kept) == sorted(map(str, [20, 4, 5, 5, None, 7, 8, 10]))
 
 
 def test_without_labels(spark):
@@ -66,3 +64,58 @@ def test_gradients():
         down = loss()
         w[spot] += 1e-2
         assert g[spot] == pytest.approx((up - down) / 2e-2, rel=0.05, abs=1e-4)
+
+
+def test_pooled_score_equals_a_plain_walk_over_the_bytes(network):
+    """One byte after the other in plain numbers, window by window."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    hidden = language.HIDDEN
+
+    def states(layer, data):
+        state, out = np.zeros(hidden), []
+        for b in data:
+            given, carried = layer.given[b].astype(float), state @ layer.carried.astype(float)
+            hold, let = (sigmoid(given[k * hidden : (k + 1) * hidden] + carried[k * hidden : (k + 1) * hidden]) for k in (0, 1))
+            new = np.tanh(given[2 * hidden :] + let * carried[2 * hidden :])
+            state = hold * state + (1 - hold) * new
+            out.append(state)
+        return np.array(out)
+
+    texts = ["Der kleine Hund läuft.", "the quick brown fox " * 20, "x", "Él no está aquí " * 9]
+    for text, pooled in zip(texts, language.Labeller(network).pool([t.encode() for t in texts]), strict=True):
+        data, total = text.encode(), np.zeros(len(network.languages))
+        for k in range(0, len(data), language.WINDOW):
+            window = data[k : k + language.WINDOW]
+            both = np.hstack([states(network.right, window), states(network.left, window[::-1])[::-1]])
+            logits = both @ network.out + network.bias
+            chance = np.exp(logits - logits.max(axis=1, keepdims=True))
+            total += (chance / chance.sum(axis=1, keepdims=True)).sum(axis=0)
+        assert pooled == pytest.approx(total / len(data), abs=1e-4)
+
+
+def test_recognised_rejects_noise_and_keeps_short_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rng = np.random.default_rng(8)
+    junk = [(10**6 + k, "".join(map(chr, rng.integers(33, 127, 300 + k)))) for k in range(40)]
+    fine = [(2 * 10**6 + k, t) for k, t in enumerate(["Von.", "the", "of the", "El la", "x", "Et de les"])]
+    none = [(3 * 10**6, None), (3 * 10**6 + 1, ""), (3 * 10**6 + 2, "12 34 !!")]
+    all_ = docs.union(table(spark, [*junk, *fine, *none], clash=False).select(docs.columns))
+    kept = {r.doc_id for r in language.recognised(all_).select("doc_id").collect()}
+    assert not kept & {i for i, _ in junk + none}
+    assert {i for i, _ in fine} <= kept
+    lettered = docs.where("text RLIKE '[a-zA-Z]'").count()
+    assert len(kept) - len(fine) >= 0.999 * lettered
+
+
+def test_recognised_without_labels_rejects_texts_without_a_letter_only(spark):
+    docs = [(i, t) for i, t, *_ in EDGES] + [(50, "%$ x9 &&& " * 40)]
+    kept = language.recognised(table(spark, docs, clash=True))
+    assert len(kept.columns) > 5
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [4, 5, 5, None, 7, 8, 10, 50]))
+    assert language.recognised(table(spark, [])).isEmpty()
+
+
+def test_every_language_is_learned(spark):
+    docs = table(spark, [(k, f"word{k} " * 5, f"l{k % 230:03}") for k in range(1400)])
+    network = language.learned(docs, sample_docs=3)
+    assert len(network.languages) == 230
