@@ -14,6 +14,32 @@ FLAGS = {
     "is_date": value_types.is_date,
     "is_datetime": value_types.is_datetime,
 }
+_BIT = {flag: 1 << k for k, flag in enumerate(FLAGS)}
+_FILLED = 1 << len(FLAGS)
+_ALL = 2 * _FILLED - 1
+
+
+def cell_mask(v: Column) -> Column:
+    """What a trimmed value can be: a bit for each of `FLAGS`, and one for a
+    value that is not blank. A blank can be anything; NULL has no mask.
+
+    The bits of a set of values are the AND of their masks, so profiles of
+    parts of a file merge. Kinds exclude each other but for integers, which are
+    floats, and 0 and 1, which are booleans too: a value is tested once.
+    """
+    bits = lambda *flags: F.lit(_FILLED + sum(_BIT[f] for f in flags))
+    whole = F.when(v.isin("0", "1"), bits("is_int", "is_float", "is_bool")).otherwise(bits("is_int", "is_float"))
+    kinds = F.when(v == "", F.lit(_ALL - _FILLED)).when(FLAGS["is_int"](v), whole)
+    for flag in ("is_date", "is_datetime", "is_bool", "is_float"):
+        kinds = kinds.when(FLAGS[flag](v), bits(flag))
+    return F.when(v.isNotNull(), kinds.otherwise(F.lit(_FILLED)))
+
+
+def _told(mask: Column, width: Column) -> list[Column]:
+    """The columns of a profile from the AND of the masks and the largest width."""
+    mask = F.coalesce(mask, F.lit(_ALL))
+    flags = [(mask.bitwiseAND(F.lit(bit)) != 0).alias(flag) for flag, bit in _BIT.items()]
+    return [*flags, F.coalesce(width, F.lit(0)).alias("max_len"), (mask.bitwiseAND(F.lit(_FILLED)) == 0).alias("nullable")]
 
 
 def profile_columns(cells: DataFrame) -> DataFrame:
@@ -24,44 +50,30 @@ def profile_columns(cells: DataFrame) -> DataFrame:
     column and counts for nothing else.
     """
     trimmed = cells.select("file", "ordinal", "name", names.strip("value").alias("v"))
-    # Only values with text are tested; the tests give NULL for the rest.
-    text = F.when(F.col("v") != "", F.col("v"))
-    flags = [
-        F.coalesce(F.bool_and(test(text)), F.lit(True)).alias(flag) for flag, test in FLAGS.items()
-    ]
-    folded = trimmed.groupBy("file", "ordinal", "name").agg(
-        *flags,
-        F.coalesce(F.max(F.length(text)), F.lit(0)).alias("max_len"),
-        F.coalesce(F.bool_or(F.col("v") == ""), F.lit(False)).alias("nullable"),
-    )
-    return folded.withColumn("name", names.strip("name")).withColumn("snake", names.snake_case("name"))
+    masked = trimmed.select("file", "ordinal", "name", cell_mask(F.col("v")).alias("mask"), F.length("v").alias("width"))
+    folded = masked.groupBy("file", "ordinal", "name").agg(F.bit_and("mask").alias("mask"), F.max("width").alias("width"))
+    told = folded.select("file", "ordinal", "name", *_told(F.col("mask"), F.col("width")))
+    return told.withColumn("name", names.strip("name")).withColumn("snake", names.snake_case("name"))
 
 
-def profile_rows(table: DataFrame, file: str) -> DataFrame:
+def profile_rows(table: DataFrame, file: str, headers: list[str] | None = None) -> DataFrame:
     """The profile of one file from its rows as text columns, as
-    `profile_columns` gives it. All columns are folded side by side in one
-    pass, and only the results of the whole file become rows."""
-    folded, shown = [], []
-    for i, name in enumerate(table.columns):
-        v = names.strip(F.col(f"`{name}`"))
-        text = F.when(v != "", v)
-        # What is an integer is no date; the long patterns are tried on the rest.
-        whole = value_types.is_integer(text)
-        tests = {k: test(text) for k, test in FLAGS.items()}
-        for k in ("is_date", "is_datetime"):
-            tests[k] = F.when(whole, F.lit(False)).otherwise(tests[k])
-        folded += [F.bool_and(test).alias(f"{k}_{i}") for k, test in tests.items()]
-        folded += [F.max(F.length(text)).alias(f"max_len_{i}"), F.bool_or(v == "").alias(f"nullable_{i}")]
-        shown.append(
-            F.struct(
-                F.lit(i).alias("ordinal"),
-                F.lit(name).alias("name"),
-                *[F.coalesce(f"{k}_{i}", F.lit(True)).alias(k) for k in FLAGS],
-                F.coalesce(f"max_len_{i}", F.lit(0)).alias("max_len"),
-                F.coalesce(f"nullable_{i}", F.lit(False)).alias("nullable"),
-            )
-        )
-    stacked = table.agg(*folded).select(F.lit(file).alias("file"), F.inline(F.array(*shown)))
+    `profile_columns` gives it, the columns named by ``headers`` or as they
+    are. Each cell is trimmed and tested once; all columns are folded side by
+    side, and only the results of the whole file become rows."""
+    n = len(table.columns)
+    trimmed = table.select(*[names.strip(F.col(f"`{c}`")).alias(f"v{i}") for i, c in enumerate(table.columns)])
+    masked = trimmed.select(
+        *[cell_mask(F.col(f"v{i}")).alias(f"mask{i}") for i in range(n)],
+        *[F.length(f"v{i}").alias(f"width{i}") for i in range(n)],
+    )
+    folded = [F.bit_and(f"mask{i}").alias(f"mask{i}") for i in range(n)]
+    folded += [F.max(f"width{i}").alias(f"width{i}") for i in range(n)]
+    shown = [
+        F.struct(F.lit(i).alias("ordinal"), F.lit(name).alias("name"), *_told(F.col(f"mask{i}"), F.col(f"width{i}")))
+        for i, name in enumerate(headers or table.columns)
+    ]
+    stacked = masked.agg(*folded).select(F.lit(file).alias("file"), F.inline(F.array(*shown)))
     return stacked.withColumn("name", names.strip("name")).withColumn("snake", names.snake_case("name"))
 
 

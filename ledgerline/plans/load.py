@@ -1,22 +1,31 @@
 """CSV files to tables, with an audit trail.
 
-One call loads a batch of files. File names, headers and row counts pass
-through the driver, as the reader needs its paths there; contents never do.
-Directories of any size are loaded batch by batch by the streaming form.
-
-Tables and audit events are partitioned by the batch that wrote them: its name
-and a digest of its files. A batch overwrites its own partition, so one that is
-run again, after a lost driver or by a stream that restarts, leaves each file
-loaded once, and other files under a used name replace nothing. A run that was
-lost before its files were recorded as loaded leaves rows that no audit record
-tells of; the next load of any of those files drops what that run wrote first.
+One call loads a batch of files. Paths and headers pass through the driver, as
+the reader needs them there; contents, counts and errors never do. Directories
+of any size are loaded batch by batch by the streaming form.
+
+Each file is parsed once, into a staged table of text values. Types, faults and
+counts come from there, and so do the rows that are published: they are written
+into a folder of the run inside each table and become visible together, when
+the folder is added to the table as a partition.
+
+Tables and audit events are partitioned by the run that wrote them: the name of
+its batch and a digest of its files. A run that is repeated, after a lost driver
+or by a stream that restarts, replaces its own partition, so each file is loaded
+once. Runs that want one content wait for each other (`leases`); others go on
+side by side. A run that was lost before its files were recorded as loaded
+leaves rows that no audit record tells of; the next load of any of those files
+drops what that run wrote, but never what a run at work writes.
 """
 
 from __future__ import annotations
 
+import hashlib
 import time
+import uuid
 from collections import defaultdict
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -27,12 +36,15 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import names, value_types
 from ledgerline.operators import audit, notices, profile
-from ledgerline.session import checkpointed
+from ledgerline.plans import leases
+from ledgerline.session import checkpoint_root, checkpointed
 from ledgerline.sources import csv_files, tables
 from ledgerline.sources import files as file_source
 from ledgerline.sources import notices as notice_source
 
 BATCH = "load_batch"
+# Tables that one load publishes side by side.
+SIDE_BY_SIDE = 4
 
 # Parts of a file name and the table they route to, tested in
 # this order.
@@ -54,7 +66,8 @@ class LoadSettings:
     The schema of a new table comes from the whole of its first file, or, with
     ``sample_rows``, from so many of its first records. ``routed`` names tables by `ROUTES` instead of the file's name.
     ``row_hook`` sees the text columns of each table before they are typed.
-    ``append_always`` also loads content that a table already has.
+    ``append_always`` also loads content that a table already has. A run that
+    has not renewed its lease for ``lease_seconds`` counts as lost.
     """
 
     database: str = "default"
@@ -63,6 +76,7 @@ class LoadSettings:
     multi_line: bool = True
     routed: bool = False
     append_always: bool = False
+    lease_seconds: float = leases.SECONDS
     row_hook: Callable[[DataFrame], DataFrame] | None = None
 
     def table(self, name: str) -> str:
@@ -116,6 +130,7 @@ def audit_events(spark: SparkSession, settings: LoadSettings) -> DataFrame:
 
 
 def _append_events(events: DataFrame, settings: LoadSettings, batch: str) -> None:
+    """Publish audit events as a partition of their run and kind."""
     spark = events.sparkSession
     table = settings.table(settings.audit_table)
     rest = [f.strip() for f in audit.EVENT_SCHEMA.split(",") if f.strip() != "event string"]
@@ -123,19 +138,41 @@ def _append_events(events: DataFrame, settings: LoadSettings, batch: str) -> Non
         f"CREATE TABLE IF NOT EXISTS {table} ({', '.join(rest)}, {BATCH} string, event string) "
         f"USING parquet PARTITIONED BY ({BATCH}, event)"
     )
-    rows = events.withColumn(BATCH, F.lit(batch))
-    _overwrite_batch(rows.select(*[r.split(" ")[0] for r in rest], BATCH, "event"), table)
+    events = checkpointed(events)
+    for kind in sorted(r.event for r in events.select("event").distinct().collect()):
+        rows = events.where(F.col("event") == kind).select(*[r.split(" ")[0] for r in rest])
+        _publish(rows, table, {BATCH: batch, "event": kind})
 
 
-def _overwrite_batch(rows: DataFrame, table: str) -> None:
-    """Write rows into the partitions they belong to, replacing only those."""
-    conf, mode = rows.sparkSession.conf, "spark.sql.sources.partitionOverwriteMode"
-    before = conf.get(mode)
-    conf.set(mode, "dynamic")
-    try:
-        rows.write.insertInto(table, overwrite=True)
-    finally:
-        conf.set(mode, before)
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _location(spark: SparkSession, table: str, part: dict[str, str]) -> str:
+    """The folder of a partition, named by a digest of its values."""
+    about = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Location'").first()
+    inside = "/".join(hashlib.md5(f"{k}={v}".encode()).hexdigest() for k, v in part.items())
+    return f"{about['data_type'].rstrip('/')}/{inside}"
+
+
+def _publish(rows: DataFrame, table: str, part: dict[str, str]) -> None:
+    """Replace a partition: its rows are written to a folder of its own, which
+    is then added to the table, so that readers see all of them or none, and
+    writers of other partitions do not meet."""
+    spark = rows.sparkSession
+    where = _location(spark, table, part)
+    values = ", ".join(f"`{k}` = {_quoted(v)}" for k, v in part.items())
+    rows.write.mode("overwrite").parquet(where)
+    spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS PARTITION ({values}) LOCATION {_quoted(where)}")
+    spark.catalog.refreshTable(table)
+
+
+def _withdraw(spark: SparkSession, table: str, part: dict[str, str]) -> None:
+    """Drop a partition and its folder, whether it was added or not."""
+    where = _location(spark, table, part)
+    values = ", ".join(f"`{k}` = {_quoted(v)}" for k, v in part.items())
+    spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({values})")
+    leases.remove_folder(spark, where)
 
 
 def _audit_id(batch: str) -> Column:
@@ -160,7 +197,8 @@ def _not_loaded(manifest: DataFrame, events: DataFrame) -> DataFrame:
 
 def _drop_lost_runs(loads: DataFrame, settings: LoadSettings) -> None:
     """Drop what runs wrote that began to load one of these contents and never
-    recorded an outcome. None of their files counts as loaded."""
+    recorded an outcome. None of their files counts as loaded, and none of them
+    is at work: this run has waited for those that are."""
     spark = loads.sparkSession
     trail = settings.table(settings.audit_table)
     if not spark.catalog.tableExists(trail):
@@ -174,8 +212,7 @@ def _drop_lost_runs(loads: DataFrame, settings: LoadSettings) -> None:
     for r in begun.join(lost, BATCH, "left_semi").select(BATCH, "table_name").distinct().toLocalIterator():
         full = settings.table(r.table_name)
         if spark.catalog.tableExists(full):
-            value = r[BATCH].replace("\\", "\\\\").replace("'", "\\'")
-            spark.sql(f"ALTER TABLE {full} DROP IF EXISTS PARTITION (`{BATCH}` = '{value}')")
+            _withdraw(spark, full, {BATCH: r[BATCH]})
 
 
 def load_files(files: DataFrame, settings: LoadSettings, batch: str) -> DataFrame:
@@ -200,47 +237,190 @@ def load_files(files: DataFrame, settings: LoadSettings, batch: str) -> DataFram
 
     # Unreadable, hidden or unroutable files fail before an audit record exists.
     accepted = manifest.where("error IS NULL AND md5 <> ''")
-    loads = accepted if settings.append_always else checkpointed(_not_loaded(accepted, audit_events(spark, settings)))
-    files_digest = F.hex(F.bit_xor(F.xxhash64("path", "md5")))
-    run = f"{batch}-{loads.agg(files_digest).first()[0] or 0}"
-    _drop_lost_runs(loads, settings)
-    _append_events(audit.started(loads, F.current_timestamp().cast("timestamp_ntz")), settings, run)
-
-    delimited = checkpointed(csv_files.with_delimiter(loads.select("path", "table_name")))
-    # Without a given number of records the cells name the columns only.
-    cells = checkpointed(csv_files.sample_cells(delimited, settings.sample_rows or 1))
-    errors = {r.file: r.error for r in cells.where("error IS NOT NULL").select("file", "error").toLocalIterator()}
-    parts, refused = _parts(delimited, cells)
-    errors.update(refused)
-    counts: dict[str, int] = {}
-    took: dict[str, int] = {}
-    for table, table_parts in parts.items():
-        began = time.monotonic()
+    folder = leases.Folder(spark, f"{_database_folder(spark, settings)}/_load_runs")
+    with leases.Lease(folder, settings.lease_seconds) as lease:
+        lease.claim(accepted.select("table_name", "md5").distinct())
+        if settings.append_always:
+            loads = accepted
+        else:
+            loads = checkpointed(_not_loaded(accepted, audit_events(spark, settings)))
+        files_digest = F.hex(F.bit_xor(F.xxhash64("path", "md5")))
+        run = f"{batch}-{loads.agg(files_digest).first()[0] or 0}"
+        _drop_lost_runs(loads, settings)
+        _append_events(audit.started(loads, F.current_timestamp().cast("timestamp_ntz")), settings, run)
+
+        delimited = checkpointed(csv_files.with_delimiter(loads.select("path", "table_name")))
+        # Without a given number of records the cells name the columns only.
+        cells = checkpointed(csv_files.sample_cells(delimited, settings.sample_rows or 1))
+        parts, refused = _parts(delimited, cells)
+        outcome = _load_parts(spark, settings, parts, cells, run, lease)
+        unread = cells.where("error IS NOT NULL").select(F.col("file").alias("path"), "error")
+        unread = unread.union(spark.createDataFrame(list(refused.items()), "path string, error string"))
+        unread = unread.groupBy("path").agg(F.min("error").alias("error_message"))
+        outcome = checkpointed(
+            outcome.unionByName(
+                unread.withColumns({"rows_inserted": F.lit(None).cast("long"), "duration_ms": F.lit(0)}),
+            )
+        )
+        # The files of a table are loaded together: each has the time of its table.
+        done = loads.join(outcome, "path").withColumn("retry_count", F.lit(0))
+        now = F.current_timestamp().cast("timestamp_ntz")
+        finished = audit.succeeded(done.where("error_message IS NULL"), now).unionByName(
+            audit.failed(done.where("error_message IS NOT NULL"), now)
+        )
+        _append_events(finished, settings, run)
+    return _results(manifest, delimited, outcome)
+
+
+def _database_folder(spark: SparkSession, settings: LoadSettings) -> str:
+    return spark.catalog.getDatabase(settings.database).locationUri.rstrip("/")
+
+
+_STAGED = "file string, values array<string>, part int"
+
+
+def _load_parts(
+    spark: SparkSession,
+    settings: LoadSettings,
+    parts: dict[str, list[_Part]],
+    cells: DataFrame,
+    run: str,
+    lease: leases.Lease,
+) -> DataFrame:
+    """Stage, check and publish the files of all tables. ``path``,
+    ``rows_inserted``, ``error_message`` and ``duration_ms`` of each file."""
+    began = time.monotonic()
+    numbered = {n: (table, part) for n, (table, part) in enumerate((t, p) for t, some in parts.items() for p in some)}
+    files = [(path, plain(path), table, n) for n, (table, part) in numbered.items() for path in part.paths]
+    stage = _Stage(spark, settings, f"{checkpoint_root(spark)}/load-{uuid.uuid4().hex}")
+    refused: dict[int, str] = {}
+    # The first file of a new table says what its columns are.
+    new = [t for t in parts if not spark.catalog.tableExists(settings.table(t))]
+    firsts = {}
+    for table in new:
+        n = min((n for n, (t, _) in numbered.items() if t == table), key=lambda n: numbered[n][1].paths[0])
+        firsts[n] = numbered[n][1].of(numbered[n][1].paths[:1])
+    stage.read(firsts)
+    for table in parts:
+        first = next((n for n in firsts if numbered[n][0] == table), None)
+        sample = stage.values_of(first, firsts[first].paths[0]) if first is not None else None
         try:
-            _ensure_table(spark, settings, table, table_parts, cells)
-            good, rows, bad = _check_files(spark, settings, table, table_parts)
-            errors.update(bad)
-            if good:
-                _write_table(spark, settings, table, good, run)
-            counts.update(rows)
+            _ensure_table(spark, settings, table, parts[table], cells, sample)
         except (PySparkException, ValueError) as e:
-            failed = {p: f"{type(e).__name__}: {e}" for part in table_parts for p in part.paths}
-            errors.update({p: text for p, text in failed.items() if p not in errors})
-        spent = int((time.monotonic() - began) * 1000)
-        took.update({p: spent for part in table_parts for p in part.paths})
-
-    outcome = spark.createDataFrame(
-        [(p, counts.get(p), errors.get(p), took.get(p, 0)) for p in {*counts, *errors}],
-        "path string, rows_inserted long, error_message string, duration_ms int",
+            refused.update({n: f"{type(e).__name__}: {e}" for n, (t, _) in numbered.items() if t == table})
+    rest = {n: p.of([f for f in p.paths if n not in firsts or f not in firsts[n].paths]) for n, (_, p) in numbered.items()}
+    stage.read({n: p for n, p in rest.items() if p.paths and n not in refused})
+
+    columns = {t: _columns(spark, settings.table(t)) for t in parts if spark.catalog.tableExists(settings.table(t))}
+    checked = []
+    for n, (table, part) in numbered.items():
+        if n in refused:
+            continue
+        try:
+            fault = _unfit(stage.rows(n, part), columns[table])
+            if fault:
+                refused[n] = fault
+            else:
+                checked.append(_faults(stage.rows(n, part), columns[table]))
+        except (PySparkException, ValueError) as e:
+            refused[n] = f"{type(e).__name__}: {e}"
+    none = spark.createDataFrame([], "plain string, rows long, fault string")
+    found = reduce(DataFrame.unionByName, checked, none)
+    listed = spark.createDataFrame(
+        [(p, q, t, n, stage.errors.get(p) or refused.get(n)) for p, q, t, n in files],
+        "path string, plain string, table_name string, part int, error string",
     )
-    # The files of a table are loaded together: each has the time of its table.
-    done = loads.join(outcome, "path").withColumn("retry_count", F.lit(0))
-    now = F.current_timestamp().cast("timestamp_ntz")
-    finished = audit.succeeded(done.where("error_message IS NULL"), now).unionByName(
-        audit.failed(done.where("error_message IS NOT NULL"), now)
+    # A file with a header only has no row of its own.
+    state = checkpointed(
+        listed.join(found, "plain", "left").select(
+            "path",
+            "plain",
+            "table_name",
+            "part",
+            F.coalesce("rows", F.lit(0)).alias("rows"),
+            F.coalesce("error", "fault").alias("error"),
+        )
     )
-    _append_events(finished, settings, run)
-    return _results(manifest, delimited, outcome)
+    good = state.where("error IS NULL")
+    full = {r.table_name for r in good.select("table_name").distinct().collect()}
+
+    def publish(table: str) -> tuple[str, str | None, int]:
+        try:
+            own = [(n, p) for n, (t, p) in numbered.items() if t == table and n not in refused]
+            typed = [_typed(stage.rows(n, p), columns[table]) for n, p in own]
+            rows = reduce(DataFrame.unionByName, typed)
+            rows = rows.join(good.select(F.col("plain").alias("_file")), "_file", "left_semi").drop("_file")
+            lease.check()
+            _publish(rows, settings.table(table), {BATCH: run})
+            if not lease.held():  # another run may have swept this one while it wrote
+                _withdraw(spark, settings.table(table), {BATCH: run})
+                lease.check()
+        except (PySparkException, ValueError) as e:
+            return table, f"{type(e).__name__}: {e}", int((time.monotonic() - began) * 1000)
+        return table, None, int((time.monotonic() - began) * 1000)
+
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+        written = list(pool.map(publish, sorted(full)))
+    tables_ = spark.createDataFrame(written, "table_name string, table_error string, took int")
+    result = state.join(tables_, "table_name", "left")
+    error = F.coalesce("error", "table_error")
+    spent = int((time.monotonic() - began) * 1000)
+    return result.select(
+        "path",
+        F.when(error.isNull(), F.col("rows")).alias("rows_inserted"),
+        error.alias("error_message"),
+        F.coalesce("took", F.lit(spent)).alias("duration_ms"),
+    )
+
+
+class _Stage:
+    """The text values of files, parsed once each."""
+
+    def __init__(self, spark: SparkSession, settings: LoadSettings, folder: str):
+        self.spark, self.settings, self.folder = spark, settings, folder
+        self.written: list[str] = []
+        self.errors: dict[str, str] = {}
+
+    def read(self, parts: dict[int, _Part]) -> None:
+        """Stage the files of ``parts`` in one job. Where that breaks, parts are
+        read one by one, then files, and only those that break fail."""
+        if not parts:
+            return
+        where = f"{self.folder}/{len(self.written)}-{uuid.uuid4().hex}"
+        try:
+            rows = [
+                csv_files.read_values(self.spark, p.paths, p.headers, p.delimiter, self.settings.multi_line).select(
+                    "file", "values", F.lit(n).alias("part")
+                )
+                for n, p in parts.items()
+            ]
+            reduce(DataFrame.unionByName, rows).write.partitionBy("part").parquet(where)
+        except PySparkException as e:
+            alone = [(n, p.of([path])) for n, p in parts.items() for path in p.paths]
+            if len(alone) == 1:
+                self.errors[alone[0][1].paths[0]] = f"{type(e).__name__}: {e}"
+                return
+            for n, p in parts.items() if len(parts) > 1 else alone:
+                self.read({n: p})
+            return
+        self.written.append(where)
+
+    def values_of(self, n: int, path: str) -> DataFrame:
+        """The records of one file."""
+        return self.values().where((F.col("part") == n) & (F.col("file") == plain(path)))
+
+    def rows(self, n: int, part: _Part) -> DataFrame:
+        """The text columns of a part, blanks as NULL, and ``_file``."""
+        rows = self.values().where(F.col("part") == n)
+        blank = [F.nullif(F.get("values", F.lit(k)), F.lit("")).alias(c) for k, c in enumerate(part.columns)]
+        rows = rows.select(*blank, F.col("file").alias("_file"))
+        return self.settings.row_hook(rows) if self.settings.row_hook else rows
+
+    def values(self) -> DataFrame:
+        if not self.written:
+            return self.spark.createDataFrame([], _STAGED)
+        read = [self.spark.read.schema(_STAGED).parquet(w) for w in self.written]
+        return reduce(DataFrame.unionByName, read)
 
 
 def file_sizes(files: DataFrame) -> DataFrame:
@@ -308,19 +488,21 @@ def _parts(delimited: DataFrame, cells: DataFrame) -> tuple[dict[str, list[_Part
 
 
 def _ensure_table(
-    spark: SparkSession, settings: LoadSettings, table: str, parts: list[_Part], cells: DataFrame
+    spark: SparkSession, settings: LoadSettings, table: str, parts: list[_Part], cells: DataFrame, values: DataFrame | None
 ) -> None:
-    """Create the table from its first file, unless it exists."""
+    """Create the table from its first file, unless it exists; ``values`` has
+    the staged values of that file."""
     full = settings.table(table)
     if spark.catalog.tableExists(full):
         return
     first = min(parts, key=lambda p: p.paths[0])
     path = first.paths[0]
     if settings.sample_rows is None:
-        chosen = csv_files.all_cells(spark, [path], first.headers, first.delimiter, settings.multi_line)
+        columns = [F.get("values", F.lit(k)).alias(f"c{k}") for k in range(len(first.headers))]
+        found = profile.profile_rows(values.select(*columns), path, first.headers)
     else:
-        chosen = cells.where(F.col("file") == path).drop("error")
-    typed = profile.with_types(profile.profile_columns(chosen))
+        found = profile.profile_columns(cells.where(F.col("file") == path).drop("error"))
+    typed = profile.with_types(found)
     columns = typed.select("ordinal", "snake", value_types.spark_type(F.col("column_type")).alias("type"), "nullable")
     # File tables do not keep NOT NULL, so it is kept as a comment.
     lines = [
@@ -339,66 +521,23 @@ def _columns(spark: SparkSession, full: str) -> list[tuple[str, str, bool]]:
     return [(name, kind, comment != "NOT NULL") for name, kind, comment in listed if name != BATCH]
 
 
-def _text_rows(spark: SparkSession, settings: LoadSettings, part: _Part, paths: list[str]) -> DataFrame:
-    rows = csv_files.read_text_columns(spark, paths, part.headers, part.delimiter, settings.multi_line)
-    blank = [F.nullif(F.col(f"`{c}`"), F.lit("")).alias(c) for c in part.columns]
-    rows = rows.select(*blank, "_file")
-    return settings.row_hook(rows) if settings.row_hook else rows
-
-
-def _check_files(
-    spark: SparkSession, settings: LoadSettings, table: str, parts: list[_Part]
-) -> tuple[list[tuple[_Part, list[str]]], dict[str, int], dict[str, str]]:
-    """Which files fit the table, with their row counts, and what is wrong
-    with the others. Reads each file once; nothing is written. Where a read
-    breaks, its files are read one by one, and only those that break fail."""
-    columns = _columns(spark, settings.table(table))
-    good, counts, bad = [], {}, {}
-    for part in parts:
-        try:
-            fault, seen = _faults(spark, settings, part, columns)
-        except PySparkException as e:
-            if len(part.paths) == 1:
-                bad[part.paths[0]] = f"{type(e).__name__}: {e}"
-                continue
-            for path in part.paths:
-                fits, found, wrong = _check_files(spark, settings, table, [part.of([path])])
-                good += fits
-                counts.update(found)
-                bad.update(wrong)
-            continue
-        if fault:
-            bad.update({p: fault for p in part.paths})
-            continue
-        fits = []
-        for path in part.paths:
-            found = seen.get(plain(path))
-            if found is not None and found.fault is not None:
-                bad[path] = found.fault
-            else:
-                # A file with a header only has no row of its own.
-                counts[path] = found.rows if found is not None else 0
-                fits.append(path)
-        if fits:
-            good.append((part, fits))
-    return good, counts, bad
-
-
-def _faults(
-    spark: SparkSession, settings: LoadSettings, part: _Part, columns: list[tuple[str, str, bool]]
-) -> tuple[str | None, dict]:
-    """Why no file of a part fits the table, or rows and first fault of each."""
-    rows = _text_rows(spark, settings, part, part.paths)
+def _unfit(rows: DataFrame, columns: list[tuple[str, str, bool]]) -> str | None:
+    """Why no row of a part can fit the table, from the column names."""
     present = [c for c in rows.columns if c != "_file"]
     unknown = [c for c in present if c not in {n for n, _, _ in columns}]
     absent = [n for n, _, nullable in columns if n not in present and not nullable]
     if unknown:
-        return f"Unknown column '{unknown[0]}'", {}
+        return f"Unknown column '{unknown[0]}'"
     if absent:
-        return f"Field '{absent[0]}' has no default value", {}
+        return f"Field '{absent[0]}' has no default value"
+    return None
+
+
+def _faults(rows: DataFrame, columns: list[tuple[str, str, bool]]) -> DataFrame:
+    """``rows`` and first ``fault`` of each file (``plain``) of a part."""
     faults = []
     for name, kind, nullable in columns:
-        if name not in present:
+        if name not in rows.columns:
             continue
         value = F.col(f"`{name}`")
         if not nullable:
@@ -406,30 +545,20 @@ def _faults(
         unfit = value.isNotNull() & value_types.typed(value, kind).isNull()
         faults.append(F.when(unfit, F.concat(F.lit(f"Incorrect {kind} value for column '{name}': "), F.left(value, F.lit(100)))))
     fault = F.coalesce(*faults) if faults else F.lit(None).cast("string")
-    checked = rows.groupBy("_file").agg(F.count("*").alias("rows"), F.min(fault).alias("fault"))
-    return None, {r["_file"]: r for r in checked.toLocalIterator()}
-
-
-def plain(path: str) -> str:
-    return "/" + path.removeprefix("file:").lstrip("/") if path.startswith(("file:", "/")) else path
+    return rows.groupBy(F.col("_file").alias("plain")).agg(F.count("*").alias("rows"), F.min(fault).alias("fault"))
 
 
-def _write_table(
-    spark: SparkSession, settings: LoadSettings, table: str, good: list[tuple[_Part, list[str]]], batch: str
-) -> None:
-    """Append the files' typed rows as the partition of this batch."""
-    full = settings.table(table)
-    columns = _columns(spark, full)
+def _typed(rows: DataFrame, columns: list[tuple[str, str, bool]]) -> DataFrame:
+    """The rows as the table has them, and ``_file``."""
+    values = [
+        (value_types.typed(F.col(f"`{n}`"), kind) if n in rows.columns else F.lit(None)).cast(_storage(kind)).alias(n)
+        for n, kind, _ in columns
+    ]
+    return rows.select(*values, "_file")
 
-    def typed(part: _Part, paths: list[str]) -> DataFrame:
-        rows = _text_rows(spark, settings, part, paths)
-        values = [
-            (value_types.typed(F.col(f"`{n}`"), kind) if n in rows.columns else F.lit(None)).cast(_storage(kind)).alias(n)
-            for n, kind, _ in columns
-        ]
-        return rows.select(*values, F.lit(batch).alias(BATCH))
 
-    _overwrite_batch(reduce(DataFrame.unionByName, [typed(p, paths) for p, paths in good]), full)
+def plain(path: str) -> str:
+    return "/" + path.removeprefix("file:").lstrip("/") if path.startswith(("file:", "/")) else path
 
 
 def _storage(kind: str) -> str:

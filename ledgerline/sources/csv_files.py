@@ -196,29 +196,33 @@ def read_text_columns(
     return raw.select(*text, *(["_broken"] if broken_records else []), metadata_path().alias("_file"))
 
 
-def all_cells(
+def read_values(
     spark: SparkSession, paths: list[str], headers: list[str], delimiter: str = ",", multi_line: bool = True
 ) -> DataFrame:
-    """Cells of every record, for a profile of whole files. The reader does
-    not tell an empty cell from a missing one: NULLs count as blanks, except
-    the trailing ones of a short record, which are missing."""
+    """``file`` and ``values`` (text, by header) of every record. The reader
+    does not tell an empty cell from a missing one: NULLs count as blanks, an
+    empty text here, except the trailing ones of a short record, which are
+    missing and stay NULL."""
     rows = read_text_columns(spark, paths, headers, delimiter, multi_line, broken_records=True)
     values = F.array(*[F.col(f"`{c}`") for c in names.snake_headers(headers)])
     present = F.filter(F.transform(values, lambda v, i: F.when(v.isNotNull(), i)), lambda i: i.isNotNull())
     last = F.coalesce(F.array_max(present), F.lit(-1))
+    told = rows.select(F.col("_file").alias("file"), "_broken", values.alias("values"), last.alias("last"))
+    missing = lambda i: F.col("_broken").isNotNull() & (i > F.col("last"))
+    filled = F.transform("values", lambda v, i: F.when(~missing(i), F.coalesce(v, F.lit(""))))
+    return told.select("file", filled.alias("values"))
+
+
+def all_cells(
+    spark: SparkSession, paths: list[str], headers: list[str], delimiter: str = ",", multi_line: bool = True
+) -> DataFrame:
+    """The cells (file, ordinal, name, value) of `read_values`, and one without
+    a value for each column of each file."""
     cells = [
-        F.struct(
-            F.lit(i).alias("ordinal"),
-            F.lit(h).alias("name"),
-            F.when(F.col("_broken").isNotNull() & (F.lit(i) > F.col("_last")), F.lit(None))
-            .otherwise(F.coalesce(F.get("_values", F.lit(i)), F.lit("")))
-            .alias("value"),
-        )
+        F.struct(F.lit(i).alias("ordinal"), F.lit(h).alias("name"), F.get("values", F.lit(i)).alias("value"))
         for i, h in enumerate(headers)
     ]
-    body = rows.select(F.col("_file").alias("file"), "_broken", values.alias("_values"), last.alias("_last")).select(
-        "file", F.inline(F.array(*cells))
-    )
+    body = read_values(spark, paths, headers, delimiter, multi_line).select("file", F.inline(F.array(*cells)))
     names_only = spark.createDataFrame(
         [(p, i, h, None) for p in paths for i, h in enumerate(headers)],
         "file string, ordinal int, name string, value string",

@@ -1,13 +1,15 @@
 """CSV loading: schemas, typed rows, audit trail, failures, repeats."""
 
 import datetime as dt
+import threading
+import time
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.operators import audit
-from ledgerline.plans import load
+from ledgerline.plans import leases, load
 from ledgerline.plans.load import LoadSettings, load_files, load_notices
 from ledgerline.sources import csv_files, tables
 
@@ -286,3 +288,107 @@ def test_the_whole_first_file_decides_the_schema(spark, tmp_path):
     text = "n\n" + "1\n" * 600 + "word\n" + "x" * 140_000 + "\n"
     done = run(spark, store(tmp_path, {"t.csv": text}), conf)
     assert (done["t.csv"].status, done["t.csv"].rows_inserted) == ("success", 602)
+
+
+def in_thread(work):
+    """Run ``work`` beside the test; its result by ``join``."""
+    found = []
+    thread = threading.Thread(target=lambda: found.append(work()))
+    thread.start()
+
+    def join():
+        thread.join(120)
+        assert not thread.is_alive()
+        return found[0]
+
+    return thread, join
+
+
+def test_overlapping_loads_do_not_destroy_each_other(spark, tmp_path, monkeypatch):
+    """Run two wants a file that run one, which loads another one too, is about to publish."""
+    conf = settings("load_overlap")
+    files = store(tmp_path, {"a/t.csv": "v\n1\n2\n", "b/t.csv": "v\n3\n4\n", "c/t.csv": "v\n5\n"})
+    publish, at_work, go_on = load._publish, threading.Event(), threading.Event()
+
+    def slow(rows, table, part):
+        if table.endswith("`t`") and part["load_batch"].startswith("one-"):
+            at_work.set()
+            assert go_on.wait(60)
+        publish(rows, table, part)
+
+    monkeypatch.setattr(load, "_publish", slow)
+    _, first = in_thread(lambda: run_paths(spark, files[:2], conf, "one"))
+    assert at_work.wait(60)
+    waiting, second = in_thread(lambda: run_paths(spark, files[:1], conf, "two"))
+    # A run that wants nothing of it does not wait.
+    assert run_paths(spark, files[2:], conf, "three") == {files[2][0]: "success"}
+    assert waiting.is_alive()
+    go_on.set()
+    assert first() == {f[0]: "success" for f in files[:2]}
+    assert second() == {files[0][0]: "skipped"}
+    assert sorted(r.v for r in spark.table("load_overlap.t").collect()) == [1, 2, 3, 4, 5]
+    state = audit.audit_state(load.audit_events(spark, conf)).collect()
+    assert sorted((s.status, s.rows_inserted) for s in state) == [("SUCCESS", 1), ("SUCCESS", 2), ("SUCCESS", 2)]
+
+
+def run_paths(spark, files, conf, batch):
+    df = spark.createDataFrame(files, "path string, bucket string, key string")
+    return {r.path: r.status for r in load_files(df, conf, batch).collect()}
+
+
+def test_loads_side_by_side(spark, tmp_path):
+    """Runs of other files write to one table at a time; runs of one file load it once."""
+    conf = settings("load_beside")
+    files = store(tmp_path, {f"{k}/t.csv": f"v\n{k}\n" for k in range(3)})
+    run_paths(spark, store(tmp_path / "first", {"t.csv": "v\n9\n"}), conf, "first")
+    joins = [in_thread(lambda k=k: run_paths(spark, files[k % 3 : k % 3 + 1], conf, f"b{k}"))[1] for k in range(4)]
+    statuses = [status for join in joins for status in join().values()]
+    assert sorted(statuses) == ["skipped", "success", "success", "success"]
+    assert sorted(r.v for r in spark.table("load_beside.t").collect()) == [0, 1, 2, 9]
+
+
+def folder_of(spark, conf):
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {conf.database}")
+    return leases.Folder(spark, f"{load._database_folder(spark, conf)}/_load_runs")
+
+
+def test_a_lost_lease_is_swept_and_a_slow_run_notices(spark, tmp_path, monkeypatch):
+    conf = settings("load_slow")
+    files = store(tmp_path, {"t.csv": "v\n1\n"})
+    publish = load._publish
+
+    def swept(rows, table, part):
+        publish(rows, table, part)
+        if table.endswith("`t`"):  # meanwhile another run has taken this one for lost
+            folder = folder_of(spark, conf)
+            for name in folder.names():
+                folder.remove(name)
+
+    monkeypatch.setattr(load, "_publish", swept)
+    with pytest.raises(leases.LeaseLost):
+        run_paths(spark, files, conf, "one")
+    assert spark.table("load_slow.t").count() == 0
+    monkeypatch.setattr(load, "_publish", publish)
+    assert run_paths(spark, files, conf, "two") == {files[0][0]: "success"}
+    assert spark.table("load_slow.t").count() == 1
+
+
+def test_leases(spark):
+    conf = settings("load_leases")
+    folder = folder_of(spark, conf)
+    wanted = spark.createDataFrame([("t", "m1")], "table_name string, md5 string")
+    dead = leases.Lease(folder, 1.0)  # its driver never renews it
+    with leases.Lease(folder, 1.0) as second:
+        assert second.number == dead.number + 1
+        began = time.monotonic()
+        second.claim(wanted)  # waits until the first counts as lost
+        assert 0.3 < time.monotonic() - began < 30
+        assert not dead.held()
+        with pytest.raises(leases.LeaseLost):
+            dead.check()
+        with leases.Lease(folder, 60.0) as third:
+            third.claim(spark.createDataFrame([("t", "m2")], "table_name string, md5 string"))
+        time.sleep(2)
+        second.check()  # it has been renewed
+    assert folder.names() == {}
+    assert folder.create("x") and not folder.create("x")
