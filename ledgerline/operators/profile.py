@@ -59,22 +59,24 @@ def profile_columns(cells: DataFrame) -> DataFrame:
 def profile_rows(table: DataFrame, file: str, headers: list[str] | None = None) -> DataFrame:
     """The profile of one file from its rows as text columns, as
     `profile_columns` gives it, the columns named by ``headers`` or as they
-    are. Each cell is trimmed and tested once; all columns are folded side by
-    side, and only the results of the whole file become rows."""
-    n = len(table.columns)
-    trimmed = table.select(*[names.strip(F.col(f"`{c}`")).alias(f"v{i}") for i, c in enumerate(table.columns)])
-    masked = trimmed.select(
-        *[cell_mask(F.col(f"v{i}")).alias(f"mask{i}") for i in range(n)],
-        *[F.length(f"v{i}").alias(f"width{i}") for i in range(n)],
-    )
-    folded = [F.bit_and(f"mask{i}").alias(f"mask{i}") for i in range(n)]
-    folded += [F.max(f"width{i}").alias(f"width{i}") for i in range(n)]
-    shown = [
-        F.struct(F.lit(i).alias("ordinal"), F.lit(name).alias("name"), *_told(F.col(f"mask{i}"), F.col(f"width{i}")))
-        for i, name in enumerate(headers or table.columns)
-    ]
-    stacked = masked.agg(*folded).select(F.lit(file).alias("file"), F.inline(F.array(*shown)))
-    return stacked.withColumn("name", names.strip("name")).withColumn("snake", names.snake_case("name"))
+    are; a table without rows has all columns too.
+
+    Cells become rows of (ordinal, value) inside a task, so that one short
+    piece of generated code, which the JVM compiles, serves all columns; a task
+    hands on one record a column.
+    """
+    cells = [F.struct(F.lit(i).alias("ordinal"), F.col(f"`{c}`").alias("value")) for i, c in enumerate(table.columns)]
+    trimmed = table.select(F.inline(F.array(*cells))).select("ordinal", names.strip("value").alias("v"))
+    masked = trimmed.select("ordinal", cell_mask(F.col("v")).alias("mask"), F.length("v").alias("width"))
+    folded = masked.groupBy("ordinal").agg(F.bit_and("mask").alias("mask"), F.max("width").alias("width"))
+    found = F.map_from_entries(F.collect_list(F.struct("ordinal", F.struct("mask", "width")))).alias("found")
+    shown = []
+    for i, name in enumerate(headers or table.columns):
+        seen = F.try_element_at("found", F.lit(i))
+        shown.append(F.struct(F.lit(i).alias("ordinal"), F.lit(name).alias("name"), seen["mask"].alias("mask"), seen["width"].alias("width")))
+    stacked = folded.agg(found).select(F.inline(F.array(*shown)))
+    told = stacked.select(F.lit(file).alias("file"), "ordinal", "name", *_told(F.col("mask"), F.col("width")))
+    return told.withColumn("name", names.strip("name")).withColumn("snake", names.snake_case("name"))
 
 
 def with_types(profile: DataFrame) -> DataFrame:
