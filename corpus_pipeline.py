@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.llm import bpe, exact_dedup, jaccard_join, language, mixing
 from ledgerline.llm.common import documents, staged
 
 # A vocabulary file that is the same on every machine.
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognised language go."""
+    """Documents without a letter and documents of noise go."""
     return language.recognised(docs)
 
 
