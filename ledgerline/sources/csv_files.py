@@ -8,6 +8,7 @@ import re
 import sys
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 from ledgerline.functions import names
 from ledgerline.operators import profile
 from ledgerline.session import checkpointed
-from ledgerline.sources.files import metadata_path, open_path
+from ledgerline.sources import csv_splits
+from ledgerline.sources.files import metadata_path, open_path, plain_path
 
 PREVIEW_ROWS = 200
 # Candidates in order of preference; the first also stands when none fits.
@@ -174,36 +176,66 @@ def read_text_columns(
     delimiter: str = ",",
     multi_line: bool = True,
     broken_records: bool = False,
+    split_bytes: int = csv_splits.SPLIT,
 ) -> DataFrame:
     """CSV files of one header as trimmed text columns in snake case, and the
     ``_file`` of each row.
 
     The first record of each file is its header; short records give NULLs and
     surplus fields are dropped. With ``multi_line`` quoted fields may span
-    lines, and a file is read by one task; without it large files are split.
+    lines; files of more than ``split_bytes`` are then cut into splits at
+    records (`csv_splits`), others are read by one task each. Without it Spark
+    splits large files at lines, and drops lines of white space alone.
     ``broken_records`` adds ``_broken``: the text of records of another width.
     """
     columns = names.snake_headers(headers)
     schema = ", ".join(f"`{c}` string" for c in columns) + (", `_broken` string" if broken_records else "")
-    raw = (
-        spark.read.schema(schema)
-        .options(header=True, sep=delimiter, quote='"', escape='"', multiLine=multi_line, encoding="UTF-8")
-        .options(mode="PERMISSIVE", columnNameOfCorruptRecord="_broken", maxColumns=MOST_COLUMNS)
-        .csv([_literal(p) for p in ([paths] if isinstance(paths, str) else paths)])
-    )
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    options |= {"columnNameOfCorruptRecord": "_broken", "maxColumns": str(MOST_COLUMNS)}
+    paths = [paths] if isinstance(paths, str) else paths
+    large = _larger(spark, paths, split_bytes) if multi_line else {}
+    small = [p for p in paths if plain_name(p) not in large]
+    found = []
+    if small:
+        reader = spark.read.schema(schema).options(header=True, multiLine=multi_line, encoding="UTF-8", **options)
+        raw = reader.csv([_literal(p) for p in small])
+        found.append(raw.select("*", metadata_path().alias("_file")))
+    if large:
+        files = spark.createDataFrame([(p, delimiter, n) for p, n in large.items()], "path string, delimiter string, bytes long")
+        records = csv_splits.read_records(files, split_bytes).where("place > 0")
+        fields = F.from_csv(F.col("record").cast("string"), schema, options)
+        found.append(records.select(fields.alias("r"), F.col("file").alias("_file")).select("r.*", "_file"))
+    raw = reduce(DataFrame.unionByName, found)
     # Undecodable bytes arrive as a replacement character.
     text = [names.strip(F.translate(F.col(f"`{c}`"), BAD_CHARACTER, "")).alias(c) for c in columns]
-    return raw.select(*text, *(["_broken"] if broken_records else []), metadata_path().alias("_file"))
+    return raw.select(*text, *(["_broken"] if broken_records else []), "_file")
+
+
+def plain_name(path: str) -> str:
+    """A path as Spark's file sources report it, without a local scheme."""
+    return re.sub("^file:/*", "/", path)
+
+
+def _larger(spark: SparkSession, paths: list[str], size: int) -> dict[str, int]:
+    """The files of more than ``size`` bytes, by a listing that opens none."""
+    listed = spark.read.format("binaryFile").load([_literal(p) for p in paths])
+    large = listed.where(F.col("length") > size).select(plain_path(F.col("path")), "length")
+    return dict(map(tuple, large.collect()))
 
 
 def read_values(
-    spark: SparkSession, paths: list[str], headers: list[str], delimiter: str = ",", multi_line: bool = True
+    spark: SparkSession,
+    paths: list[str],
+    headers: list[str],
+    delimiter: str = ",",
+    multi_line: bool = True,
+    split_bytes: int = csv_splits.SPLIT,
 ) -> DataFrame:
     """``file`` and ``values`` (text, by header) of every record. The reader
     does not tell an empty cell from a missing one: NULLs count as blanks, an
     empty text here, except the trailing ones of a short record, which are
     missing and stay NULL."""
-    rows = read_text_columns(spark, paths, headers, delimiter, multi_line, broken_records=True)
+    rows = read_text_columns(spark, paths, headers, delimiter, multi_line, True, split_bytes)
     values = F.array(*[F.col(f"`{c}`") for c in names.snake_headers(headers)])
     present = F.filter(F.transform(values, lambda v, i: F.when(v.isNotNull(), i)), lambda i: i.isNotNull())
     last = F.coalesce(F.array_max(present), F.lit(-1))
