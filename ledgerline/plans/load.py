@@ -226,16 +226,14 @@ def load_files(files: DataFrame, settings: LoadSettings, batch: str) -> DataFram
     spark = files.sparkSession
     tables.create_database(spark, settings.database)
     named = with_route(files) if settings.routed else files.select("*", names.table_name("key").alias("table_name"))
-    hidden = names.base_name("path").rlike("^[_.]")
-    refused = F.when(hidden, F.lit("Spark does not read files whose name starts with _ or a dot"))
-    named = named.withColumn("error", F.coalesce("error", refused) if settings.routed else refused)
+    named = named if settings.routed else named.withColumn("error", F.lit(None).cast("string"))
     hashed = file_source.hash_files(
         file_source.dealt(named.select("path", "bucket", "key", "table_name", "error"))
     ).withColumnRenamed("hash", "md5")
     sizes = file_sizes(hashed)
     manifest = checkpointed(sizes.withColumn("id", _audit_id(batch)).withColumn("request_id", F.lit(None).cast("string")))
 
-    # Unreadable, hidden or unroutable files fail before an audit record exists.
+    # Unreadable or unroutable files fail before an audit record exists.
     accepted = manifest.where("error IS NULL AND md5 <> ''")
     folder = leases.Folder(spark, f"{_database_folder(spark, settings)}/_load_runs")
     with leases.Lease(folder, settings.lease_seconds) as lease:

@@ -28,6 +28,8 @@ AGREEING = 0.9
 # Cells of one batch, and columns that the reader accepts.
 CELLS_PER_BATCH = 50_000
 MOST_COLUMNS = 200_000
+# How the names begin that Spark's readers pass over.
+HIDDEN = ("_", ".")
 BAD_CHARACTER = "�"
 
 
@@ -185,7 +187,8 @@ def read_text_columns(
     surplus fields are dropped. With ``multi_line`` quoted fields may span
     lines; files of more than ``split_bytes`` are then cut into splits at
     records (`csv_splits`), others are read by one task each. Without it Spark
-    splits large files at lines, and drops lines of white space alone.
+    splits large files at lines, and drops lines of white space alone. Files
+    that Spark hides, named ``_x`` or ``.x``, are read as large ones are.
     ``broken_records`` adds ``_broken``: the text of records of another width.
     """
     columns = names.snake_headers(headers)
@@ -193,8 +196,11 @@ def read_text_columns(
     options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
     options |= {"columnNameOfCorruptRecord": "_broken", "maxColumns": str(MOST_COLUMNS)}
     paths = [paths] if isinstance(paths, str) else paths
-    large = _larger(spark, paths, split_bytes) if multi_line else {}
-    small = [p for p in paths if plain_name(p) not in large]
+    hidden = [p for p in paths if p.rpartition("/")[2].startswith(HIDDEN)]
+    seen = [p for p in paths if p not in hidden]
+    large = _larger(spark, seen, split_bytes) if multi_line and seen else {}
+    small = [p for p in seen if plain_name(p) not in large]
+    large |= {plain_name(p): _size(p) for p in hidden}
     found = []
     if small:
         reader = spark.read.schema(schema).options(header=True, multiLine=multi_line, encoding="UTF-8", **options)
@@ -216,6 +222,14 @@ def plain_name(path: str) -> str:
     return re.sub("^file:/*", "/", path)
 
 
+def _size(path: str) -> int:
+    system, inside = open_path(path)
+    size = system.get_file_info(inside).size
+    if size is None:
+        raise ValueError(f"no such file: {path}")
+    return size
+
+
 def _larger(spark: SparkSession, paths: list[str], size: int) -> dict[str, int]:
     """The files of more than ``size`` bytes, by a listing that opens none."""
     listed = spark.read.format("binaryFile").load([_literal(p) for p in paths])

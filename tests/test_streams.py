@@ -67,3 +67,31 @@ def test_live_counts(spark, tmp_path):
     assert closed < batch and len(closed) > len(batch) / 2
     totals = {tuple(r) for r in counters.live_totals(history).collect()}
     assert run(counters.live_totals(stream), "complete", "live_totals") == totals
+
+
+def test_streams_lose_no_hidden_files(spark, tmp_path):
+    root, checkpoint = tmp_path / "store", str(tmp_path / "cp")
+    conf = LoadSettings(database="stream_hidden")
+    put(root, "b/mba/csv/_first.csv", "x\n1\n")
+    ingest.stream_loads(spark, str(root), conf, checkpoint).awaitTermination()
+    put(root, "b/mba/csv/.dot.csv", "x\n5\n")
+    put(root, "b/mba/csv/t.csv", "x\n2\n")
+    put(root, "b/mba/csv/_bad.csv", "a a,a-a\n1,2\n")
+    for _ in range(2):
+        ingest.stream_loads(spark, str(root), conf, checkpoint).awaitTermination()
+    state = audit.audit_state(load.audit_events(spark, conf)).collect()
+    found = sorted((s.s3_key.rpartition("/")[2], s.status) for s in state)
+    assert found == [(".dot.csv", "SUCCESS"), ("_bad.csv", "FAILED"), ("_first.csv", "SUCCESS"), ("t.csv", "SUCCESS")]
+    by_key = {s.s3_key.rpartition("/")[2]: s.table_name for s in state}
+    assert [r.x for r in spark.table(f"stream_hidden.{by_key['_first.csv']}").collect()] == [1]
+
+
+def test_stream_plans_of_hidden_files(spark, tmp_path):
+    root, target = tmp_path / "in", str(tmp_path / "plans")
+    listing = spark.createDataFrame([], "bucket string, key string, size long, last_modified timestamp_ntz, etag string")
+    put(root, "mba/a.csv", "12")
+    put(root, "mba/_b.csv", "12")
+    for _ in range(2):
+        ingest.stream_plans(spark, str(root), listing, target, str(tmp_path / "cp")).awaitTermination()
+    names = [r.path.rsplit("/", 1)[-1] for r in spark.read.parquet(target).collect()]
+    assert sorted(names) == ["_b.csv", "a.csv"]
