@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import csv
 import io
+import json
 import re
 import sys
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
@@ -23,6 +24,7 @@ from ledgerline.sources.files import metadata_path, open_path, plain_path
 PREVIEW_ROWS = 200
 # Candidates in order of preference; the first also stands when none fits.
 DELIMITERS = (",", ";", "\t", "|")
+_MARKS = [d.encode() for d in DELIMITERS]
 # Share of the lines that must have a candidate equally often.
 AGREEING = 0.9
 # Cells of one batch, and columns that the reader accepts.
@@ -33,71 +35,139 @@ HIDDEN = ("_", ".")
 BAD_CHARACTER = "�"
 
 
-def with_delimiter(files: DataFrame, head_bytes: int | None = None) -> DataFrame:
+def with_delimiter(files: DataFrame, head_bytes: int | None = None, split_bytes: int = csv_splits.SPLIT) -> DataFrame:
     """Add the ``delimiter`` of each file, from all of its lines or, with
     ``head_bytes``, from those of its start, and the error of a file that
-    cannot be read as ``unread``; its delimiter is NULL."""
+    cannot be read as ``unread``; its delimiter is NULL.
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Large files are counted split by split, and the counts of the splits of a
+    file merged in their order.
+    """
+
+    def sized(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for path in batch["path"]:
                 try:
-                    rows.append((path, _delimiter_of_file(path, head_bytes), None))
-                except OSError as e:
-                    rows.append((path, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["path", "delimiter", "unread"])
+                    size = _size(path)
+                    rows.append((path, size if head_bytes is None else min(size, head_bytes), size, None))
+                except (OSError, ValueError) as e:
+                    rows.append((path, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "bytes", "size", "unread"]).astype({"bytes": "Int64", "size": "Int64"})
 
     paths = files.select("path").distinct().repartition(F.xxhash64("path"))
-    found = paths.mapInPandas(find, "path string, delimiter string, unread string")
-    return files.join(found, "path")
-
-
-def _line_counts(chunks: Iterable[str]) -> dict[str, Counter]:
-    """How many lines have each candidate how often, outside quotes. Blank
-    lines do not count. Memory does not grow with the text."""
-    found = {d: Counter() for d in DELIMITERS}
-    line = dict.fromkeys(DELIMITERS, 0)
-    quoted, blank = False, True
-
-    def end() -> None:
-        nonlocal blank
-        if not blank:
-            for d, n in line.items():
-                found[d][n] += 1
-        line.update(dict.fromkeys(DELIMITERS, 0))
-        blank = True
-
-    for chunk in chunks:
-        for k, piece in enumerate(chunk.split('"')):
+    listed = checkpointed(paths.mapInPandas(sized, "path string, bytes long, size long, unread string"))
+    cut = csv_splits.splits(listed.where("unread IS NULL").withColumn("delimiter", F.lit(None).cast("string")), split_bytes)
+    cut = cut.join(listed.select("path", (F.col("bytes") < F.col("size")).alias("headed")), "path")
+    counted = cut.repartition(F.col("path"), F.col("number")).mapInPandas(
+        _counted, "path string, number long, headed boolean, unread string, counts string"
+    )
+    merged = counted.groupBy("path").applyInPandas(_merged, "path string, delimiter string, unread string")
+    unread = listed.where("unread IS NOT NULL").select("path", F.lit(None).cast("string").alias("delimiter"), "unread")
+    return files.join(merged.union(unread), "path")
+
+
+class LineCounts:
+    """How many lines have each candidate how often, outside quotes, in a
+    stretch of a file that may begin and end inside a line or quotes. Blank
+    lines do not count. Stretches merge in their order; memory does not grow
+    with them but by the different counts that lines have."""
+
+    def __init__(self, quoted: bool = False):
+        self.quoted = quoted  # at the end of the stretch
+        self.lines: list[Counter] = [Counter() for _ in DELIMITERS]
+        # Candidates of the first line up to its end, if it ends here, and of the
+        # last one so far; the last number of each tells whether it is not blank.
+        self.head: list[int] | None = None
+        self.tail = [0] * (len(DELIMITERS) + 1)
+
+    def feed(self, data: bytes) -> None:
+        for k, piece in enumerate(data.split(b'"')):
             if k:
-                quoted = not quoted
-                blank = False
-            if quoted:
+                self.quoted = not self.quoted
+                self.tail[-1] = 1
+            if self.quoted:
                 continue
-            for j, part in enumerate(piece.split("\n")):
+            for j, part in enumerate(piece.split(b"\n")):
                 if j:
-                    end()
-                if part.strip("\r"):
-                    blank = False
-                    for d in DELIMITERS:
-                        line[d] += part.count(d)
-    end()
-    return found
-
-
-def _delimiter_of_file(path: str, head_bytes: int | None) -> str:
-    system, inside = open_path(path)
-    with system.open_input_stream(inside) as stream:
-        if head_bytes is None:
-            text = io.TextIOWrapper(stream, encoding="utf-8", errors="ignore", newline="")
-            counts = _line_counts(iter(lambda: text.read(1 << 20), ""))
+                    self._end()
+                if part.strip(b"\r"):
+                    self.tail[-1] = 1
+                    for i, d in enumerate(_MARKS):
+                        self.tail[i] += part.count(d)
+
+    def _end(self) -> None:
+        if self.head is None:
+            self.head = self.tail
         else:
-            head = stream.read(head_bytes).decode("utf-8", errors="ignore")
-            # The last line of a full head is cut somewhere.
-            cut = head.rpartition("\n")[0] if len(head.encode()) >= head_bytes - 3 and "\n" in head else head
-            counts = _line_counts([cut])
-    return choose_delimiter(counts)
+            self._count(self.tail)
+        self.tail = [0] * (len(DELIMITERS) + 1)
+
+    def _count(self, line: list[int]) -> None:
+        if line[-1]:
+            for counter, n in zip(self.lines, line):
+                counter[n] += 1
+
+    def follow(self, other: LineCounts) -> None:
+        """Go on with the stretch after this one."""
+        first = other.tail if other.head is None else other.head
+        self.tail = [a + b for a, b in zip(self.tail[:-1], first[:-1])] + [self.tail[-1] | first[-1]]
+        self.quoted = other.quoted
+        if other.head is not None:
+            self._end()
+            for mine, theirs in zip(self.lines, other.lines):
+                mine.update(theirs)
+            self.tail = list(other.tail)
+
+    def whole(self, headed: bool = False) -> dict[str, Counter]:
+        """The counts of a whole file; the last line of a mere head is cut
+        somewhere, so it does not count unless it is the only one."""
+        done = LineCounts()
+        done.lines = [Counter(c) for c in self.lines]
+        for line in [self.head, None if headed and self.head is not None else self.tail]:
+            if line is not None:
+                done._count(line)
+        return dict(zip(DELIMITERS, done.lines))
+
+    def to_json(self) -> str:
+        return json.dumps([self.quoted, [list(c.items()) for c in self.lines], self.head, self.tail])
+
+    @classmethod
+    def from_json(cls, text: str) -> LineCounts:
+        found = cls()
+        found.quoted, lines, found.head, found.tail = json.loads(text)
+        found.lines = [Counter(dict(c)) for c in lines]
+        return found
+
+
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The counts of each split, in case that it begins outside and inside quotes."""
+    for batch in batches:
+        rows = []
+        for r in batch.itertuples(index=False):
+            found = [LineCounts(), LineCounts(quoted=True)][: 2 if r.number else 1]
+            try:
+                for data in csv_splits.chunks(r.path, r.start, r.end):
+                    for counts in found:
+                        counts.feed(data)
+                rows.append((r.path, r.number, r.headed, None, json.dumps([c.to_json() for c in found])))
+            except OSError as e:
+                rows.append((r.path, r.number, r.headed, f"{type(e).__name__}: {e}", None))
+        yield pd.DataFrame(rows, columns=["path", "number", "headed", "unread", "counts"])
+
+
+def _merged(splits: pd.DataFrame) -> pd.DataFrame:
+    """The delimiter of one file from the counts of its splits."""
+    splits = splits.sort_values("number")
+    path, failed = splits["path"].iloc[0], splits["unread"].dropna()
+    if len(failed):
+        return pd.DataFrame([(path, None, failed.iloc[0])], columns=["path", "delimiter", "unread"])
+    whole = LineCounts()
+    for text in splits["counts"]:
+        cases = json.loads(text)
+        whole.follow(LineCounts.from_json(cases[whole.quoted if len(cases) > 1 else 0]))
+    delimiter = choose_delimiter(whole.whole(bool(splits["headed"].iloc[0])))
+    return pd.DataFrame([(path, delimiter, None)], columns=["path", "delimiter", "unread"])
 
 
 def choose_delimiter(counts: dict[str, Counter]) -> str:
@@ -287,8 +357,8 @@ def preview(spark: SparkSession, path: str, rows: int = PREVIEW_ROWS) -> tuple[i
 
 
 def schema_report(files: DataFrame, sample_rows: int | None = None) -> DataFrame:
-    """Per CSV file (path): delimiter, columns, profile and table definition,
-    or the error. Whole files are read, or with ``sample_rows`` their first
+    """Per CSV file (path): delimiter, columns, profile, table definition and
+    number of ``records`` that are not blank, or the error. Whole files are read, or with ``sample_rows`` their first
     records. The table is named by the lower-case file name, not in snake
     case."""
     delimited = checkpointed(with_delimiter(files))
@@ -301,9 +371,12 @@ def schema_report(files: DataFrame, sample_rows: int | None = None) -> DataFrame
     columns = profiled.groupBy("file").agg(
         F.array_sort(F.collect_list(F.struct("ordinal", "name", "snake", "nullable"))).alias("columns")
     )
-    good = columns.join(ddl, "file").withColumnRenamed("file", "path")
+    # Blank records have no cells.
+    counts = sound.where("ordinal = 0 AND value IS NOT NULL").groupBy("file").agg(F.count("*").alias("records"))
+    good = columns.join(ddl, "file").join(counts, "file", "left").withColumnRenamed("file", "path")
     found = delimited.select("path", "delimiter").join(good, "path", "left").join(errors, "path", "left")
-    return found.select("path", "delimiter", "columns", "ddl", "error")
+    records = F.when(F.col("error").isNull() & F.col("ddl").isNotNull(), F.coalesce("records", F.lit(0)))
+    return found.select("path", "delimiter", "columns", "ddl", "error", records.alias("records"))
 
 
 def record_counts(spark: SparkSession, paths: list[str], delimiter: str = ",") -> DataFrame:

@@ -295,7 +295,8 @@ def test_preview_and_report(spark, tmp_path):
     report = {r.path.rsplit("/", 1)[-1]: r for r in csv_files.schema_report(files.select("path").union(gone)).collect()}
     assert set(report) == {"p.csv", "My Table.csv", "bad.csv", "gone.csv"}
     assert "gone.csv" in report["gone.csv"].error and report["gone.csv"].delimiter is None
-    assert "no header" in report["bad.csv"].error
+    assert "no header" in report["bad.csv"].error and report["bad.csv"].records is None
+    assert report["p.csv"].records == 250 and report["My Table.csv"].records == 2
     mine = report["My Table.csv"]
     assert mine.delimiter == ";" and [(c.name, c.snake, c.nullable) for c in mine.columns] == [
         ("First Name", "first_name", False),

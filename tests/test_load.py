@@ -1,6 +1,7 @@
 """CSV loading: schemas, typed rows, audit trail, failures, repeats."""
 
 import datetime as dt
+import random
 import threading
 import time
 from decimal import Decimal
@@ -392,3 +393,27 @@ def test_leases(spark):
         second.check()  # it has been renewed
     assert folder.names() == {}
     assert folder.create("x") and not folder.create("x")
+
+
+@pytest.mark.parametrize("text", ["", "a;b\n" + "1;2\n" * 20 + "3\n", 'a|b\r\n"x\n,;y"|2\r\n' * 5, "a\tb\n\n\n1\t2", '"' + "x,y\n" * 9 + '"|b\n1|2\n'])
+def test_delimiter_from_splits(spark, tmp_path, text):
+    path = tmp_path / "f.csv"
+    path.write_bytes(text.encode())
+    files = spark.createDataFrame([(str(path),)], "path string")
+    for size in (1, 5, 1000):
+        assert csv_files.with_delimiter(files, split_bytes=size).first().delimiter == csv_files.with_delimiter(files).first().delimiter
+
+
+def test_line_counts_merge():
+    rng = random.Random(3)
+    for _ in range(400):
+        data = "".join(rng.choice('ab,;"\n\r|') for _ in range(rng.randint(0, 40))).encode()
+        cuts = sorted([0, len(data), *(rng.randint(0, len(data)) for _ in range(3))])
+        whole = csv_files.LineCounts()
+        whole.feed(data)
+        merged = csv_files.LineCounts()
+        for a, b in zip(cuts, cuts[1:]):
+            part = csv_files.LineCounts(merged.quoted)
+            part.feed(data[a:b])
+            merged.follow(csv_files.LineCounts.from_json(part.to_json()))
+        assert merged.whole() == whole.whole(), (data, cuts)
