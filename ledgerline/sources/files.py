@@ -150,35 +150,78 @@ def _digest(path: str, algorithm: str) -> str:
     return state.hexdigest()
 
 
-def _versions(state_dir: str) -> list[int]:
-    """Complete versions of a saved state."""
+# A saved state is a base, a table of all files, and the changes since: each
+# change is a folder with the files that are new or other, and those that are
+# gone. The changes become a new base when they have this share of its rows, or
+# are so many; the base before stays until the next, for readers at work.
+COMPACT_SHARE, MOST_CHANGES = 0.25, 50
+_CHANGE = f"{LISTED}, hash string, gone boolean"
+
+
+def _saved(state_dir: str, kind: str) -> list[int]:
+    """Numbers of the complete folders of a saved state, ``version`` (bases) or ``change``."""
     system, inside = open_path(state_dir)
     entries = system.get_file_info(arrow_fs.FileSelector(inside, allow_not_found=True))
-    numbers = [int(m.group(1)) for e in entries if (m := re.fullmatch(r"version=(\d+)", e.base_name))]
-    done = lambda n: system.get_file_info(f"{inside}/version={n}/_SUCCESS").type == arrow_fs.FileType.File
+    numbers = [int(m.group(1)) for e in entries if (m := re.fullmatch(rf"{kind}=(\d+)", e.base_name))]
+    done = lambda n: system.get_file_info(f"{inside}/{kind}={n}/_SUCCESS").type == arrow_fs.FileType.File
     return sorted(n for n in numbers if done(n))
 
 
+def _base_and_changes(state_dir: str) -> tuple[int, list[int]]:
+    base = max(_saved(state_dir, "version"), default=0)
+    return base, [n for n in _saved(state_dir, "change") if n > base]
+
+
+def _changes(spark: SparkSession, state_dir: str, numbers: list[int]) -> DataFrame:
+    folders = [f"{state_dir}/change={n}" for n in numbers]
+    return spark.read.schema(f"{_CHANGE}, change long").option("basePath", state_dir).parquet(*folders)
+
+
 def read_hash_state(spark: SparkSession, state_dir: str) -> DataFrame:
     """The latest saved hashes (path, size, modified, hash); empty at first."""
-    versions = _versions(state_dir)
+    base, changes = _base_and_changes(state_dir)
     schema = f"{LISTED}, hash string"
-    if not versions:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{state_dir}/version={versions[-1]}")
+    rows = spark.read.schema(schema).parquet(f"{state_dir}/version={base}") if base else spark.createDataFrame([], schema)
+    if not changes:
+        return rows
+    every = rows.withColumns({"gone": F.lit(False), "change": F.lit(0).cast("long")})
+    every = every.unionByName(_changes(spark, state_dir, changes))
+    last = F.max(F.struct("change", "size", "modified", "hash", "gone")).alias("last")
+    return every.groupBy("path").agg(last).where("NOT last.gone").select("path", "last.size", "last.modified", "last.hash")
 
 
 def refresh_hashes(spark: SparkSession, root: str, state_dir: str) -> DataFrame:
     """Hashes of all files below ``root``. Only files that are new or changed
-    since the last saved state are read; the result is saved as its next
-    version."""
+    since the last saved state are read, and only they and those that are gone
+    are written, as the next change of the state."""
+    saved = read_hash_state(spark, state_dir)
     # The tree is listed once, so that a file that changes meanwhile is in one half.
-    known = checkpointed(reuse_hashes(list_files(spark, root), read_hash_state(spark, state_dir)))
-    fresh = hash_files(dealt(known.where("hash IS NULL").drop("hash")))
-    merged = known.where("hash IS NOT NULL").unionByName(fresh)
-    target = f"{state_dir}/version={(_versions(state_dir) or [0])[-1] + 1}"
-    merged.write.mode("overwrite").parquet(target)
-    return spark.read.schema(f"{LISTED}, hash string").parquet(target)
+    known = checkpointed(reuse_hashes(list_files(spark, root), saved))
+    # A hash that is blank in the state was not to be read, and is tried again.
+    fresh = hash_files(dealt(known.where("hash IS NULL").drop("hash"))).withColumn("gone", F.lit(False))
+    lost = saved.join(known.select("path"), "path", "left_anti").withColumn("gone", F.lit(True))
+    change = fresh.unionByName(lost)
+    base, changes = _base_and_changes(state_dir)
+    number = max([base, *changes]) + 1
+    change.write.mode("overwrite").parquet(f"{state_dir}/change={number}")
+    _compact(spark, state_dir)
+    return read_hash_state(spark, state_dir)
+
+
+def _compact(spark: SparkSession, state_dir: str) -> None:
+    """Make a new base of the state where its changes have grown large."""
+    base, changes = _base_and_changes(state_dir)
+    rows = spark.read.parquet(f"{state_dir}/version={base}").count() if base else 0
+    changed = _changes(spark, state_dir, changes).count()
+    if len(changes) < MOST_CHANGES and (base == 0 or changed < COMPACT_SHARE * rows):
+        return
+    number = changes[-1]
+    read_hash_state(spark, state_dir).write.mode("overwrite").parquet(f"{state_dir}/version={number}")
+    system, inside = open_path(state_dir)
+    for kind, last in (("version", base), ("change", base)):
+        for n in _saved(state_dir, kind):
+            if n < last or (kind == "change" and n == last):
+                system.delete_dir(f"{inside}/{kind}={n}")
 
 
 def list_objects(manifest: DataFrame, bucket: str, prefix: str = "", max_files: int | None = None) -> DataFrame:

@@ -94,6 +94,35 @@ def test_hashes_and_saved_state(spark, tmp_path):
     assert digests == {f"{tree}/A.PDF": hashlib.sha256(b"eman").hexdigest(), f"{tree}/gone": ""}
 
 
+def test_hash_state_in_changes(spark, tmp_path, monkeypatch):
+    """A refresh writes what changed; many changes become one base; old folders go."""
+    tree, state = tmp_path / "tree", tmp_path / "state"
+    make(tree, {f"{k}.txt": str(k).encode() for k in range(20)})
+    monkeypatch.setattr(file_source, "MOST_CHANGES", 4)
+    rows = lambda n: spark.read.parquet(str(state / f"change={n}")).count()
+
+    def check():
+        got = {r.path: r.hash for r in file_source.refresh_hashes(spark, str(tree), str(state)).collect()}
+        assert got == {str(p): hashlib.md5(p.read_bytes()).hexdigest() for p in tree.iterdir()}
+
+    check()
+    assert rows(1) == 20
+    (tree / "3.txt").write_bytes(b"longer")
+    (tree / "4.txt").unlink()
+    make(tree, {"new.txt": b"n"})
+    check()
+    assert rows(2) == 3
+    check()
+    assert rows(3) == 0
+    (tree / "4.txt").write_bytes(b"again")
+    check()
+    assert sorted(p.name for p in state.iterdir()) == ["change=1", "change=2", "change=3", "change=4", "version=4"]
+    for k in range(4):
+        make(tree, {f"more{k}.txt": b"m"})
+        check()
+    assert sorted(p.name for p in state.iterdir()) == ["change=5", "change=6", "change=7", "change=8", "version=4", "version=8"]
+
+
 def skewed_files():
     """A third of the files are copies of one content; some cannot be read."""
     rng = random.Random(3)
