@@ -264,26 +264,34 @@ def _parse(parts):
             yield from batches(_READ, rows, lambda r: len(r[4]))
 
 
+_PLACE = pa.schema([*list(_READ)[:4], ("n_ids", pa.int64()), ("ids_crc32", pa.int64())])
+
+
+def _places(parts):
+    for part in parts:
+        for name, content in zip(part.column(0), part.column(1), strict=True):
+            file = name.as_py().rpartition("/")[2]
+            read = unframed(memoryview(content.as_buffer()))
+            yield from batches(_PLACE, ((file, *r[:3], len(r[3]), zlib.crc32(r[3].astype("<u4").tobytes())) for r in read))
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    # One file a task batch: files can be large.
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """The records of a folder, checksums tested: ``file``, ``offset``,
     ``length``, ``doc_id``, ``ids`` (4 bytes each, little-endian)."""
-    # One file a task batch: files can be large.
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(_parse, "file string, offset long, length long, doc_id long, ids binary")
+    return _files(spark, path).mapInArrow(_parse, "file string, offset long, length long, doc_id long, ids binary")
 
 
 def write_index(spark: SparkSession, path: str, index: str) -> DataFrame:
     """Write and return the place of every record of the folder ``path``:
     ``file``, ``offset``, ``length``, ``doc_id``, ``n_ids`` and ``ids_crc32``
     (of the ids, 4 bytes each). Reads each file once."""
-
-    @F.arrow_udf("long")
-    def crc(ids: pa.Array) -> pa.Array:
-        return pa.array([zlib.crc32(x.as_buffer()) for x in ids], pa.int64())
-
-    places = read_records(spark, path).select(
-        "file", "offset", "length", "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), crc("ids").alias("ids_crc32")
-    )
+    columns = "file string, offset long, length long, doc_id long, n_ids long, ids_crc32 long"
+    places = _files(spark, path).mapInArrow(_places, columns)
     places.write.parquet(index)
     return spark.read.schema(places.schema).parquet(index)
 
