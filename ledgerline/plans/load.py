@@ -43,6 +43,9 @@ from ledgerline.sources import files as file_source
 from ledgerline.sources import notices as notice_source
 
 BATCH = "load_batch"
+# How the partitions of compacted audit events are named.
+ARCHIVE = "archive-"
+MOST_ARCHIVES = 8
 # Tables that one load publishes side by side.
 SIDE_BY_SIDE = 4
 
@@ -67,7 +70,9 @@ class LoadSettings:
     ``sample_rows``, from so many of its first records. ``routed`` names tables by `ROUTES` instead of the file's name.
     ``row_hook`` sees the text columns of each table before they are typed.
     ``append_always`` also loads content that a table already has. A run that
-    has not renewed its lease for ``lease_seconds`` counts as lost.
+    has not renewed its lease for ``lease_seconds`` counts as lost. The audit
+    events of ended runs are put together when they have more than
+    ``compact_after`` partitions.
     """
 
     database: str = "default"
@@ -77,6 +82,7 @@ class LoadSettings:
     routed: bool = False
     append_always: bool = False
     lease_seconds: float = leases.SECONDS
+    compact_after: int = 500
     row_hook: Callable[[DataFrame], DataFrame] | None = None
 
     def table(self, name: str) -> str:
@@ -144,6 +150,31 @@ def _append_events(events: DataFrame, settings: LoadSettings, batch: str) -> Non
         _publish(rows, table, {BATCH: batch, "event": kind})
 
 
+def compact_audit(spark: SparkSession, settings: LoadSettings) -> None:
+    """Put the audit events of all ended runs into one partition a kind, an
+    archive; earlier archives join it when there are ``MOST_ARCHIVES``, so that
+    an event is not written anew each time.
+
+    Runs at work and lost ones keep their partitions. The new partitions are
+    there before the old ones go, so a reader may meet an event twice, which
+    changes no state: events are folded by their id.
+    """
+    table = settings.table(settings.audit_table)
+    events = spark.table(table)
+    ended = checkpointed(events.where("event <> 'STARTED'").select(BATCH).distinct())
+    archived = F.col(BATCH).startswith(ARCHIVE)
+    if ended.where(archived).count() < MOST_ARCHIVES:
+        ended = ended.where(~archived)
+    old = [(r[BATCH], r.event) for r in events.join(ended, BATCH, "left_semi").select(BATCH, "event").distinct().collect()]
+    name = f"{ARCHIVE}{uuid.uuid4().hex}"
+    for kind in sorted({event for _, event in old}):
+        rows = events.where(F.col("event") == kind).join(ended, BATCH, "left_semi").drop(BATCH, "event")
+        # Records of one content lie together, so that a load reads few row groups.
+        _publish(rows.repartitionByRange("table_name", "content_md5"), table, {BATCH: name, "event": kind})
+    for batch, kind in old:
+        _withdraw(spark, table, {BATCH: batch, "event": kind})
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -267,6 +298,8 @@ def load_files(files: DataFrame, settings: LoadSettings, batch: str) -> DataFram
             audit.failed(done.where("error_message IS NOT NULL"), now)
         )
         _append_events(finished, settings, run)
+        if spark.sql(f"SHOW PARTITIONS {settings.table(settings.audit_table)}").count() > settings.compact_after:
+            compact_audit(spark, settings)
     return _results(manifest, delimited, outcome)
 
 

@@ -417,3 +417,23 @@ def test_line_counts_merge():
             part.feed(data[a:b])
             merged.follow(csv_files.LineCounts.from_json(part.to_json()))
         assert merged.whole() == whole.whole(), (data, cuts)
+
+
+def test_audit_events_of_ended_runs_are_put_together(spark, tmp_path, monkeypatch):
+    conf = settings("load_compact", compact_after=4)
+    monkeypatch.setattr(load, "MOST_ARCHIVES", 1)
+    lost = spark.createDataFrame([("z", "b", "k", "t", "m", 1, None)], "id string, bucket string, key string, table_name string, md5 string, bytes long, request_id string")
+    load.tables.create_database(spark, conf.database)
+    load._append_events(audit.started(lost, F.lit(dt.datetime(2024, 1, 1))), conf, "lost")
+    for k in range(5):
+        text = f"x\n{k}\n" if k != 2 else "a a,a-a\n1,2\n"
+        run(spark, store(tmp_path / str(k), {"t.csv": text}), conf, f"b{k}")
+        assert spark.sql("SHOW PARTITIONS load_compact.ingestion_audit_events").count() <= 6
+    events = spark.table("load_compact.ingestion_audit_events")
+    batches = {r.load_batch.split("-")[0] for r in events.select("load_batch").distinct().collect()}
+    assert "archive" in batches and "lost" in batches
+    state = audit.audit_state(load.audit_events(spark, conf)).collect()
+    assert sorted(s.status for s in state) == ["FAILED", "STARTED"] + ["SUCCESS"] * 4
+    # What the archive tells of is known.
+    assert run(spark, store(tmp_path / "0", {"t.csv": "x\n0\n"}), conf, "again")["t.csv"].status == "skipped"
+    assert spark.table("load_compact.t").count() == 4
