@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.operators import audit
+
 TABLES = (
     "region nation customer supplier part orders lineitem events "
     "documents embeddings pages benchmark labels conversations"
@@ -280,8 +282,7 @@ def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "bytes": F.col("o_totalprice").cast("long"),
         "lambda_request_id": F.concat(F.lit("r"), (F.col("o_custkey")).cast("string")),
     }
-    kinds = "id string, event string, ts timestamp_ntz, s3_bucket string, s3_key string, table_name string, content_md5 string, bytes bigint, duration_ms int, rows_inserted bigint, error_message string, lambda_request_id string, retry_count int"
-    fields = [f.strip().split(" ") for f in kinds.split(",")]
+    fields = [f.strip().split(" ") for f in audit.EVENT_SCHEMA.split(",")]
 
     def event(values: dict[str, Column]) -> Column:
         return F.struct(*[values.get(n, F.lit(None)).cast(t).alias(n) for n, t in fields])

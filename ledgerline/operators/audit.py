@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators.spread import lookup_join
 
+# The columns of an audit event.
 EVENT_SCHEMA = (
     "id string, event string, ts timestamp_ntz, s3_bucket string, s3_key string, "
     "table_name string, content_md5 string, bytes bigint, duration_ms int, "
