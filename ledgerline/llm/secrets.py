@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 import zstandard
@@ -98,16 +99,34 @@ def is_novel(text: str, start: int, end: int) -> bool:
     return cost * math.log2(kinds) / 6 >= NOVEL + (SHORT - NOVEL) * short / (LONG - LEAST_VALUE)
 
 
+def _covered(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that the spans cover, in order."""
+    starts, ends = [], []
+    for start, _, end in spans:
+        if ends and start < ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Strings near sensitive words that cannot be foretold and lie in no base span."""
+    """Strings near sensitive words that cannot be foretold and lie in no base
+    span. The text is walked once, however many words and spans it has."""
     found, done = [], 0
+    starts, ends = _covered(base)
     for word in SENSITIVE.finditer(text):
         at = max(done, word.start() - REACH)
         while at > done and CANDIDATE_CHARACTER.match(text, at - 1):
             at -= 1  # a string that reaches into the stretch counts from its own start
-        while (m := CANDIDATE.search(text, at)) and m.start() <= word.end() + REACH:
+        # A string that begins in reach has its first characters in this stretch.
+        last = word.end() + REACH
+        while m := CANDIDATE.search(text, at, last + LEAST_VALUE):
+            m = CANDIDATE.match(text, m.start())
             at = done = m.end()
-            if any(a < m.end() and m.start() < b for a, _, b in base):
+            before = bisect_left(starts, m.end()) - 1
+            if before >= 0 and ends[before] > m.start():
                 continue
             if is_novel(text, m.start(), m.end()):
                 found.append((m.start(), 3, m.end()))

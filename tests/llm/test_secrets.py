@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -71,3 +73,34 @@ def test_every_string_near_a_word_is_measured():
         assert novel(f"{key}{' ' * secrets.REACH}token{' ' * secrets.REACH}{key[::-1]}") == [key, key[::-1]]
         assert novel(f"{key}{' ' * (secrets.REACH + 1)}token{' ' * (secrets.REACH + 1)}{key[::-1]}") == []
     assert novel("the passphrase and credentials of somebody Whatever yesterday a token 555-4526 --------") == []
+
+
+def plain_novel_spans(text, base):
+    """Every string near a sensitive word, each against every base span."""
+    near = [(w.start(), w.end()) for w in secrets.SENSITIVE.finditer(text)]
+    out = []
+    for m in secrets.CANDIDATE.finditer(text):
+        close = any(m.end() > a - secrets.REACH and m.start() <= b + secrets.REACH for a, b in near)
+        if close and not any(a < m.end() and m.start() < b for a, _, b in base) and secrets.is_novel(text, m.start(), m.end()):
+            out.append((m.start(), 3, m.end()))
+    return out
+
+
+def test_novel_spans_equal_a_plain_search():
+    rng = random.Random(6)
+    pieces = ["password", "token = ", "api_key: ", "secret", " ", "\n", " and then some words ", "x" * 60 + " ", "AKIA" + "Q" * 20]
+    for _ in range(300):
+        text = ""
+        for _ in range(rng.randint(1, 25)):
+            text += rng.choice(pieces) if rng.random() < 0.6 else "".join(rng.choices("aB3x/9kQz", k=rng.randint(1, 40)))
+        base = secrets.base_spans(text)
+        assert secrets.novel_spans(text, base) == plain_novel_spans(text, base), text
+
+
+def test_a_hundred_thousand_assignments_in_one_text():
+    text = "".join(f'password = "value{k:08}"\n' for k in range(100_000)) + "token " * 100_000
+    began = time.monotonic()
+    base = secrets.base_spans(text)
+    assert len(base) == 100_000
+    assert secrets.novel_spans(text, base) == []
+    assert time.monotonic() - began < 20
