@@ -12,9 +12,12 @@ and grows with the corpus. All words that the corpus does not have share one
 count of their bucket.
 
 Everything is gathered from all documents: words are counted over all of them,
-and each task trains a copy of the network, by backpropagation in numpy, on
-every position of each of its documents, once. The copies are averaged by the
-number of tokens they saw, in two levels, so the driver gets few of them.
+and each shard trains a copy of the network, by backpropagation in numpy, on
+every position of each of its documents, once. A document's shard, and its
+place there, come from hashes of its text and id, and the number of shards from
+the number of words, so the scores do not depend on how the input is split. The
+copies are averaged by the number of tokens they saw, in two levels, so the
+driver gets few of them.
 """
 
 from __future__ import annotations
@@ -36,13 +39,16 @@ NUMBERS = SIDE * SIDE
 BUCKETS = 256
 REACH = 3  # tokens on each side
 EMBED, HIDDEN = 16, 32
-BATCH = 512
-RATE = 0.005
+BATCH = 4096
+RATE = 0.02
+# Words of a shard. The commonest words whose shares tasks know; those of all others are joined.
+SHARD_WORDS = 4_000_000
+COMMON = 100_000
 FIRST_BUCKET = NUMBERS - BUCKETS
 # Shares of buckets are summed in whole numbers of 2^-26, so that the order of adding is all the same.
 FINE = 1 << 26
 # Tokens that are scored at once, and words that a task counts before it gives them on.
-RUN = 20_000
+RUN = 65_536
 COUNTED = 300_000
 
 
@@ -113,57 +119,76 @@ class Window:
         ]
 
     def _hidden(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        given = self.weights[0][context].reshape(len(context), -1)
-        return given, np.tanh(given @ self.weights[1] + self.weights[2])
-
-    def _inside(self, hidden: np.ndarray, cls: np.ndarray):
-        """(rows, class, logits inside the class) for each class that occurs."""
-        order = np.argsort(cls, kind="stable")
-        cuts = np.flatnonzero(np.diff(cls[order])) + 1
-        for rows in np.split(order, cuts) if len(order) else []:
-            c = cls[rows[0]]
-            yield rows, c, hidden[rows] @ self.weights[5][c] + self.weights[6][c]
+        given = np.take(self.weights[0], context.reshape(-1), axis=0, mode="clip").reshape(len(context), -1)
+        hidden = given @ self.weights[1]
+        hidden += self.weights[2]
+        return given, np.tanh(hidden, out=hidden)
+
+    def _inside(self, hidden: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """Logits inside the class of each row, rows being in the order of their
+        classes, and (class, first row, end) of each class."""
+        cuts = np.searchsorted(cls, np.arange(SIDE + 1)).tolist()
+        parts = [(c, a, b) for c, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+        logits = np.empty((len(cls), SIDE), hidden.dtype)
+        for c, a, b in parts:
+            np.matmul(hidden[a:b], self.weights[5][c], out=logits[a:b])
+            logits[a:b] += self.weights[6][c]
+        return logits, parts
 
     def log_chance(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log-probability of each target given its neighbours."""
-        _, hidden = self._hidden(context)
-        cls, own = target // SIDE, target % SIDE
-        out = _log_softmax_at(hidden @ self.weights[3] + self.weights[4], cls)
-        for rows, _, logits in self._inside(hidden, cls):
-            out[rows] += _log_softmax_at(logits, own[rows])
+        order = _by_class(target)
+        _, hidden = self._hidden(context[order])
+        cls, own = np.divmod(target[order], SIDE)
+        found = _log_softmax_at(hidden @ self.weights[3] + self.weights[4], cls)
+        found += _log_softmax_at(self._inside(hidden, cls)[0], own)
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
     def gradients(self, context: np.ndarray, target: np.ndarray) -> list[np.ndarray]:
+        order = _by_class(target)
+        context, target = context[order], target[order]
         given, hidden = self._hidden(context)
-        cls, own = target // SIDE, target % SIDE
+        cls, own = np.divmod(target, SIDE)
         grads = [np.zeros_like(w) for w in self.weights]
+        rows = np.arange(len(cls))
         d_class = _softmax(hidden @ self.weights[3] + self.weights[4])
-        d_class[np.arange(len(cls)), cls] -= 1
+        d_class[rows, cls] -= 1
         grads[3], grads[4] = hidden.T @ d_class, d_class.sum(axis=0)
         d_hidden = d_class @ self.weights[3].T
-        for rows, c, logits in self._inside(hidden, cls):
-            d = _softmax(logits)
-            d[np.arange(len(rows)), own[rows]] -= 1
-            grads[5][c], grads[6][c] = hidden[rows].T @ d, d.sum(axis=0)
-            d_hidden[rows] += d @ self.weights[5][c].T
+        logits, parts = self._inside(hidden, cls)
+        d = _softmax(logits)
+        d[rows, own] -= 1
+        for c, a, b in parts:
+            grads[5][c], grads[6][c] = hidden[a:b].T @ d[a:b], d[a:b].sum(axis=0)
+            d_hidden[a:b] += d[a:b] @ self.weights[5][c].T
         d_hidden *= 1 - hidden * hidden
         grads[1], grads[2] = given.T @ d_hidden, d_hidden.sum(axis=0)
         d_given = (d_hidden @ self.weights[1].T).reshape(-1, EMBED)
-        order = np.argsort(context, axis=None, kind="stable")
-        values, first = np.unique(context.reshape(-1)[order], return_index=True)
-        grads[0][values] = np.add.reduceat(d_given[order], first)
+        flat = context.reshape(-1)
+        order = np.argsort(flat.astype(np.uint16), kind="stable")
+        ordered = flat[order]
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        grads[0][ordered[first]] = np.add.reduceat(np.take(d_given, order, axis=0), first)
         return [g / len(target) for g in grads]
 
 
+def _by_class(target: np.ndarray) -> np.ndarray:
+    return np.argsort((target // SIDE).astype(np.uint8), kind="stable")
+
+
 def _softmax(logits: np.ndarray) -> np.ndarray:
-    out = np.exp(logits - logits.max(axis=1, keepdims=True))
-    out /= out.sum(axis=1, keepdims=True)
-    return out
+    logits -= logits.max(axis=1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(axis=1, keepdims=True)
+    return logits
 
 
 def _log_softmax_at(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    top = logits.max(axis=1)
-    return logits[np.arange(len(at)), at] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
+    logits -= logits.max(axis=1, keepdims=True)
+    found = logits[np.arange(len(at)), at]
+    return found - np.log(np.exp(logits, out=logits).sum(axis=1))
 
 
 _SIDES = np.array([*range(-REACH, 0), *range(1, REACH + 1)])
@@ -182,23 +207,26 @@ def padded(texts: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tokens, np.flatnonzero(tokens != NUMBERS), np.array(owner, np.int64)
 
 
-def _runs(parts, numbers: Remembered, rare: bool = False):
-    """(ids, numbers of the words, counts of the words in buckets) of some
-    documents at a time; the counts only if ``rare``."""
-    ids, texts, others, size = [], [], [], 0
+def _runs(parts, numbers: Remembered, shares: dict[bytes, int] | None = None):
+    """(ids, numbers of the words, sum of the known shares, counts of the other
+    words in buckets) of some documents at a time; the last two only with ``shares``."""
+    ids, texts, known, others, size = [], [], [], [], 0
     for part in parts:
         for i, t in zip(part.column(0).to_pylist(), part.column(1), strict=True):
             own = words(t.as_py())
             text = [numbers[w] for w in own]
             ids.append(i)
             texts.append(text)
-            others.append(Counter(w for w, k in zip(own, text, strict=True) if k >= FIRST_BUCKET) if rare else None)
+            if shares is not None:
+                told = [shares.get(w) for w in own]
+                known.append(sum(x for x in told if x is not None))
+                others.append(Counter(w for w, x in zip(own, told, strict=True) if x is None))
             size += len(text)
             if size >= RUN:
-                yield ids, texts, others
-                ids, texts, others, size = [], [], [], 0
+                yield ids, texts, known, others
+                ids, texts, known, others, size = [], [], [], [], 0
     if ids:
-        yield ids, texts, others
+        yield ids, texts, known, others
 
 
 class Adam:
@@ -219,41 +247,44 @@ def _train(network: Window, runs, seed: int) -> int:
     """Train on every position of each document once; the number of them."""
     adam, seen = Adam(network.weights), 0
     rng = np.random.default_rng(seed)
-    for _, texts, _ in runs:
+    for _, texts, *_ in runs:
         tokens, places, _ = padded(texts)
         if not len(places):
             continue
         for some in np.array_split(rng.permutation(places), math.ceil(len(places) / BATCH)):
-            rate = RATE / math.sqrt(1 + adam.step / 200)
+            rate = RATE / math.sqrt(1 + adam.step / 50)
             adam.move(network.weights, network.gradients(tokens[some[:, None] + _SIDES], tokens[some]), rate)
         seen += len(places)
     return seen
 
 
-_COPY = pa.schema([("weights", pa.binary()), ("seen", pa.int64())])
-_COPY_DDL = "weights binary, seen long"
+_COPY = pa.schema([("shard", pa.int32()), ("weights", pa.binary()), ("seen", pa.int64())])
+_COPY_DDL = "shard int, weights binary, seen long"
 
 
 def _averaged(parts):
-    total, seen = None, 0
+    total, seen, first = None, 0, 0
     for part in parts:
-        for w, n in zip(part.column(0), part.column(1).to_pylist(), strict=True):
+        for shard, w, n in zip(part.column(0).to_pylist(), part.column(1), part.column(2).to_pylist(), strict=True):
             own = np.frombuffer(w.as_buffer(), np.float32).astype(np.float64) * n
+            first = shard if total is None else first
             total, seen = own if total is None else total + own, seen + n
     if seen:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([(total / seen).astype(np.float32).tobytes()], pa.binary()), pa.array([seen], pa.int64())],
-            schema=_COPY,
+        yield pa.RecordBatch.from_pylist(
+            [{"shard": first, "weights": (total / seen).astype(np.float32).tobytes(), "seen": seen}], schema=_COPY
         )
 
 
 class Model:
     """A trained network with the numbers of its words, the counts of all words
-    (``word``, ``n``) and the sum of counts of each bucket."""
+    (``word``, ``n``), the sum of counts of each bucket, and the counts of the
+    commonest words of the buckets."""
 
-    def __init__(self, numbering: Numbering, network: Window, counts: DataFrame, totals: list[int]):
+    def __init__(
+        self, numbering: Numbering, network: Window, counts: DataFrame, totals: list[int], common: dict[bytes, int]
+    ):
         self.numbering, self.network = numbering, network
-        self.counts, self.totals = counts, totals
+        self.counts, self.totals, self.common = counts, totals, common
 
     def scorer(self) -> Scorer:
         """What tasks need of the model."""
@@ -262,6 +293,14 @@ class Model:
     def score(self, texts: list[list[int]]) -> np.ndarray:
         return self.scorer().score(texts)
 
+    def known(self) -> dict[bytes, int]:
+        """The log-shares of the words that tasks know, times ``FINE``; a word
+        with a number of its own has the whole of it."""
+        found = dict.fromkeys(self.numbering.own, 0)
+        for word, n in self.common.items():
+            found[word] = round(math.log(n / (self.totals[zlib.crc32(word) % BUCKETS] + 1)) * FINE)
+        return found
+
     def shares(self, rare: DataFrame) -> DataFrame:
         """``key`` and ``fine``, the sum of log-shares of the words of each key
         of ``rare`` (``key``, ``word``, ``c``) in their buckets, times ``FINE``."""
@@ -283,7 +322,7 @@ class Scorer:
         for k in range(0, len(places), RUN):
             some = places[k : k + RUN]
             chance = self.network.log_chance(tokens[some[:, None] + _SIDES], tokens[some])
-            np.add.at(total, owner[k : k + RUN], chance.astype(np.float64))
+            total += np.bincount(owner[k : k + RUN], chance, len(texts))
         return total
 
 
@@ -294,9 +333,11 @@ def _slim(docs: DataFrame) -> DataFrame:
 def trained(docs: DataFrame) -> Model | None:
     """The model of all documents; None if they have no word."""
     counts = staged(word_counts(docs), "words")
-    frequent = counts.orderBy(F.desc("n"), "word").limit(FIRST_BUCKET).collect()
-    if not frequent:
+    commonest = counts.orderBy(F.desc("n"), "word").limit(FIRST_BUCKET + COMMON).collect()
+    if not commonest:
         return None
+    frequent = commonest[:FIRST_BUCKET]
+    common = {bytes(word): n for word, n in commonest[FIRST_BUCKET:]}
     numbering = Numbering([bytes(r[0]) for r in frequent])
     shares = np.ones(NUMBERS)
     shares[: len(frequent)] += [r[1] for r in frequent]
@@ -310,34 +351,37 @@ def trained(docs: DataFrame) -> Model | None:
     shares /= shares.sum()
 
     def train(parts):
-        network = Window(shares)
-        seen = _train(network, _runs(parts, Remembered(numbering)), TaskContext.get().partitionId())
+        network, shard = Window(shares), TaskContext.get().partitionId()
+        seen = _train(network, _runs(parts, Remembered(numbering)), shard)
         if seen:
             flat = np.concatenate([w.reshape(-1) for w in network.weights])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([flat.tobytes()], pa.binary()), pa.array([seen], pa.int64())], schema=_COPY
-            )
-
-    slim = _slim(docs)
-    copies = slim.mapInArrow(train, _COPY_DDL)
-    groups = max(1, math.isqrt(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    parts = copies.repartition(groups).mapInArrow(_averaged, _COPY_DDL).collect()
+            yield pa.RecordBatch.from_pylist([{"shard": shard, "weights": flat.tobytes(), "seen": seen}], schema=_COPY)
+
+    n_words = sum(totals) + sum(n for _, n in frequent)
+    shards = -(-n_words // SHARD_WORDS)
+    # Copies of a text with ids of their own do not meet in one shard.
+    dealt = _slim(docs).withColumn("place", F.xxhash64("text", "doc_id")).repartition(shards, "place")
+    copies = dealt.sortWithinPartitions("place", "doc_id").select("doc_id", "text").mapInArrow(train, _COPY_DDL)
+    groups = copies.repartition(1 + math.isqrt(shards), "shard").sortWithinPartitions("shard")
+    parts = sorted(groups.mapInArrow(_averaged, _COPY_DDL).collect())
     network = Window(shares)
     if parts:
-        seen = sum(r[1] for r in parts)
-        flat = sum(np.frombuffer(r[0], np.float32) * np.float64(r[1] / seen) for r in parts).astype(np.float32)
+        seen = sum(r.seen for r in parts)
+        flat = sum(np.frombuffer(r.weights, np.float32) * np.float64(r.seen / seen) for r in parts).astype(np.float32)
         at = 0
         for k, w in enumerate(network.weights):
             network.weights[k] = flat[at : at + w.size].reshape(w.shape)
             at += w.size
-    return Model(numbering, network, counts, totals)
+    return Model(numbering, network, counts, totals, common)
 
 
 _SCORED = pa.schema(
     [("key", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("log_prob", pa.float64())]
-    + [("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64()))]
+    + [("known", pa.int64()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64()))]
+)
+_SCORED_DDL = (
+    "key long, doc_id long, n_tokens long, log_prob double, known long, words array<binary>, counts array<long>"
 )
-_SCORED_DDL = "key long, doc_id long, n_tokens long, log_prob double, words array<binary>, counts array<long>"
 
 
 def scored(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -351,26 +395,28 @@ def scored(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """
     model = model or trained(docs)
     scorer = model.scorer() if model else None
+    known = model.known() if model else {}
 
     def score(parts):
         def rows():
             task, k = TaskContext.get().partitionId() << 40, 0
-            for ids, texts, rare in _runs(parts, Remembered(scorer.numbering) if scorer else {}, True):
+            for ids, texts, told, rare in _runs(parts, Remembered(scorer.numbering) if scorer else {}, known):
                 totals = scorer.score(texts) if scorer else [0.0] * len(ids)
-                for i, text, total, others in zip(ids, texts, totals, rare, strict=True):
-                    yield task + k, i, len(text), total, list(others), list(others.values())
+                for i, text, total, fine, others in zip(ids, texts, totals, told, rare, strict=True):
+                    yield task + k, i, len(text), total, fine, list(others), list(others.values())
                     k += 1
 
-        yield from batches(_SCORED, rows(), lambda r: 24 * len(r[4]))
+        yield from batches(_SCORED, rows(), lambda r: 24 * len(r[5]))
 
     found = _slim(docs).mapInArrow(score, _SCORED_DDL)
     if model:
-        # The key of a row holds from here on. Each word of a bucket is a row for each document that has it.
+        # The key of a row holds from here on. Each rare word is a row for each document that has it.
         found = staged(found, "scores")
         pairs = F.explode(F.arrays_zip("words", "counts")).alias("pair")
         rare = found.select("key", pairs).select("key", F.col("pair.words").alias("word"), F.col("pair.counts").alias("c"))
         fine = model.shares(rare)
-        found = found.select("key", "doc_id", "n_tokens", "log_prob").join(fine, "key", "left")
-        found = found.withColumn("log_prob", F.col("log_prob") + F.coalesce("fine", F.lit(0)) / FINE)
+        found = found.select("key", "doc_id", "n_tokens", "log_prob", "known").join(fine, "key", "left")
+        share = F.col("known") + F.coalesce("fine", F.lit(0))
+        found = found.withColumn("log_prob", F.col("log_prob") + share / FINE)
     found = found.select("doc_id", "n_tokens", "log_prob")
     return found.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))
