@@ -63,23 +63,22 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 def ranked_weights(sizes: DataFrame) -> DataFrame:
     """``weight`` by the place of each source in code-point order, null last.
 
-    Places come from the number of sources per leading characters and the place
-    among those, so that no task holds all sources.
+    Sources are dealt into ranges of names of like size; a place is the number
+    of sources in the ranges before and the place in its own, so that no task
+    holds all sources, however much their names are alike.
     """
-    lead = F.substring("source", 1, 2)
-    heads = sizes.groupBy(F.substring("source", 1, 2).alias("head")).agg(F.count("*").alias("n"))
-    before = Window.orderBy(F.col("head").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.select("head", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("head").orderBy(F.col("source").asc_nulls_last())
-    placed = (
-        sizes.withColumn("head", lead)
-        .withColumn("place", F.row_number().over(inside))
-        .alias("s")
-        .join(heads.alias("h"), F.col("s.head").eqNullSafe(F.col("h.head")))
-    )
-    place = F.col("h.before") + F.col("s.place") - 1
+    order = F.col("source").asc_nulls_last()
+    ranges = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The ranges are drawn by a sample, so the numbers of one run are kept.
+    dealt = checkpointed(sizes.repartitionByRange(ranges, order).withColumn("range", F.spark_partition_id()))
+    heads = dealt.groupBy("range").agg(F.count("*").alias("n"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("range").orderBy(order)
+    placed = dealt.withColumn("place", F.row_number().over(inside)).join(heads, "range")
+    place = F.col("before") + F.col("place") - 1
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (place % len(WEIGHTS) + 1).cast("int"))
-    return placed.select("s.key", "s.source_size", weight.cast("long").alias("weight"))
+    return placed.select("key", "source_size", weight.cast("long").alias("weight"))
 
 
 def _size_class(size: Column) -> Column:
@@ -104,8 +103,9 @@ def mixed(docs: DataFrame, seed: int = 7, digits: int = 2) -> DataFrame:
         {
             "size": word_count(text),
             "key": F.coalesce(F.concat(F.lit("="), source), F.lit("")),
-            "spread": F.md5(F.concat_ws(":", F.lit(str(seed)), doc_id.cast("string"))),
             "tie": F.md5(text),
+            # Rows without an id are spread by their texts.
+            "spread": F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.md5(text)))),
         }
     )
     own = own.withColumns({"class": _size_class(F.col("size")), "slice": F.substring("spread", 1, digits)})

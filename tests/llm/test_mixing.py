@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerline.llm import mixing
 from tests.llm.helpers import EDGES, table
@@ -66,3 +67,19 @@ def test_one_hot_source_and_stopped_sources(spark):
     assert {r.target for r in found if r.source != "big"} == {3.0}
     assert all(r.taken == 3 for r in found if r.source != "big")
     assert sum(r.taken for r in found) == pytest.approx(10_005, abs=50)
+
+
+def test_sources_in_order_however_alike_their_names(spark):
+    names = [f"www.host{k:03}.org" for k in range(100)] + ["", "a", None]
+    sizes = spark.createDataFrame([(str(n), n, 5) for n in names], "key string, source string, source_size long")
+    found = {r.key: r.weight for r in mixing.ranked_weights(sizes).collect()}
+    ordered = sorted((n for n in names if n is not None)) + [None]
+    assert found == {str(n): k % 3 + 1 for k, n in enumerate(ordered)}
+
+
+def test_rows_without_an_id_are_spread(spark):
+    docs = table(spark, [(None, f"word {k}", None, "a") for k in range(2000)])
+    cells = docs.select(F.substring(F.md5(F.concat_ws(":", F.lit("7"), F.md5("text"))), 1, 2)).distinct().count()
+    assert cells > 200
+    plan = mixing.mixed(docs).agg(F.count("*"), F.sum("taken"), F.max("target")).first()
+    assert plan[0] == 2000 and abs(plan[1] - plan[2]) <= 2
