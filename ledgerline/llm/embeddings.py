@@ -272,7 +272,8 @@ def near_vectors(
     vector that is null, empty, all zero or has a null or non-finite component
     links with nothing, nor does one whose ``vec_id`` is null (its component is
     null and it is not kept). Rows that repeat a vector are vectors of their
-    own and link with each other. Other columns are not looked at; an empty
+    own and link with each other, and rows that repeat a ``vec_id`` with other
+    vectors link as their vectors do. Other columns are not looked at; an empty
     table gives an empty table.
     """
     every = vectors.select(
@@ -280,8 +281,11 @@ def near_vectors(
         F.col("label").cast("long").alias("label"),
         F.col("embedding").cast("array<double>").alias("embedding"),
     )
-    sound = every.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable(F.col("embedding")))
-    found = staged(classes(sound), "classes")
+    fit = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable(F.col("embedding")), F.lit(False))
+    sound, rest = every.where(fit), every.where(~fit)
+    # A class gets a number of its own, as the smallest vec_id of two classes can be the same.
+    numbered = classes(sound).withColumnRenamed("id", "low").withColumn("id", F.monotonically_increasing_id())
+    found = staged(numbered, "classes")
     widths = [r[0] for r in found.select(F.size("embedding").alias("w")).distinct().collect()]
     links = None
     for width in sorted(widths):
@@ -297,30 +301,26 @@ def near_vectors(
         work = work.select("ids", "counts", "data", "ids2", "counts2", "data2", (F.col("a") == F.col("b")).alias("same"))
         part = work.mapInArrow(_linker(axes, threshold), "id long, links long, root long")
         links = part if links is None else links.union(part)
-    own = sound.join(found.withColumnRenamed("n", "copies"), ["label", "embedding"]).select("vec_id", "id", "copies")
+    alone = rest.select(
+        "vec_id",
+        F.lit(0).cast("long").alias("n_links"),
+        F.col("vec_id").alias("component_id"),
+        F.col("vec_id").isNotNull().alias("kept"),
+    )
     if links is None:
-        return every.select(
-            "vec_id",
-            F.lit(0).cast("long").alias("n_links"),
-            F.col("vec_id").alias("component_id"),
-            F.col("vec_id").isNotNull().alias("kept"),
-        )
+        return alone
+    own = sound.join(found.withColumnRenamed("n", "copies"), ["label", "embedding"]).select("vec_id", "id", "low", "copies")
     links = staged(links, "links")
     totals = links.groupBy("id").agg(F.sum("links").alias("links"))
     groups = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")).where("a != b"))
-    linked = (
-        own.join(totals, "id", "left")
-        .join(groups.withColumnRenamed("node", "id"), "id", "left")
-        .groupBy("vec_id")
-        .agg(
-            F.max(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"),
-            F.min(F.coalesce("component", "id")).alias("component"),
-        )
-    )
-    component = F.coalesce("component", "vec_id")
-    return every.select("vec_id").join(linked, "vec_id", "left").select(
+    lows = groups.join(found.select(F.col("id").alias("node"), "low"), "node")
+    lows = lows.groupBy("component").agg(F.min("low").alias("component_low"))
+    groups = groups.join(lows, "component").select(F.col("node").alias("id"), "component_low")
+    component = F.coalesce("component_low", "low")
+    linked = own.join(totals, "id", "left").join(groups, "id", "left").select(
         "vec_id",
-        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
         component.alias("component_id"),
-        F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"),
+        (F.col("vec_id") == component).alias("kept"),
     )
+    return linked.union(alone)

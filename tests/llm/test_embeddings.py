@@ -96,3 +96,8 @@ def test_threshold_itself(spark):
     x = [1.0, 0.0]
     rows = [(k, 0, [0.93 + d, float(np.sqrt(1 - 0.93**2))]) for k, d in enumerate((-1e-6, 0, 1e-6, 1e-4))]
     check(spark, [(99, 0, x), *rows])
+
+
+def test_a_vec_id_with_several_vectors(spark):
+    rows = [(1, 0, [1.0, 0.0]), (1, 0, [0.0, 1.0]), (2, 0, [0.99, 0.01]), (3, 0, [-1.0, 0.0]), (3, 1, [0.0, 1.0]), (3, 1, [0.0, 1.0])]
+    check(spark, rows)
