@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +39,14 @@ NUMBERS = SIDE * SIDE
 BUCKETS = 256
 REACH = 3  # tokens on each side
 EMBED, HIDDEN = 16, 32
-BATCH = 4096
+BATCH = 8192
 RATE = 0.02
-# Words of a shard. The commonest words whose shares tasks know; those of all others are joined.
+# Words of a shard. Words that are one of so many, at most as many, have shares that
+# tasks know; those of all others are joined.
 SHARD_WORDS = 4_000_000
 COMMON = 100_000
 FIRST_BUCKET = NUMBERS - BUCKETS
+RARE = NUMBERS  # the bit above a number
 # Shares of buckets are summed in whole numbers of 2^-26, so that the order of adding is all the same.
 FINE = 1 << 26
 # Tokens that are scored at once, and words that a task counts before it gives them on.
@@ -89,16 +91,20 @@ class Numbering:
 
 
 class Remembered(dict):
-    """Numbers of the words met so far; begins anew when it has grown large."""
+    """What is known of the words met so far, each in one whole number: its
+    number, ``RARE`` if its share is not known, and minus its log-share times
+    ``FINE`` above these. Begins anew when it has grown large."""
 
-    def __init__(self, numbering: Numbering):
-        self.numbering = numbering
+    def __init__(self, numbering: Numbering, shares: dict[bytes, int] | None = None):
+        self.numbering, self.shares = numbering, shares or {}
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > COUNTED:
             self.clear()
-        self[word] = found = self.numbering[word]
-        return found
+        share = self.shares.get(word)
+        told = self.numbering[word] | (RARE if share is None else -share * 2 * RARE)
+        self[word] = told
+        return told
 
 
 class Window:
@@ -122,7 +128,14 @@ class Window:
         given = np.take(self.weights[0], context.reshape(-1), axis=0, mode="clip").reshape(len(context), -1)
         hidden = given @ self.weights[1]
         hidden += self.weights[2]
-        return given, np.tanh(hidden, out=hidden)
+        # tanh by way of the exponential, which numpy has in fast form.
+        np.clip(hidden, -20, 20, out=hidden)
+        hidden *= -2
+        np.exp(hidden, out=hidden)
+        hidden += 1
+        np.divide(2, hidden, out=hidden)
+        hidden -= 1
+        return given, hidden
 
     def _inside(self, hidden: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
         """Logits inside the class of each row, rows being in the order of their
@@ -138,7 +151,7 @@ class Window:
     def log_chance(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log-probability of each target given its neighbours."""
         order = _by_class(target)
-        _, hidden = self._hidden(context[order])
+        _, hidden = self._hidden(np.take(context, order, axis=0))
         cls, own = np.divmod(target[order], SIDE)
         found = _log_softmax_at(hidden @ self.weights[3] + self.weights[4], cls)
         found += _log_softmax_at(self._inside(hidden, cls)[0], own)
@@ -148,7 +161,7 @@ class Window:
 
     def gradients(self, context: np.ndarray, target: np.ndarray) -> list[np.ndarray]:
         order = _by_class(target)
-        context, target = context[order], target[order]
+        context, target = np.take(context, order, axis=0), target[order]
         given, hidden = self._hidden(context)
         cls, own = np.divmod(target, SIDE)
         grads = [np.zeros_like(w) for w in self.weights]
@@ -178,50 +191,51 @@ def _by_class(target: np.ndarray) -> np.ndarray:
     return np.argsort((target // SIDE).astype(np.uint8), kind="stable")
 
 
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
+def _exp(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials, in place, and their sums by row. Logits so far out that
+    their exponential has no place in a float are drawn in."""
+    np.clip(logits, -80, 80, out=logits)
     np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
-    return logits
+    return logits, logits @ np.ones(logits.shape[1], logits.dtype)
+
+
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    found, total = _exp(logits)
+    found /= total[:, None]
+    return found
 
 
 def _log_softmax_at(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
-    found = logits[np.arange(len(at)), at]
-    return found - np.log(np.exp(logits, out=logits).sum(axis=1))
+    own = np.clip(logits[np.arange(len(at)), at], -80, 80)
+    return own - np.log(_exp(logits)[1])
 
 
 _SIDES = np.array([*range(-REACH, 0), *range(1, REACH + 1)])
 
 
-def padded(texts: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def padded(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All tokens with edges between the documents, the places of the tokens,
     and the document of each."""
-    edge = [NUMBERS] * REACH
-    flat, owner = list(edge), []
-    for k, text in enumerate(texts):
-        flat += text
-        flat += edge
-        owner += [k] * len(text)
-    tokens = np.array(flat, np.int32)
-    return tokens, np.flatnonzero(tokens != NUMBERS), np.array(owner, np.int64)
-
-
-def _runs(parts, numbers: Remembered, shares: dict[bytes, int] | None = None):
-    """(ids, numbers of the words, sum of the known shares, counts of the other
-    words in buckets) of some documents at a time; the last two only with ``shares``."""
+    edge = np.full(REACH, NUMBERS, np.int32)
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    tokens = np.concatenate([edge, *(part for t in texts for part in (np.asarray(t, np.int32), edge))])
+    return tokens, np.flatnonzero(tokens != NUMBERS), np.repeat(np.arange(len(texts)), size)
+
+
+def _runs(parts, numbers: Remembered, rare: bool = False):
+    """(ids, numbers of the words, sum of the known shares, counts of the words
+    whose share is not known) of some documents at a time; the last only if ``rare``."""
     ids, texts, known, others, size = [], [], [], [], 0
     for part in parts:
         for i, t in zip(part.column(0).to_pylist(), part.column(1), strict=True):
             own = words(t.as_py())
-            text = [numbers[w] for w in own]
+            told = np.fromiter(map(numbers.__getitem__, own), np.int64, len(own))
             ids.append(i)
-            texts.append(text)
-            if shares is not None:
-                told = [shares.get(w) for w in own]
-                known.append(sum(x for x in told if x is not None))
-                others.append(Counter(w for w, x in zip(own, told, strict=True) if x is None))
-            size += len(text)
+            texts.append((told & (NUMBERS - 1)).astype(np.int32))
+            if rare:
+                known.append(-int((told // (2 * RARE)).sum()))
+                others.append(Counter([own[k] for k in np.flatnonzero(told & RARE).tolist()]))
+            size += len(own)
             if size >= RUN:
                 yield ids, texts, known, others
                 ids, texts, known, others, size = [], [], [], [], 0
@@ -275,6 +289,10 @@ def _averaged(parts):
         )
 
 
+# What words are where there is no model.
+NO_WORDS = defaultdict(int)
+
+
 class Model:
     """A trained network with the numbers of its words, the counts of all words
     (``word``, ``n``), the sum of counts of each bucket, and the counts of the
@@ -333,11 +351,14 @@ def _slim(docs: DataFrame) -> DataFrame:
 def trained(docs: DataFrame) -> Model | None:
     """The model of all documents; None if they have no word."""
     counts = staged(word_counts(docs), "words")
-    commonest = counts.orderBy(F.desc("n"), "word").limit(FIRST_BUCKET + COMMON).collect()
-    if not commonest:
+    frequent = counts.orderBy(F.desc("n"), "word").limit(FIRST_BUCKET).collect()
+    if not frequent:
         return None
-    frequent = commonest[:FIRST_BUCKET]
-    common = {bytes(word): n for word, n in commonest[FIRST_BUCKET:]}
+    # No more than COMMON words can have that share of all.
+    n_words = counts.agg(F.sum("n")).first()[0]
+    common = {bytes(word): n for word, n in counts.where(F.col("n") * COMMON >= n_words).collect()}
+    for word, _ in frequent:
+        common.pop(bytes(word), None)
     numbering = Numbering([bytes(r[0]) for r in frequent])
     shares = np.ones(NUMBERS)
     shares[: len(frequent)] += [r[1] for r in frequent]
@@ -357,7 +378,6 @@ def trained(docs: DataFrame) -> Model | None:
             flat = np.concatenate([w.reshape(-1) for w in network.weights])
             yield pa.RecordBatch.from_pylist([{"shard": shard, "weights": flat.tobytes(), "seen": seen}], schema=_COPY)
 
-    n_words = sum(totals) + sum(n for _, n in frequent)
     shards = -(-n_words // SHARD_WORDS)
     # Copies of a text with ids of their own do not meet in one shard.
     dealt = _slim(docs).withColumn("place", F.xxhash64("text", "doc_id")).repartition(shards, "place")
@@ -400,7 +420,7 @@ def scored(docs: DataFrame, model: Model | None = None) -> DataFrame:
     def score(parts):
         def rows():
             task, k = TaskContext.get().partitionId() << 40, 0
-            for ids, texts, told, rare in _runs(parts, Remembered(scorer.numbering) if scorer else {}, known):
+            for ids, texts, told, rare in _runs(parts, Remembered(scorer.numbering, known) if scorer else NO_WORDS, True):
                 totals = scorer.score(texts) if scorer else [0.0] * len(ids)
                 for i, text, total, fine, others in zip(ids, texts, totals, told, rare, strict=True):
                     yield task + k, i, len(text), total, fine, list(others), list(others.values())

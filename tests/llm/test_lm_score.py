@@ -91,3 +91,39 @@ def test_every_position_is_a_target_once():
     seen = lm_score._train(network, [([0] * 5, texts, [None] * 5), ([0], [[9]], [None]), ([0], [[]], [None])], 0)
     assert sorted(met) == sorted([*sum(texts, []), 9])
     assert seen == len(met)
+
+
+def test_scores_do_not_depend_on_the_split_of_the_input(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = []
+    for parts in (2, 7):
+        split = docs.repartition(parts)
+        found.append({(r.doc_id): r.log_prob for r in lm_score.scored(split).collect()})
+    assert found[0].keys() == found[1].keys()
+    assert all(abs(x - found[1][i]) <= 1e-4 * (1 + abs(x)) for i, x in found[0].items())
+
+
+def test_scores_equal_a_plain_sum_over_the_tokens(spark):
+    rows = [(k, " ".join(f"w{(k * j) % 41}" for j in range(k % 17))) for k in range(200)] + [(900, "w1 unheard w2 w3")]
+    docs = table(spark, rows[:-1])
+    model = lm_score.trained(docs)
+    w = [x.astype(float) for x in model.network.weights]
+    counts = {bytes(r.word): r.n for r in model.counts.collect()}
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+
+    def plain(text):
+        own, total = lm_score.words(text.encode()), 0.0
+        numbers = [lm_score.NUMBERS] * lm_score.REACH + [model.numbering[x] for x in own] + [lm_score.NUMBERS] * lm_score.REACH
+        for k, word in enumerate(own):
+            at = k + lm_score.REACH
+            sides = numbers[at - lm_score.REACH : at] + numbers[at + 1 : at + 1 + lm_score.REACH]
+            hidden = np.tanh(np.concatenate([w[0][n] for n in sides]) @ w[1] + w[2])
+            cls, inside = divmod(numbers[at], lm_score.SIDE)
+            total += np.log(softmax(hidden @ w[3] + w[4])[cls] * softmax(hidden @ w[5][cls] + w[6][cls])[inside])
+            if word not in model.numbering.own:
+                bucket = numbers[at] - lm_score.FIRST_BUCKET
+                total += np.log(counts.get(word, 1) / (model.totals[bucket] + 1))
+        return total
+
+    for r in lm_score.scored(table(spark, rows), model).collect():
+        assert abs(r.log_prob - plain(dict(rows)[r.doc_id])) < 1e-3
