@@ -25,6 +25,8 @@ from ledgerline.llm.common import batches, checkpointed
 SAMPLE_DOCS = 400
 SAMPLE_ALL = 20_000
 WINDOWS_A_DOC = 6
+# Languages whose counts, some 50 bytes each, go to all tasks; more are joined by a shuffle.
+FEW_LANGUAGES = 50_000
 
 HIDDEN = 12
 WINDOW = 128  # bytes; a longer text has more windows
@@ -275,6 +277,8 @@ def learned(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, noise: bool = False
     size = F.lit(40 * WINDOW)
     place = F.pmod(F.xxhash64(F.lit("place"), "doc_id"), F.greatest(F.lit(1), F.char_length("text") - size)) + 1
     stretch = F.substring(F.col("text"), place, size)
+    # A checkpoint has no known size, so its rows are counted here.
+    counts = F.broadcast(counts) if n_langs <= FEW_LANGUAGES else counts
     rows = (
         usable.join(counts, "lang")
         .where(wanted)
@@ -339,7 +343,7 @@ def labelled(docs: DataFrame, network: Network | None = None) -> DataFrame:
 
 
 # The length, in bytes, from which on the bound on noise falls quickly.
-NOISE_BYTES = 256
+NOISE_BYTES = 768
 
 
 def most_noise(size: np.ndarray) -> np.ndarray:
