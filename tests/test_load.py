@@ -9,6 +9,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from ledgerline.operators import audit
 from ledgerline.plans import leases, load
 from ledgerline.plans.load import LoadSettings, load_files, load_notices
@@ -219,6 +220,30 @@ def test_delimiters(spark, text, delimiter):
     assert df.select(csv_files.delimiter_of(F.col("t"))).first()[0] == delimiter
 
 
+def test_lines_of_a_text_are_found_once(spark):
+    df = spark.createDataFrame([("a;b\n1;2\n3;4",), (None,), ("",), ("\n\r\n",)], "t string")
+    chosen = df.select(csv_files.delimiter_of(F.col("t")).alias("d"))
+    assert [r.d for r in chosen.collect()] == [";", ",", ",", ","]
+    plan = chosen._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1 and plan.count("split(") == 1
+
+
+def test_files_of_parts_are_made_by_many_tasks(spark, tmp_path):
+    rows = [(k, f"Brand#{k}", k % 50) for k in range(40)] + [(None, "Brand#1", 1), (3, "Brand#3", 3), (4, None, None)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_size int").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "5")
+    try:
+        found = entry.queries()["delimiter_choice"](spark, str(tmp_path))
+        assert found.rdd.getNumPartitions() == 5
+        told = sorted((r.p_partkey, r.delimiter) for r in found.collect() if r.p_partkey is not None)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    keys = sorted([*range(40), 3, 4])
+    assert told == [(k, "," if k % 10 == 3 else ",;\t|"[k % 4]) for k in keys]
+
+
+
 @pytest.mark.parametrize("text", ["", "a;b\n" + "1;2\n" * 20 + "3\n", 'a|b\r\n"x\n,;y"|2\r\n', "a\tb\n\n\n1\t2", "x\n"])
 def test_delimiter_of_files_and_of_texts_agree(spark, tmp_path, text):
     path = tmp_path / "f.csv"
