@@ -44,13 +44,15 @@ RATE = 0.02
 # Words of a shard. Words that are one of so many, at most as many, have shares that
 # tasks know; those of all others are joined.
 SHARD_WORDS = 4_000_000
-COMMON = 100_000
+COMMON = 1_000_000
 FIRST_BUCKET = NUMBERS - BUCKETS
 RARE = NUMBERS  # the bit above a number
 # Shares of buckets are summed in whole numbers of 2^-26, so that the order of adding is all the same.
 FINE = 1 << 26
-# Tokens that are scored at once, and words that a task counts before it gives them on.
+# Tokens that are scored at once, those of a step that the processor's caches hold, and
+# words that a task counts before it gives them on.
 RUN = 65_536
+STEP = 9216
 COUNTED = 300_000
 
 
@@ -96,14 +98,17 @@ class Remembered(dict):
     ``FINE`` above these. Begins anew when it has grown large."""
 
     def __init__(self, numbering: Numbering, shares: dict[bytes, int] | None = None):
-        self.numbering, self.shares = numbering, shares or {}
+        self.own, self.shares = numbering.own, shares or {}
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > COUNTED:
             self.clear()
+        # As `Numbering` has it, without a call for each word.
+        number = self.own.get(word)
+        if number is None:
+            number = FIRST_BUCKET + zlib.crc32(word) % BUCKETS
         share = self.shares.get(word)
-        told = self.numbering[word] | (RARE if share is None else -share * 2 * RARE)
-        self[word] = told
+        told = self[word] = number | (RARE if share is None else -share * 2 * RARE)
         return told
 
 
@@ -151,10 +156,14 @@ class Window:
     def log_chance(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log-probability of each target given its neighbours."""
         order = _by_class(target)
-        _, hidden = self._hidden(np.take(context, order, axis=0))
         cls, own = np.divmod(target[order], SIDE)
-        found = _log_softmax_at(hidden @ self.weights[3] + self.weights[4], cls)
-        found += _log_softmax_at(self._inside(hidden, cls)[0], own)
+        steps = _steps(len(order))
+        hidden = np.concatenate([self._hidden(np.take(context, order[k], axis=0))[1] for k in steps])
+        inside = self._inside(hidden, cls)[0]
+        found = np.empty(len(order), hidden.dtype)
+        for k in steps:
+            found[k] = _log_softmax_at(hidden[k] @ self.weights[3] + self.weights[4], cls[k])
+            found[k] += _log_softmax_at(inside[k], own[k])
         out = np.empty_like(found)
         out[order] = found
         return out
@@ -187,6 +196,14 @@ class Window:
         return [g / len(target) for g in grads]
 
 
+def _steps(n: int) -> list[slice]:
+    """Steps of ``STEP`` rows, the last of less than twice as many. Products are
+    rounded by tiles of rows; ``STEP`` is a multiple of the usual ones (2^10 * 9), and no
+    step is so small that it has other ones."""
+    starts = [*range(0, max(n - STEP + 1, 1), STEP)]
+    return [slice(a, b) for a, b in zip(starts, [*starts[1:], n], strict=True)]
+
+
 def _by_class(target: np.ndarray) -> np.ndarray:
     return np.argsort((target // SIDE).astype(np.uint8), kind="stable")
 
@@ -325,7 +342,8 @@ class Model:
         totals = F.array(*[F.lit(t + 1) for t in self.totals])
         total = F.element_at(totals, (F.crc32("word") % BUCKETS + 1).cast("int"))
         share = F.log(F.coalesce("n", F.lit(1)) / total)
-        told = rare.join(self.counts, "word", "left")
+        # A word that is not found counts once, so those that occur once need not be there.
+        told = rare.join(self.counts.where("n > 1"), "word", "left")
         return told.groupBy("key").agg(F.sum(F.round(share * FINE).cast("long") * F.col("c")).alias("fine"))
 
 

@@ -127,3 +127,32 @@ def test_scores_equal_a_plain_sum_over_the_tokens(spark):
 
     for r in lm_score.scored(table(spark, rows), model).collect():
         assert abs(r.log_prob - plain(dict(rows)[r.doc_id])) < 1e-3
+
+
+def test_words_that_occur_once_are_not_joined(spark, monkeypatch):
+    rows = [(k, f"often w{k % 7} w{k % 11} once{k}") for k in range(60)] + [(None, "often w1"), (5, "w2 once5x"), (7, None)]
+    rows += [(100 + k, " ".join(f"c{j}" for j in range(lm_score.FIRST_BUCKET))) for k in range(20)]
+    docs = table(spark, rows)
+    told = sorted(map(tuple, lm_score.scored(docs).collect()), key=str)
+    monkeypatch.setattr(lm_score, "COMMON", 1)  # no word is common
+    model = lm_score.trained(docs)
+    assert not model.common
+    joined = sorted(map(tuple, lm_score.scored(docs, model).collect()), key=str)
+    assert [r[:2] for r in joined] == [r[:2] for r in told]
+    assert np.allclose([r[2] for r in joined], [r[2] for r in told], atol=1e-5)
+    shares = model.shares(spark.createDataFrame([(1, b"once1", 1)], "key long, word binary, c long"))
+    assert "> 1)" in shares._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_long_texts_are_scored_in_small_steps(monkeypatch):
+    network = lm_score.Window(np.full(lm_score.NUMBERS, 1 / lm_score.NUMBERS))
+    texts = [[k % lm_score.NUMBERS for k in range(n)] for n in (20_000, 0, 3, 9_000)]
+    sizes, hidden = [], network._hidden
+    tokens, places, _ = lm_score.padded(texts)
+    one = hidden(tokens[places[:, None] + lm_score._SIDES])[1]
+    monkeypatch.setattr(network, "_hidden", lambda context: sizes.append(len(context)) or hidden(context))
+    total = lm_score.Scorer(None, network).score(texts)
+    assert max(sizes) < 2 * lm_score.STEP and sum(sizes) == len(one) == 29_003
+    monkeypatch.setattr(lm_score, "STEP", 10**9)
+    assert np.allclose(lm_score.Scorer(None, network).score(texts), total, rtol=1e-7)
+    assert sizes[-1] == 29_003
