@@ -311,7 +311,8 @@ def file_starts(index: DataFrame) -> DataFrame:
     """``file`` and ``file_start``, the ids in all files before it. The numbers
     in the names give the order; sums of ``BUCKET`` ranges come first, so no
     task has all files."""
-    number = [F.regexp_extract("file", pattern, 1).cast("long") for pattern in (r"^part-(\d+)", r"-c(\d+)")]
+    # The number of a file in its range comes last; the id of the job before it may have such a piece too.
+    number = [F.regexp_extract("file", pattern, 1).cast("long") for pattern in (r"^part-(\d+)", r"-c(\d+)[^-]*$")]
     files = index.groupBy("file").agg(F.sum("n_ids").alias("n"))
     files = files.select("file", "n", number[0].alias("range"), F.coalesce(number[1], F.lit(0)).alias("part"))
     files = files.withColumn("bucket", F.call_function("div", F.col("range"), F.lit(BUCKET)))

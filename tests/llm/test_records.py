@@ -40,6 +40,15 @@ def test_files_and_index(spark, tmp_path):
     assert got == {i: [*library.encode(t, add_special_tokens=False).ids, 1] for i, t, *_ in EDGES if i in (7, 10)}
 
 
+def test_files_follow_each_other_whatever_the_id_of_the_job(spark):
+    for job in ("0a1b2c3d-0000-4000-8000-00000000000f", "0a1b2c3d-c123-4000-8000-c23400000000"):
+        names = [f"part-{r:05d}-{job}-c{c:03d}.txt" for r in (0, 1) for c in (0, 1, 2)]
+        rows = [(name, n) for n, name in enumerate(names, 1)]
+        index = spark.createDataFrame(rows[::-1], "file string, n_ids long")
+        found = {r.file: r.file_start for r in records.file_starts(index).collect()}
+        assert [found[name] for name in names] == [0, 1, 3, 6, 10, 15], job
+
+
 def test_a_damaged_file_is_noticed():
     good = records.framed(7, np.array([1, 70000], np.uint32)) + b"\n" + records.framed(None, np.array([], np.uint32)) + b"\n"
     read = [(a, n, i, ids.tolist()) for a, n, i, ids in records.unframed(memoryview(good))]
