@@ -24,15 +24,16 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter, defaultdict
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import batches, staged
+from ledgerline.llm.common import staged
 
 SIDE = 32  # classes, and numbers in a class
 NUMBERS = SIDE * SIDE
@@ -50,32 +51,53 @@ RARE = NUMBERS  # the bit above a number
 # Shares of buckets are summed in whole numbers of 2^-26, so that the order of adding is all the same.
 FINE = 1 << 26
 # Tokens that are scored at once, those of a step that the processor's caches hold, and
-# words that a task counts before it gives them on.
+# bytes of texts that are cut into words at once.
 RUN = 65_536
 STEP = 9216
-COUNTED = 300_000
+PIECE = 12 << 20
 
 
 def words(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
+def _pieces(part: pa.RecordBatch, texts: int):
+    """Slices of a batch whose column ``texts`` has about ``PIECE`` bytes, or one row."""
+    size = pc.fill_null(pc.binary_length(part.column(texts)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(np.cumsum(size) // PIECE)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), part.num_rows], strict=True):
+        yield part.slice(a, b - a)
+
+
+def coded(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The `words` of some texts, one after another, as places in a list of
+    different words; that list; and how many words there are up to the start
+    of each text, and in all."""
+    # Only the bytes of ASCII letters and white space are looked at, so texts need not be valid UTF-8.
+    # They are copied, since `ascii_lower` wants the first to begin at the first byte.
+    text = pa.concat_arrays([pc.fill_null(texts.cast(pa.large_binary()), b"")]).view(pa.large_string())
+    split = pc.ascii_split_whitespace(pc.ascii_lower(text))
+    each = split.flatten().dictionary_encode()
+    codes, ends = each.indices.to_numpy(), split.offsets.to_numpy()
+    # White space before or after a text leaves an empty word.
+    empty = pc.index(each.dictionary, pa.scalar("", each.dictionary.type)).as_py()
+    if empty >= 0:
+        full = codes != empty
+        ends = np.concatenate([[0], np.cumsum(full)])[ends]
+        codes = codes[full]
+    return codes, each.dictionary.view(pa.large_binary()), ends
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
-    """``word`` and ``n`` over all documents; each task counts its own first."""
-    schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
+    """``word`` and ``n`` over all documents; each task counts those of a piece first."""
 
     def count(parts):
-        def rows():
-            held = Counter()
-            for part in parts:
-                for text in part.column(0):
-                    held.update(words(text.as_py()))
-                    if len(held) > COUNTED:
-                        yield from held.items()
-                        held = Counter()
-            yield from held.items()
-
-        yield from batches(schema, rows())
+        for part in parts:
+            for piece in _pieces(part, 0):
+                codes, found, _ = coded(piece.column(0))
+                n = np.bincount(codes, minlength=len(found))
+                held = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([found.take(pa.array(held)).cast(pa.binary()), pa.array(n[held])], ["word", "n"])
 
     local = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "word binary, n long")
     return local.groupBy("word").agg(F.sum("n").alias("n"))
@@ -92,23 +114,20 @@ class Numbering:
         return FIRST_BUCKET + zlib.crc32(word) % BUCKETS if found is None else found
 
 
-class Remembered(dict):
-    """What is known of the words met so far, each in one whole number: its
-    number, ``RARE`` if its share is not known, and minus its log-share times
-    ``FINE`` above these. Begins anew when it has grown large."""
+class Known:
+    """What is known of words, each in one whole number: its number, ``RARE`` if
+    its share is not known, and minus its log-share times ``FINE`` above these."""
 
     def __init__(self, numbering: Numbering, shares: dict[bytes, int] | None = None):
-        self.own, self.shares = numbering.own, shares or {}
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > COUNTED:
-            self.clear()
-        # As `Numbering` has it, without a call for each word.
-        number = self.own.get(word)
-        if number is None:
-            number = FIRST_BUCKET + zlib.crc32(word) % BUCKETS
-        share = self.shares.get(word)
-        told = self[word] = number | (RARE if share is None else -share * 2 * RARE)
+        shares = dict.fromkeys(numbering.own, 0) | (shares or {})
+        self.held = {word: numbering[word] - share * 2 * RARE for word, share in shares.items()}
+
+    def told(self, found: pa.Array) -> np.ndarray:
+        """Of each word of a list; those not held are in buckets, as `Numbering` has it."""
+        each = found.to_numpy(zero_copy_only=False)
+        told = np.fromiter(map(self.held.get, each, repeat(-1)), np.int64, len(each))
+        others = np.flatnonzero(told < 0)
+        told[others] = np.fromiter(map(zlib.crc32, each[others]), np.int64, len(others)) % BUCKETS + FIRST_BUCKET + RARE
         return told
 
 
@@ -239,23 +258,39 @@ def padded(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tokens, np.flatnonzero(tokens != NUMBERS), np.repeat(np.arange(len(texts)), size)
 
 
-def _runs(parts, numbers: Remembered, rare: bool = False):
-    """(ids, numbers of the words, sum of the known shares, counts of the words
-    whose share is not known) of some documents at a time; the last only if ``rare``."""
+def _rare(codes: np.ndarray, found: pa.Array, rare: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+    """``words`` and ``counts`` of each text: its words at the places ``rare``."""
+    owner = np.searchsorted(ends, rare, side="right") - 1
+    pairs, n = np.unique(owner * len(found) + codes[rare], return_counts=True)
+    upto = pa.array(np.searchsorted(pairs, np.arange(len(ends)) * len(found)), pa.int32())
+    word = found.take(pa.array(pairs % max(len(found), 1))).cast(pa.binary())
+    lists = [pa.ListArray.from_arrays(upto, each) for each in (word, pa.array(n, pa.int64()))]
+    return pa.RecordBatch.from_arrays(lists, ["words", "counts"])
+
+
+def _runs(parts, numbers: Known, rare: bool = False):
+    """(ids, numbers of the words, sum of the known shares, words whose share is
+    not known and their counts) of some documents at a time; the last two only if ``rare``."""
     ids, texts, known, others, size = [], [], [], [], 0
-    for part in parts:
-        for i, t in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-            own = words(t.as_py())
-            told = np.fromiter(map(numbers.__getitem__, own), np.int64, len(own))
+    for piece in (piece for part in parts for piece in _pieces(part, 1)):
+        codes, found, ends = coded(piece.column(1))
+        told = numbers.told(found)[codes]
+        own = (told & (NUMBERS - 1)).astype(np.int32)
+        if rare:
+            upto = np.concatenate([[0], np.cumsum(told // (2 * RARE))])[ends]
+            known.extend((upto[:-1] - upto[1:]).tolist())
+            left = _rare(codes, found, np.flatnonzero(told & RARE), ends)
+        first, places = 0, ends.tolist()
+        for k, i in enumerate(piece.column(0).to_pylist()):
             ids.append(i)
-            texts.append((told & (NUMBERS - 1)).astype(np.int32))
-            if rare:
-                known.append(-int((told // (2 * RARE)).sum()))
-                others.append(Counter([own[k] for k in np.flatnonzero(told & RARE).tolist()]))
-            size += len(own)
+            texts.append(own[places[k] : places[k + 1]])
+            size += places[k + 1] - places[k]
             if size >= RUN:
-                yield ids, texts, known, others
-                ids, texts, known, others, size = [], [], [], [], 0
+                others += [left.slice(first, k + 1 - first)] if rare else []
+                yield ids, texts, known[: len(ids)], others
+                first, known = k + 1, known[len(ids) :]
+                ids, texts, others, size = [], [], [], 0
+        others += [left.slice(first)] if rare else []
     if ids:
         yield ids, texts, known, others
 
@@ -306,10 +341,6 @@ def _averaged(parts):
         )
 
 
-# What words are where there is no model.
-NO_WORDS = defaultdict(int)
-
-
 class Model:
     """A trained network with the numbers of its words, the counts of all words
     (``word``, ``n``), the sum of counts of each bucket, and the counts of the
@@ -391,7 +422,7 @@ def trained(docs: DataFrame) -> Model | None:
 
     def train(parts):
         network, shard = Window(shares), TaskContext.get().partitionId()
-        seen = _train(network, _runs(parts, Remembered(numbering)), shard)
+        seen = _train(network, _runs(parts, Known(numbering)), shard)
         if seen:
             flat = np.concatenate([w.reshape(-1) for w in network.weights])
             yield pa.RecordBatch.from_pylist([{"shard": shard, "weights": flat.tobytes(), "seen": seen}], schema=_COPY)
@@ -433,18 +464,17 @@ def scored(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """
     model = model or trained(docs)
     scorer = model.scorer() if model else None
-    known = model.known() if model else {}
+    known = Known(model.numbering, model.known()) if model else Known(Numbering([]))
 
     def score(parts):
-        def rows():
-            task, k = TaskContext.get().partitionId() << 40, 0
-            for ids, texts, told, rare in _runs(parts, Remembered(scorer.numbering, known) if scorer else NO_WORDS, True):
-                totals = scorer.score(texts) if scorer else [0.0] * len(ids)
-                for i, text, total, fine, others in zip(ids, texts, totals, told, rare, strict=True):
-                    yield task + k, i, len(text), total, fine, list(others), list(others.values())
-                    k += 1
-
-        yield from batches(_SCORED, rows(), lambda r: 24 * len(r[5]))
+        key = TaskContext.get().partitionId() << 40
+        for ids, texts, told, rare in _runs(parts, known, True):
+            totals = scorer.score(texts) if scorer else [0.0] * len(ids)
+            row = [range(key, key + len(ids)), ids, list(map(len, texts)), totals, told]
+            arrays = [pa.array(c, f.type) for c, f in zip(row, _SCORED)]
+            others = pa.Table.from_batches(rare).combine_chunks().to_batches()
+            yield pa.RecordBatch.from_arrays([*arrays, *others[0].columns], schema=_SCORED)
+            key += len(ids)
 
     found = _slim(docs).mapInArrow(score, _SCORED_DDL)
     if model:

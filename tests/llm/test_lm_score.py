@@ -1,4 +1,8 @@
+import random
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 
 from ledgerline.llm import lm_score
 from tests.llm.helpers import EDGES, table
@@ -156,3 +160,39 @@ def test_long_texts_are_scored_in_small_steps(monkeypatch):
     monkeypatch.setattr(lm_score, "STEP", 10**9)
     assert np.allclose(lm_score.Scorer(None, network).score(texts), total, rtol=1e-7)
     assert sizes[-1] == 29_003
+
+
+def test_texts_are_cut_by_columns_as_one_by_one(monkeypatch):
+    rng = random.Random(3)
+    signs = [*b" \t\n\r\x0b\x0c\x00\x1c\x85\xa0\xffAzQ", "É".encode(), "\u3000".encode()]
+    signs = [bytes([c]) if isinstance(c, int) else c for c in signs]
+    texts = [b"".join(rng.choices(signs, k=rng.randrange(12))) for _ in range(3000)] + [None, b"", b" ", b"\n\n"]
+    wanted = [lm_score.words(t) for t in texts]
+    monkeypatch.setattr(lm_score, "PIECE", 2000)
+    monkeypatch.setattr(lm_score, "RUN", 700)
+    numbering = lm_score.Numbering([b"a", b"z", b"q"])
+    shares = {b"a": 0, b"az": -5, b"qq": -7}
+    known = lm_score.Known(numbering, shares)
+    whole = pa.RecordBatch.from_arrays([pa.array([None, *range(1, len(texts))], pa.int64()), pa.array(texts, pa.binary())], ["i", "t"])
+    assert sum(p.num_rows for p in lm_score._pieces(whole, 1)) == len(texts)
+    # Slices begin inside their buffers, and one is empty.
+    parts = [whole.slice(0, 1001), whole.slice(1001, 0), whole.slice(1001, 1), whole.slice(1002)]
+    monkeypatch.setattr(lm_score, "words", None)  # no text is cut on its own
+    met = 0
+    for ids, found, told, rare in lm_score._runs(parts, known, True):
+        table = pa.Table.from_batches(rare).to_pylist()
+        for i, numbers, share, others in zip(ids, found, told, table, strict=True):
+            own = wanted[i or 0]
+            assert numbers.tolist() == [numbering[w] for w in own]
+            assert share == sum(shares.get(w, 0) for w in own)
+            left = Counter(w for w in own if w not in shares and w not in numbering.own)
+            assert dict(zip(others["words"], others["counts"], strict=True)) == left
+            met += 1
+    assert met == len(texts)
+
+
+def test_words_are_counted_by_pieces(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "PIECE", 30)
+    rows = [(k, t) for k, t in enumerate(["A a\tb ", None, "", "  ", "b é É c" * 9, "a"] * 3)]
+    found = {bytes(r.word): r.n for r in lm_score.word_counts(table(spark, rows)).collect()}
+    assert found == Counter(w for _, t in rows for w in lm_score.words((t or "").encode()))
